@@ -1,17 +1,19 @@
-"""The text form of a double, and division with IEEE results."""
+"""Number parsing, and division with IEEE results."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DIGITS = r"(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+[fFdD]?+"
-_HEX_DIGITS = r"0[xX](?:[0-9a-fA-F]++\.?+|[0-9a-fA-F]*+\.[0-9a-fA-F]++)[pP][+-]?+\d++[fFdD]?+"
+#: Non-finite values are numbers in this spelling only, or as the overflow of
+#: digits. Spark's cast would also take ``inf`` and ``nan``.
+NON_FINITE_TEXT = r"^[\x00-\x20]*[+-]?(NaN|Infinity)[\x00-\x20]*$|[0-9]"
 
-#: What the JVM reads as a double: it allows blanks around the number, and
-#: ``NaN`` and ``Infinity`` in this spelling only, where Spark's cast also takes
-#: ``nan`` and ``inf``. Quantifiers are possessive, so matching never backtracks.
-DOUBLE = rf"[\x00-\x20]*+[+-]?+(?:NaN|Infinity|{_DIGITS}|{_HEX_DIGITS})[\x00-\x20]*+"
+
+def strict_double(text: Column, value: Column) -> Column:
+    """``value``, the ``try_cast`` of ``text``, or NULL if the spelling is not allowed."""
+    non_finite = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    return F.when(non_finite & ~text.rlike(NON_FINITE_TEXT), F.lit(None).cast("double")).otherwise(value)
 
 
 def ieee_ratio(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:

@@ -12,19 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstat.functions.numbers import ieee_ratio
-from rillstat.functions.times import window_millis
+from rillstat.functions.times import millis, window_millis, with_instant
 
 
 def _group(rows: DataFrame, keys: Sequence[str], every: str | None, lateness: str | None, ts: str):
-    if every is None:
-        return rows.groupBy(*keys)
-    if lateness is not None:
-        rows = rows.withWatermark(ts, lateness)
-    return rows.groupBy(F.window(ts, every), *keys)
-
+    """The grouped rows, and the column ``start_time`` to select if there is a window.
 
-def _start(every: str | None) -> list:
-    return [] if every is None else [window_millis().alias("start_time")]
+    Only a stream needs the window struct, for the watermark to close it. A table
+    is grouped by the start as a number, which hashes and shuffles cheaper.
+    """
+    if every is None:
+        return rows.groupBy(*keys), []
+    rows = with_instant(rows, ts)
+    if rows.isStreaming:
+        if lateness is not None:
+            rows = rows.withWatermark(ts, lateness)
+        return rows.groupBy(F.window(ts, every), *keys), [window_millis().alias("start_time")]
+    at = F.unix_millis(F.col(ts))
+    start = at - F.pmod(at, F.lit(millis(every)))
+    return rows.where(F.col(ts).isNotNull()).groupBy(start.alias("start_time"), *keys), ["start_time"]
 
 
 def ratio_by(
@@ -47,11 +53,12 @@ def ratio_by(
     if count_blank is None:
         count_blank = every is None
     count = F.count(F.lit(1)) if count_blank else F.count_if("counted")
-    sums = _group(rows, keys, every, lateness, ts).agg(
+    groups, start = _group(rows, keys, every, lateness, ts)
+    sums = groups.agg(
         count.alias("count"), F.sum("num").alias("numerator"), F.sum("den").alias("denominator")
     )
     utput = ieee_ratio(F.col("numerator"), F.col("denominator"), scale)
-    return sums.select(*keys, *_start(every), "count", "numerator", "denominator", utput.alias("utput"))
+    return sums.select(*keys, *start, "count", "numerator", "denominator", utput.alias("utput"))
 
 
 def count_by(
@@ -63,5 +70,5 @@ def count_by(
     ts: str = "ts",
 ) -> DataFrame:
     """``count`` per key, with ``start_time`` per window of length ``every``."""
-    counts = _group(rows, keys, every, lateness, ts).agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(*keys, *_start(every), "count")
+    groups, start = _group(rows, keys, every, lateness, ts)
+    return groups.agg(F.count(F.lit(1)).alias("count")).select(*keys, *start, "count")

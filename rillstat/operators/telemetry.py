@@ -9,21 +9,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstat.functions.numbers import DOUBLE
+from rillstat.functions.numbers import strict_double
 
 REGION, MARKET, NUMERATOR, DENOMINATOR = 5, 6, 12, 13
 
-#: Two numbers after the twelfth comma, or nothing but commas, which stand for zeros.
-GOOD_LINE = rf"^(?:[^,]*+,){{{NUMERATOR}}}(?:,++\z|{DOUBLE},{DOUBLE}(?:,|\z))"
-
-
 def non_empty(df: DataFrame, line: str = "line") -> DataFrame:
     """Drop empty lines and NULLs."""
     return df.where(F.col(line) != "")
 
 
-def _part(i: int) -> Column:
-    return F.get(F.col("_parts"), F.lit(i))
+def _examined(df: DataFrame, line: str, on_bad: Column | None = None) -> DataFrame:
+    """The non-empty lines with the columns of :func:`parse_lines`, NULL where a line is bad.
+
+    Each step reads columns of the one before, so that a line is split once. The
+    generator at the end keeps it so: a filter on what it puts out stays above it,
+    where a filter on plain columns would be pushed below the split, with a split
+    of its own for every column it names.
+    """
+    part = lambda i: F.get("_parts", F.lit(i))
+    # All that is left after the twelfth comma may be commas, which stands for zeros.
+    rest = F.translate(F.coalesce(part(DENOMINATOR + 1), F.lit("")), ",", "")
+    blank = (part(NUMERATOR) == "") & (part(DENOMINATOR) == "") & (rest == "")
+    # The limit leaves whatever follows the denominator in one piece.
+    split = non_empty(df, line).withColumn("_parts", F.split(line, ",", DENOMINATOR + 2))
+    values = split.withColumns({
+        "_region": part(REGION),
+        "_market": part(MARKET),
+        "_num": part(NUMERATOR).try_cast("double"),
+        "_den": part(DENOMINATOR).try_cast("double"),
+        "_blank": F.coalesce(blank, F.lit(False)),
+    })
+    numbers = values.withColumns({
+        "_num": F.when(F.col("_blank"), 0.0).otherwise(strict_double(part(NUMERATOR), F.col("_num"))),
+        "_den": F.when(F.col("_blank"), 0.0).otherwise(strict_double(part(DENOMINATOR), F.col("_den"))),
+    })
+    record = F.struct(
+        F.col("_region").alias("region"),
+        F.col("_market").alias("market"),
+        F.col("_num").alias("num"),
+        F.col("_den").alias("den"),
+        (~F.col("_blank")).alias("counted"),
+    )
+    records = F.when(F.col("_num").isNotNull() & F.col("_den").isNotNull(), F.array(record))
+    if on_bad is not None:
+        records = records.otherwise(on_bad)
+    return numbers.select(*df.columns, records.alias("_records")).select(*df.columns, F.inline_outer("_records"))
 
 
 def parse_lines(df: DataFrame, line: str = "line", on_error: str = "drop") -> DataFrame:
@@ -32,34 +62,18 @@ def parse_lines(df: DataFrame, line: str = "line", on_error: str = "drop") -> Da
     ``counted`` is false for a line whose rest is commas alone: it adds zeros.
     A bad line (too few fields, or no number where one is due) is left out with
     ``on_error="drop"``, to be had from :func:`rejects`; ``"fail"`` stops the job.
-
-    Bad lines are told by a pattern on the raw line and not by the parsed
-    columns: Catalyst would push such a filter below the parsing and split each
-    line once more for every column the filter names.
     """
-    kept = [name for name in df.columns if name != line]
-    rows = non_empty(df, line)
-    good = F.col(line).rlike(GOOD_LINE)
-    if on_error == "drop":
-        rows = rows.where(good)
-        text = F.col(line)
-    elif on_error == "fail":
-        failure = F.raise_error(F.concat(F.lit("bad telemetry line: "), F.col(line))).cast("string")
-        text = F.when(good, F.col(line)).otherwise(failure)
-    else:
+    if on_error not in ("drop", "fail"):
         raise ValueError(f"on_error must be 'drop' or 'fail', not {on_error!r}")
-    # The limit leaves whatever follows the denominator in one piece.
-    rows = rows.withColumn("_parts", F.split(text, ",", DENOMINATOR + 2))
-    return rows.select(
-        *kept,
-        _part(REGION).alias("region"),
-        _part(MARKET).alias("market"),
-        F.coalesce(_part(NUMERATOR).try_cast("double"), F.lit(0.0)).alias("num"),
-        F.coalesce(_part(DENOMINATOR).try_cast("double"), F.lit(0.0)).alias("den"),
-        ((_part(NUMERATOR) != "") | (_part(DENOMINATOR) != "")).alias("counted"),
-    )
+    failure = None
+    if on_error == "fail":
+        failure = F.raise_error(F.concat(F.lit("bad telemetry line: "), F.col(line)))
+    rows = _examined(df, line, failure)
+    if on_error == "drop":
+        rows = rows.where(F.col("counted").isNotNull())
+    return rows.drop(line)
 
 
 def rejects(df: DataFrame, line: str = "line") -> DataFrame:
     """The rows of ``df`` that :func:`parse_lines` leaves out, empty lines aside."""
-    return non_empty(df, line).where(~F.col(line).rlike(GOOD_LINE))
+    return _examined(df, line).where(F.col("counted").isNull()).select(*df.columns)
