@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rillstat.functions import text
+from rillstat.functions.longs import long_bytes
 from rillstat.functions.times import millis
 from rillstat.operators.aggregates import count_by, ratio_by
 from rillstat.operators.finalize import final_windows, latest
@@ -83,11 +84,10 @@ def feed_counts(feed: DataFrame) -> DataFrame:
     return count_by(new_items(feed), ["user"])
 
 
-def feed_count_records(counts: DataFrame) -> DataFrame:
-    """Records keyed by user with the count as text."""
-    return counts.select(
-        F.col("user").alias("key"), F.col("count").cast("string").alias("value"), F.current_timestamp().alias("ts")
-    )
+def feed_count_records(counts: DataFrame, as_bytes: bool = False) -> DataFrame:
+    """Records keyed by user with the count as text, or as the bytes of a long."""
+    value = long_bytes(F.col("count")) if as_bytes else F.col("count").cast("string")
+    return counts.select(F.col("user").alias("key"), value.alias("value"), F.current_timestamp().alias("ts"))
 
 
 def article_counts(views: DataFrame, every: str = ARTICLE_WINDOW, lateness: str | None = None) -> DataFrame:
@@ -132,8 +132,8 @@ def start_publication(
 def start_feed_counts(
     feed: DataFrame, results: Topic, checkpoint: str, *, every: str | None = COUNT_TRIGGER, **options
 ) -> StreamingQuery:
-    """Send every change of a user's count to a topic."""
-    records = feed_count_records(feed_counts(feed))
+    """Send every change of a user's count to a topic; brokers get it as bytes of a long."""
+    records = feed_count_records(feed_counts(feed), as_bytes=results.servers is not None)
     options = {"output_mode": "update"} | options
     return start(records, send_records(results, checkpoint), checkpoint=checkpoint, every=every, **options)
 
