@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _reader(spark: SparkSession, stream: bool, files_per_trigger: int | None, bytes_per_trigger: str | None):
+def _reader(spark: SparkSession, stream: bool, files_per_trigger: int | None, bytes_per_trigger: int | None):
     if not stream:
         return spark.read
     reader = spark.readStream
@@ -28,7 +28,7 @@ def read_lines(
     tag: bool = False,
     since: datetime | None = None,
     files_per_trigger: int | None = None,
-    bytes_per_trigger: str | None = None,
+    bytes_per_trigger: int | None = None,
 ) -> DataFrame:
     """The raw lines of the files at ``path`` as ``key, ts, line``.
 
@@ -61,7 +61,7 @@ def read_table(
     schema: str | None = None,
     stream: bool = False,
     files_per_trigger: int | None = None,
-    bytes_per_trigger: str | None = None,
+    bytes_per_trigger: int | None = None,
 ) -> DataFrame:
     """A parquet table, or a stream of its files; a stream may be of a single file."""
     if not stream:

@@ -39,10 +39,14 @@ def rank_updates(folder: str, sink: Sink, checkpoint: str, n: int = 100, closed_
     only by an update of its own, which brings its whole count, so the first ``n``
     of each group are all that has to be kept from one batch to the next. They lie
     under ``folder`` in two slots, written in turn: a repeat of a batch finds what
-    the batch before it left. A window is dropped once the newest one starts
-    ``closed_after`` ms or more behind its start: window length plus lateness.
+    the batch before it left.
+
+    A window is dropped when no more updates can come: when the newest one starts
+    ``closed_after`` ms (window length plus lateness) or more behind its start. A
+    batch takes rows by the watermark of the batch before it, so it is the newest
+    window one batch back that counts.
     """
-    schema = f"{TOP}, changed BOOLEAN"
+    schema = f"{TOP}, changed BOOLEAN, newest_before BIGINT"
 
     def slot(batch_id: int) -> str:
         return f"{folder}/run={run_of(checkpoint)}/slot={batch_id % 2}"
@@ -50,18 +54,20 @@ def rank_updates(folder: str, sink: Sink, checkpoint: str, n: int = 100, closed_
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counts = batch.select(*_KEYS, "count", F.lit(True).alias("changed"))
+        newest = None
         if batch_id > 0:
             held = spark.read.schema(schema).parquet(slot(batch_id - 1))
-            newest = held.agg(F.max("start_time")).first()[0]
-            if newest is not None:
-                held = held.where(F.col("start_time") > newest - closed_after)
-                counts = counts.union(held.select(*_KEYS, "count", F.lit(False)))
+            newest, newest_before = held.agg(F.max("start_time"), F.max("newest_before")).first()
+            if newest_before is not None:
+                held = held.where(F.col("start_time") > newest_before - closed_after)
+            counts = counts.union(held.select(*_KEYS, "count", F.lit(False)))
         counts = counts.groupBy(*_KEYS).agg(F.max("count").alias("count"), F.max("changed").alias("changed"))
         changed = F.max("changed").over(Window.partitionBy(*_GROUP))
         top = top_pages(counts, n).withColumn("changed", changed)
-        top.select(*_KEYS, "count", "rank", "changed").write.mode("overwrite").parquet(slot(batch_id))
+        top = top.withColumn("newest_before", F.lit(newest).cast("bigint"))
+        top.select(*_KEYS, "count", "rank", "changed", "newest_before").write.mode("overwrite").parquet(slot(batch_id))
         written = spark.read.schema(schema).parquet(slot(batch_id))
-        sink(written.where("changed").drop("changed"), batch_id)
+        sink(written.where("changed").select(*_KEYS, "count", "rank"), batch_id)
 
     return write
 

@@ -1,0 +1,168 @@
+import os
+import time
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from rillstat.sinks import tables
+from rillstat.sources import avro, synthetic
+from rillstat.sources.files import read_lines, read_table
+from rillstat.sources.topics import Topic, read_topic
+from rillstat.streaming.runs import drain, start
+
+HEADER = "cell,site,date"
+
+
+@pytest.fixture
+def folder(tmp_path):
+    path = tmp_path / "csv"
+    path.mkdir()
+    (path / "Colorado_20170708.csv").write_text(f'{HEADER}\na,1,"x\n\n b\\,2é, \n')
+    (path / "Oregon_20170708.csv").write_text(f"{HEADER}\nc,3\n{HEADER}\n")
+    return str(path)
+
+
+def test_lines_are_kept_raw(spark, folder):
+    lines = {r.line for r in read_lines(spark, folder).collect()}
+    assert lines == {HEADER, 'a,1,"x', "", " b\\,2é, ", "c,3"}
+
+
+def test_header_is_skipped_by_place(spark, folder):
+    lines = [r.line for r in read_lines(spark, folder, header=True).collect() if r.line]
+    assert sorted(lines) == sorted(['a,1,"x', " b\\,2é, ", "c,3", HEADER])
+
+
+def test_header_is_skipped_by_value(spark, folder):
+    lines = {r.line for r in read_lines(spark, folder, header=HEADER).collect()}
+    assert lines == {'a,1,"x', "", " b\\,2é, ", "c,3"}
+
+
+def test_header_of_a_file_in_many_splits(spark, tmp_path):
+    (tmp_path / "x_1.csv").write_text(HEADER + "\n" + "".join(f"{i},v\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_lines(spark, str(tmp_path), header=True)
+        assert df.rdd.getNumPartitions() > 5
+        assert df.count() == 5000 and df.where(F.col("line") == HEADER).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_key_from_the_file_name(spark, folder):
+    assert {r.key for r in read_lines(spark, folder, tag=True).collect()} == {"Colorado", "Oregon"}
+    assert {r.key for r in read_lines(spark, folder, header=HEADER, tag=True).collect()} == {"Colorado", "Oregon"}
+    assert {r.key for r in read_lines(spark, folder).collect()} == {None}
+
+
+def test_files_changed_since(spark, folder):
+    old = time.time() - 7200
+    os.utime(f"{folder}/Oregon_20170708.csv", (old, old))
+    lines = read_lines(spark, folder, tag=True, since=datetime.now() - timedelta(hours=1))
+    assert {r.key for r in lines.collect()} == {"Colorado"}
+
+
+@pytest.mark.parametrize("header", [True, HEADER])
+def test_lines_as_a_paced_stream(spark, folder, tmp_path, header):
+    lines = read_lines(spark, folder, header=header, tag=True, stream=True, files_per_trigger=1)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    drain(start(lines, tables.append_batches(out, checkpoint), checkpoint=checkpoint), timeout=120)
+    rows = tables.read_batches(spark, out, "key STRING, ts TIMESTAMP, line STRING").where("line != ''").collect()
+    assert {r.key: r.batch_id for r in rows}.keys() == {"Colorado", "Oregon"}
+    assert len({r.batch_id for r in rows}) == 2
+    assert all(r.ts is not None for r in rows)
+
+
+def test_table_of_a_folder_and_of_a_file_as_streams(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    (part,) = (tmp_path / "t.parquet").glob("part-*.parquet")
+    for i, path in enumerate([tmp_path / "t.parquet", part]):
+        out, checkpoint = str(tmp_path / f"out{i}"), str(tmp_path / f"checkpoint{i}")
+        stream = read_table(spark, str(path), stream=True, bytes_per_trigger=1 << 30)
+        drain(start(stream, tables.append_batches(out, checkpoint), checkpoint=checkpoint), timeout=120)
+        assert spark.read.parquet(out).count() == 10
+
+
+def test_topic_options():
+    topic = Topic("views", "h1:9092,h2:9092", "latest", {"maxOffsetsPerTrigger": "5", "kafka.acks": "all"})
+    assert topic.source_options() == {
+        "kafka.bootstrap.servers": "h1:9092,h2:9092", "subscribe": "views", "startingOffsets": "latest",
+        "maxOffsetsPerTrigger": "5", "kafka.acks": "all",
+    }
+    assert "startingOffsets" not in topic.source_options(stream=False)
+    assert topic.sink_options() == {"kafka.bootstrap.servers": "h1:9092,h2:9092", "topic": "views", "kafka.acks": "all"}
+    with pytest.raises(ValueError):
+        Topic("views", "h1:9092", "middle")
+    with pytest.raises(ValueError):
+        Topic("/a/folder", start="latest")
+
+
+def test_topic_needs_the_connector(spark):
+    with pytest.raises(Exception, match="(?i)kafka"):
+        read_topic(spark, Topic("views", "h1:9092"), stream=False)
+
+
+def test_topic_of_files(spark, tmp_path):
+    topic = Topic(str(tmp_path / "topic"))
+    records = spark.sql("SELECT 'k' AS key, 'v' AS value, TIMESTAMP'2024-01-01' AS ts")
+    send = tables.send_records(topic, "checkpoint")
+    for batch_id in (0, 1, 1):
+        send(records, batch_id)
+    assert [tuple(r)[:2] for r in read_topic(spark, topic, stream=False).collect()] == [("k", "v")] * 2
+
+
+def test_repeated_batch_replaces_itself_and_runs_are_apart(spark, tmp_path):
+    path = str(tmp_path / "table")
+    first, second = tables.append_batches(path, "a"), tables.append_batches(path, "b", files=1)
+    first(spark.range(5), 0)
+    first(spark.range(3), 0)
+    second(spark.range(4).repartition(4), 0)
+    rows = tables.read_batches(spark, path, "id BIGINT")
+    assert Counter(r.run for r in rows.collect()) == {tables.run_of("a"): 3, tables.run_of("b"): 4}
+
+
+def test_console_lines(spark, capfd):
+    tables.print_lines()(spark.createDataFrame([("user", 3)], "key STRING, value BIGINT"), 0)
+    assert "user=3" in capfd.readouterr().out
+
+
+def test_frames(spark):
+    data = F.unhex(F.lit("0a0b"))
+    row = spark.range(1).select(avro.framed(data, 258).alias("f")).select("f", avro.unframed(F.col("f")).alias("u")).first()
+    assert bytes(row.f) == bytes([0, 0, 0, 1, 2, 10, 11]) and bytes(row.u) == bytes([10, 11])
+
+
+def test_synthetic_views_of_each_run(spark):
+    views = synthetic.page_views(spark.range(0, 500 * 81, 1, 7).withColumn("run", F.expr("id div 81")), seed=3).collect()
+    per_user = Counter((v.run, v.user) for v in views)
+    assert max(per_user.values()) == 9
+    zero = 500 * 9 - len(per_user)
+    assert 0.05 < zero / (500 * 9) < 0.15
+    industries = {}
+    for v in views:
+        industries.setdefault((v.run, v.user), set()).add(v.industry)
+    assert all(len(i) == 1 for i in industries.values())
+    assert {v.user for v in views} == set(synthetic.USERS)
+    assert {v.industry for v in views} == set(synthetic.INDUSTRIES)
+    pages = Counter(v.page for v in views)
+    assert set(pages) == set(synthetic.PAGES) and min(pages.values()) > 0.15 * len(views)
+    assert {v.flags for v in views} == {"ARTICLE"}
+
+
+def test_synthetic_items_of_each_run(spark):
+    items = synthetic.feed_items(spark.range(400 * 99).withColumn("run", F.expr("id div 99")), seed=3).collect()
+    per_run = Counter(i.run for i in items)
+    assert max(per_run.values()) <= 99 and 40 < len(items) / 400 < 60
+    assert {i.user for i in items} == set(synthetic.USERS)
+    assert all(i.is_new and i.content == "content" for i in items)
+
+
+def test_seed_fixes_the_draws(spark):
+    def views(seed, partitions):
+        return sorted(map(tuple, synthetic.page_views(spark.range(0, 810, 1, partitions), seed=seed).collect()))
+
+    assert views(1, 2) == views(1, 9) != views(2, 2)
+    assert len(views(1, 1)) == synthetic.generate_views(spark, runs=10, seed=1).count()
+    assert synthetic.generate_items(spark, runs=2).count() <= 198
