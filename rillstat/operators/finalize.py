@@ -24,7 +24,8 @@ def latest(updates: DataFrame, keys: Sequence[str], sequence: str, values: Seque
     ``sequence`` must differ between the updates of a key. With fixed-width values
     this is one hash aggregation, combined before the shuffle.
     """
-    return updates.groupBy(*keys).agg(*[F.max_by(name, sequence).alias(name) for name in values])
+    newest = [(F.max(name) if name == sequence else F.max_by(name, sequence)).alias(name) for name in values]
+    return updates.groupBy(*keys).agg(*newest)
 
 
 def final_windows(windows: DataFrame, key: str = "market", start: str = "start_time", lag: int = 2) -> DataFrame:

@@ -29,11 +29,12 @@ def new_items(feed: DataFrame) -> DataFrame:
 def only_series(points: DataFrame, series: Sequence[str] | DataFrame, key: str = "market") -> DataFrame:
     """Points of the given series: a list of names, or a table with the key column.
 
-    A table is joined as a semi join without a hint: Spark broadcasts it if its
-    size allows, and otherwise splits hot keys of a sort-merge join.
+    A table is reduced to its distinct keys and joined without a hint: Spark
+    broadcasts it if its size allows, and otherwise splits the hot keys of a
+    sort-merge join.
     """
     if isinstance(series, DataFrame):
-        return points.join(series.select(key), key, "left_semi")
+        return points.join(series.select(key).distinct(), key, "left_semi")
     return points.where(F.col(key).isin(list(series)))
 
 

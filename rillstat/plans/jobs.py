@@ -21,7 +21,7 @@ from rillstat.operators.telemetry import parse_lines
 from rillstat.sinks.tables import Sink, append_batches, send_records
 from rillstat.sources.results import parse_result_json
 from rillstat.sources.topics import Topic
-from rillstat.streaming.publishing import publish
+from rillstat.streaming.publishing import once_per_batch, publish
 from rillstat.streaming.rankings import rank_closed, rank_updates
 from rillstat.streaming.runs import start
 
@@ -72,9 +72,7 @@ def with_message(points: DataFrame) -> DataFrame:
 
 
 def published_points(updates: DataFrame, lag: int = 2) -> DataFrame:
-    """Points to publish, from ratio updates: as a stream, or their final state as a table."""
-    if updates.isStreaming:
-        return with_message(publish(updates, lag))
+    """The points published in the end, from a table of ratio updates."""
     newest = latest(updates, ["market", "start_time"], "seq", ["count", "utput"])
     return with_message(final_windows(newest, "market", "start_time", lag))
 
@@ -124,9 +122,11 @@ def start_publication(
     records: DataFrame, points: str, checkpoint: str, *, lag: int = 2, every: str | None = RATIO_TRIGGER, **options
 ) -> StreamingQuery:
     """Write each published window, with its message, to the table at ``points``."""
-    rows = published_points(ratio_updates(records), lag)
+    table = append_batches(points, checkpoint)
+    sink = once_per_batch(lambda batch, batch_id: table(with_message(batch), batch_id))
+    rows = publish(ratio_updates(records), lag)
     options = {"output_mode": "update"} | options
-    return start(rows, append_batches(points, checkpoint), checkpoint=checkpoint, every=every, **options)
+    return start(rows, sink, checkpoint=checkpoint, every=every, **options)
 
 
 def start_feed_counts(

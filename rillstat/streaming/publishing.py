@@ -8,9 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rillstat.operators.finalize import latest
+from rillstat.operators.ranking import SALTS
+from rillstat.sinks.tables import Sink
+
 #: Updates in, published windows out. ``seq`` rises from one update of a window to the next.
 UPDATE = "market STRING, start_time BIGINT, count BIGINT, utput DOUBLE, seq BIGINT"
 
+#: The part of a key that holds its latest windows.
+HELD = -1
+
 _COLUMNS = ["market", "start_time", "count", "utput", "seq"]
 
 
@@ -27,11 +34,21 @@ def arrive(held: dict[int, tuple], start: int, value: tuple, lag: int) -> tuple[
     return oldest, held.pop(oldest)
 
 
+def _mark(lag: int):
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            age = rows.groupby("market", dropna=False)["start_time"].rank(method="dense", ascending=False)
+            salt = pd.util.hash_array(rows["start_time"].to_numpy()) % SALTS
+            yield rows.assign(part=salt.astype("int64")).assign(part=lambda r: r["part"].where(age > lag, HELD))
+
+    return mark
+
+
 class HeldWindows(StatefulProcessor):
     """Holds the ``lag`` latest windows of each key, so the state is a few rows per key.
 
     Updates are taken as they come in, one Arrow batch at a time; a key is never
-    gathered as a whole.
+    gathered as a whole. Parts other than ``HELD`` are final and pass through.
     """
 
     def __init__(self, lag: int):
@@ -41,6 +58,11 @@ class HeldWindows(StatefulProcessor):
         self.state = handle.getListState("held", "start_time BIGINT, count BIGINT, utput DOUBLE, seq BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        market, part = key
+        if part != HELD:
+            for updates in rows:
+                yield updates[_COLUMNS]
+            return
         held = {row[0]: tuple(row[1:]) for row in self.state.get()}
         for updates in rows:
             published = []
@@ -48,7 +70,7 @@ class HeldWindows(StatefulProcessor):
             for start, count, utput, seq in zip(*(ordered[name].tolist() for name in _COLUMNS[1:])):
                 window = arrive(held, start, (count, utput, seq), self.lag)
                 if window is not None:
-                    published.append((key[0], window[0], *window[1]))
+                    published.append((market, window[0], *window[1]))
             yield pd.DataFrame(published, columns=_COLUMNS).astype(
                 {"start_time": "int64", "count": "int64", "utput": "float64", "seq": "int64"}
             )
@@ -61,11 +83,28 @@ class HeldWindows(StatefulProcessor):
 def publish(updates: DataFrame, lag: int = 2) -> DataFrame:
     """Stream of the windows to publish, given a stream of ``UPDATE`` rows.
 
-    What it publishes comes, last value per window, to what
-    :func:`rillstat.operators.finalize.final_windows` gives on the latest values.
+    An update behind ``lag`` later windows of its key in its own Arrow batch can no
+    longer be held by anyone, so it goes to a salted part of the key. What reaches
+    the state of a hot key is thus a few rows per batch, whatever the backlog.
+
+    A window can come more than once in a micro-batch; the row with the greatest
+    ``seq`` counts (:func:`once_per_batch`). What it publishes comes, last value per
+    window, to what :func:`rillstat.operators.finalize.final_windows` gives on the
+    latest values.
     """
     return (
         updates.select(*_COLUMNS)
-        .groupBy("market")
+        .mapInPandas(_mark(lag), f"{UPDATE}, part BIGINT")
+        .groupBy("market", "part")
         .transformWithStateInPandas(HeldWindows(lag), UPDATE, outputMode="Update", timeMode="None")
     )
+
+
+def once_per_batch(sink: Sink) -> Sink:
+    """Keep the last value of each window of a batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest = latest(batch, ["market", "start_time"], "seq", ["count", "utput", "seq"])
+        sink(newest, batch_id)
+
+    return write

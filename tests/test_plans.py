@@ -1,0 +1,46 @@
+"""What the plans of the main queries must and must not hold."""
+
+import re
+
+import pytest
+
+from rillstat.plans.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plan(spark, name):
+    return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"line_files", "watched_series"}))
+def test_one_scan_and_no_broadcast(spark, name):
+    text = plan(spark, name)
+    assert text.count("FileScan") == 1
+    assert "Broadcast" not in text and "Cartesian" not in text and "Python" not in text
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_only_needed_columns_are_read(spark, name):
+    schemas = re.findall(r"ReadSchema: struct<(.*)>", plan(spark, name))
+    assert schemas and not any("props" in schema for schema in schemas)
+
+
+@pytest.mark.parametrize(
+    "name, shuffles",
+    [
+        ("telemetry_parse", 0), ("article_views", 0),
+        ("ratio_by_date_region_market", 1), ("ratio_by_market_1h", 1), ("ratio_json_roundtrip", 1),
+        ("low_ratio_points", 1), ("feed_count_by_user", 1), ("article_counts_1h", 1), ("latest_update_per_window", 1),
+        ("top_articles", 2), ("top_articles_text", 2), ("last_20_points", 2), ("final_windows_lag2", 3),
+    ],
+)
+def test_number_of_shuffles(spark, name, shuffles):
+    assert plan(spark, name).count("Exchange hashpartitioning") == shuffles
+
+
+@pytest.mark.parametrize("name", ["ratio_by_market_1h", "feed_count_by_user", "article_counts_1h"])
+def test_aggregates_combine_before_the_shuffle(spark, name):
+    text = plan(spark, name)
+    assert text.index("HashAggregate") < text.index("Exchange") < text.index("partial_")
+    assert "SortAggregate" not in text

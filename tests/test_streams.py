@@ -240,3 +240,29 @@ def test_older_update_does_not_replace_a_held_one():
     publishing.arrive(held, 1, ("new", 5), 2)
     publishing.arrive(held, 1, ("old", 4), 2)
     assert held == {1: ("new", 5)}
+
+
+def test_publication_of_a_backlog_with_a_hot_key(spark, tmp_path):
+    """Two batches of many updates each, most of them of one key, in no order."""
+    path, points, checkpoint = (str(tmp_path / name) for name in ("in", "points", "checkpoint"))
+    for low, high in ((0, 2000), (1500, 4000)):
+        df = spark.range(low * 10, high * 10).select(
+            F.expr("CASE WHEN id % 10 < 8 THEN 'hot' ELSE concat('m', id % 3) END").alias("key"),
+            F.expr("""concat('{"market":"', CASE WHEN id % 10 < 8 THEN 'hot' ELSE concat('m', id % 3) END,
+                '", "start_time":"', 1000 * (id div 10), '", "count":"1", "UTput":"', id / 7, '"}')""").alias("value"),
+            F.expr(f"timestamp_micros({low} + id % 10)").alias("ts"),
+        )
+        # Of each window the updates differ in time, so that one is the last.
+        df.orderBy(F.xxhash64("value")).coalesce(2).write.mode("append").parquet(path)
+    for _ in range(2):
+        records = read_topic(spark, Topic(path, options={"maxFilesPerTrigger": "2"}))
+        runs.drain(jobs.start_publication(records, points, checkpoint, every=None), timeout=200)
+    log = read_batches(spark, points, jobs.POINT)
+    assert log.groupBy("market", "start_time", "batch_id").count().where("count > 1").count() == 0
+    table = latest_rows(spark, points, jobs.POINT, ["market", "start_time"], ["count", "utput"], "seq")
+    updates = jobs.ratio_updates(read_topic(spark, Topic(path), stream=False))
+    expected = jobs.published_points(updates).drop("message")
+    assert expected.where("market = 'hot'").count() == 4000 - 2
+    assert rows_of(table) == rows_of(expected)
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "held").load()
+    assert state.count() == 4 * 2
