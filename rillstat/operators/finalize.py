@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstat.operators.ranking import SALTS
+from rillstat.operators.ranking import ranked
 
 
 def latest(updates: DataFrame, keys: Sequence[str], sequence: str, values: Sequence[str]) -> DataFrame:
@@ -31,19 +31,15 @@ def latest(updates: DataFrame, keys: Sequence[str], sequence: str, values: Seque
 def final_windows(windows: DataFrame, key: str = "market", start: str = "start_time", lag: int = 2) -> DataFrame:
     """All windows of each key but the ``lag`` latest; one row per key and start.
 
-    Ranking a hot key in one task is avoided in two steps. Windows are ranked in
-    salted parts of their key; one behind ``lag`` others of its part is final.
-    The few others, which hold the ``lag`` latest of the key, are ranked together.
+    Finds the ``lag``-th latest start of each key, for which only ``lag`` rows per
+    key and task are shuffled, and keeps what is older. No key is sorted or ranked
+    as a whole. The join has no hint: few keys are broadcast if Spark finds them
+    small enough, and a hot key of a sort-merge join is split.
+
+    The windows are read twice, the first time only key and start. Give a stored
+    table, not a costly aggregation (:func:`rillstat.sinks.tables.stored`).
     """
-    salt = F.pmod(F.xxhash64(F.col(start)), F.lit(SALTS))
-    in_part = Window.partitionBy(key, "_part").orderBy(F.col(start).desc())
-    windows = windows.withColumn("_part", salt).withColumn("_rank", F.row_number().over(in_part))
-    # Leaders share part -1 of their key; the rest stay in their own part.
-    regroup = F.when(F.col("_rank") <= lag, F.lit(-1)).otherwise(F.col("_part"))
-    leaders = Window.partitionBy(key, "_group").orderBy(F.col(start).desc())
-    return (
-        windows.withColumn("_group", regroup)
-        .withColumn("_rank_of_leader", F.row_number().over(leaders))
-        .where((F.col("_rank") > lag) | (F.col("_rank_of_leader") > lag))
-        .drop("_part", "_rank", "_group", "_rank_of_leader")
-    )
+    newest = ranked(windows.select(key, start), [key], [F.col(start).desc()], lag)
+    bounds = newest.where(F.col("rank") == lag).select(F.col(key).alias("_key"), F.col(start).alias("_bound"))
+    older = F.col(key).eqNullSafe(F.col("_key")) & (F.col(start) < F.col("_bound"))
+    return windows.join(bounds, older).drop("_key", "_bound")

@@ -18,7 +18,7 @@ from rillstat.operators.finalize import final_windows, latest
 from rillstat.operators.ranking import pages_text, top_pages
 from rillstat.operators.selections import article_views, new_items
 from rillstat.operators.telemetry import parse_lines
-from rillstat.sinks.tables import Sink, append_batches, send_records
+from rillstat.sinks.tables import Sink, append_batches, send_records, stored
 from rillstat.sources.results import parse_result_json
 from rillstat.sources.topics import Topic
 from rillstat.streaming.publishing import once_per_batch, publish
@@ -74,7 +74,7 @@ def with_message(points: DataFrame) -> DataFrame:
 def published_points(updates: DataFrame, lag: int = 2) -> DataFrame:
     """The points published in the end, from a table of ratio updates."""
     newest = latest(updates, ["market", "start_time"], "seq", ["count", "utput"])
-    return with_message(final_windows(newest, "market", "start_time", lag))
+    return with_message(final_windows(stored(newest, "latest-ratios"), "market", "start_time", lag))
 
 
 def feed_counts(feed: DataFrame) -> DataFrame:

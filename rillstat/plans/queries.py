@@ -17,6 +17,7 @@ from rillstat.operators.selections import article_views, only_series, with_level
 from rillstat.operators.telemetry import parse_lines, rejects
 from rillstat.plans import inputs, jobs
 from rillstat.session import new_folder
+from rillstat.sinks.tables import stored
 from rillstat.sources import synthetic
 from rillstat.sources.files import read_lines
 from rillstat.sources.results import parse_message, parse_result_json
@@ -79,7 +80,8 @@ def ratio_json_roundtrip_unwindowed(spark, folder):
 
 
 def final_windows_lag2(spark, folder):
-    return rounded(final_windows(_ratios(spark, folder, "1 hour")), MBIT_PLACES)
+    ratios = stored(_ratios(spark, folder, "1 hour"), "ratios")
+    return rounded(final_windows(ratios), MBIT_PLACES)
 
 
 def latest_update_per_window(spark, folder):

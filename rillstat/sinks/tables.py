@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstat.operators.finalize import latest
+from rillstat.session import new_folder
 from rillstat.sources.topics import Topic
 
 Sink = Callable[[DataFrame, int], None]
@@ -79,3 +80,13 @@ def latest_rows(
 ) -> DataFrame:
     """The table that a log of updates stands for: the last values of each key."""
     return latest(read_batches(spark, path, schema), keys, sequence, values)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a table under the shared folder, and read from there.
+
+    For what is read more than once. Unlike a cache, it outlives the executors.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

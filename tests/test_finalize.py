@@ -62,3 +62,25 @@ def test_latest_is_a_hash_aggregation(spark):
     df = spark.createDataFrame([("m", 1, 0.5, 0)], "market STRING, start_time BIGINT, utput DOUBLE, seq BIGINT")
     plan = finalize.latest(df, ["market", "start_time"], "seq", ["utput"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_keys_of_null_and_of_few_windows(spark):
+    rows = [(None, 1), (None, 2), (None, 3), ("a", 1), ("a", 2), ("b", 1)]
+    df = spark.createDataFrame(rows, "market STRING, start_time BIGINT")
+    assert [tuple(r) for r in finalize.final_windows(df).collect()] == [(None, 1)]
+
+
+def test_without_broadcast(spark):
+    rows = [("hot", i) for i in range(5000)] + [(f"k{i % 100}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "market STRING, start_time BIGINT")
+    before = {n: spark.conf.get(n, None) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for name in before:
+        spark.conf.set(name, "-1")
+    try:
+        final = finalize.final_windows(df)
+        assert "SortMergeJoin" in final._jdf.queryExecution().executedPlan().toString()
+        assert final.where("market = 'hot'").count() == 4998
+        assert final.count() == 4998 + 300
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -13,7 +13,7 @@ def plan(spark, name):
     return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"line_files", "watched_series"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"line_files", "watched_series", "final_windows_lag2"}))
 def test_one_scan_and_no_broadcast(spark, name):
     text = plan(spark, name)
     assert text.count("FileScan") == 1
@@ -32,13 +32,19 @@ def test_only_needed_columns_are_read(spark, name):
         ("telemetry_parse", 0), ("article_views", 0),
         ("ratio_by_date_region_market", 1), ("ratio_by_market_1h", 1), ("ratio_json_roundtrip", 1),
         ("low_ratio_points", 1), ("feed_count_by_user", 1), ("article_counts_1h", 1), ("latest_update_per_window", 1),
-        ("top_articles", 2), ("top_articles_text", 2), ("last_20_points", 2), ("final_windows_lag2", 3),
+        ("top_articles", 2), ("top_articles_text", 2), ("last_20_points", 2), ("final_windows_lag2", 1),
     ],
 )
 def test_number_of_shuffles(spark, name, shuffles):
     assert plan(spark, name).count("Exchange hashpartitioning") == shuffles
 
 
+def test_windows_are_ranked_only_for_their_bound(spark):
+    text = plan(spark, "final_windows_lag2")
+    assert text.count("FileScan") == 2 and text.count("WindowGroupLimit") == 2
+    assert "ReadSchema: struct<market:string,start_time:bigint>" in text
+
+
 @pytest.mark.parametrize("name", ["ratio_by_market_1h", "feed_count_by_user", "article_counts_1h"])
 def test_aggregates_combine_before_the_shuffle(spark, name):
     text = plan(spark, name)
