@@ -17,7 +17,7 @@ from rillstat.operators.selections import article_views, only_series, with_level
 from rillstat.operators.telemetry import parse_lines, rejects
 from rillstat.plans import inputs, jobs
 from rillstat.session import new_folder
-from rillstat.sinks.tables import stored
+from rillstat.sinks.tables import stored, write_lines
 from rillstat.sources import synthetic
 from rillstat.sources.files import read_lines
 from rillstat.sources.results import parse_message, parse_result_json
@@ -49,10 +49,10 @@ def telemetry_rejects(spark, folder):
 
 
 def line_files(spark, folder):
-    """The lines written as text files and read back from there."""
+    """The lines written to files with a header, and read back from there."""
     path = new_folder(spark, "lines")
-    inputs.telemetry(spark, folder).select("line").write.text(path)
-    return parse_lines(read_lines(spark, path)).select("region", "market", "num", "den")
+    write_lines(inputs.telemetry(spark, folder), path)
+    return parse_lines(read_lines(spark, path, header=True)).select("region", "market", "num", "den")
 
 
 def ratio_by_date_region_market(spark, folder):

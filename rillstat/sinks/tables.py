@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rillstat.operators.finalize import latest
 from rillstat.session import new_folder
+from rillstat.sources.files import WHOLE_LINE
 from rillstat.sources.topics import Topic
 
 Sink = Callable[[DataFrame, int], None]
@@ -30,12 +31,13 @@ def append_batches(path: str, checkpoint: str, files: int | None = None) -> Sink
     """Write batches to ``path/run=<run>/batch_id=<n>``.
 
     Batch numbers start over with a new checkpoint, and so does the run. ``files``
-    limits the files per batch, where small batches come often.
+    is the number of files per batch, where small batches come often; the rows are
+    shuffled into them, which leaves the state its own partitions.
     """
     run = run_of(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if files is None else batch.coalesce(files)
+        rows = batch if files is None else batch.repartition(files)
         rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
     return write
@@ -82,6 +84,12 @@ def latest_rows(
     return latest(read_batches(spark, path, schema), keys, sequence, values)
 
 
+def write_lines(df: DataFrame, path: str, line: str = "line") -> None:
+    """Write lines to files that begin with a header each, the column's name."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    df.select(line).write.options(header=True, **WHOLE_LINE, **blanks).csv(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to a table under the shared folder, and read from there.
 

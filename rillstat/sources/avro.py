@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 FRAME = 5
 
-#: Feed items. The names and types are those of the records on the topic.
+#: Feed items. Fields and types, in order, of the records on the topic.
 FEED_SCHEMA = json.dumps({
-    "namespace": "WikipediaFeed",
     "type": "record",
-    "name": "WikiFeed",
+    "name": "feed_item",
     "fields": [
         {"name": "user", "type": "string"},
         {"name": "is_new", "type": "boolean"},
@@ -24,9 +23,6 @@ FEED_SCHEMA = json.dumps({
     ],
 })
 
-FEED_COLUMNS = "user STRING NOT NULL, is_new BOOLEAN NOT NULL, content STRING"
-
-
 def unframed(value: Column) -> Column:
     """The Avro bytes behind the frame."""
     return F.substring(value, FRAME + 1, 2**31 - 1 - FRAME)

@@ -7,6 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Makes one field of a line, as no separator, quote or escape occurs in it. What
+#: remains of the CSV format is that it knows headers.
+WHOLE_LINE = {"sep": "\u0001", "quote": "", "escape": ""}
+
 
 def _reader(spark: SparkSession, stream: bool, files_per_trigger: int | None, bytes_per_trigger: int | None):
     if not stream:
@@ -40,10 +44,7 @@ def read_lines(
     """
     reader = _reader(spark, stream, files_per_trigger, bytes_per_trigger)
     if header is True:
-        # No separator, quote or escape occurs in a line, so each is one field;
-        # what remains of the CSV source is that it skips headers.
-        reader = reader.options(header=True, sep="\u0001", quote="", escape="")
-        lines = reader.schema("line STRING").csv(path)
+        lines = reader.options(header=True, **WHOLE_LINE).schema("line STRING").csv(path)
     else:
         lines = reader.text(path).withColumnRenamed("value", "line")
         if header:

@@ -51,6 +51,15 @@ def test_header_of_a_file_in_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_lines_written_with_a_header(spark, tmp_path):
+    lines = ['a,1,"x', " b\\,2é, ", "c,3", "line"]
+    path = str(tmp_path / "lines")
+    tables.write_lines(spark.createDataFrame([(line,) for line in [*lines, ""]], "line STRING").repartition(2), path)
+    assert sorted(r.line for r in read_lines(spark, path, header=True).collect() if r.line) == sorted(lines)
+    raw = [r.line for r in read_lines(spark, path).collect()]
+    assert sorted(line for line in raw if line) == sorted([*lines, "line", "line"])
+
+
 def test_key_from_the_file_name(spark, folder):
     assert {r.key for r in read_lines(spark, folder, tag=True).collect()} == {"Colorado", "Oregon"}
     assert {r.key for r in read_lines(spark, folder, header=HEADER, tag=True).collect()} == {"Colorado", "Oregon"}
