@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillstat.operators.finalize import latest
-from rillstat.operators.ranking import SALTS
 from rillstat.sinks.tables import Sink
 
+# What runs in the Python workers goes there by value: the package need not be
+# installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Updates in, published windows out. ``seq`` rises from one update of a window to the next.
 UPDATE = "market STRING, start_time BIGINT, count BIGINT, utput DOUBLE, seq BIGINT"
 
@@ -34,12 +40,14 @@ def arrive(held: dict[int, tuple], start: int, value: tuple, lag: int) -> tuple[
     return oldest, held.pop(oldest)
 
 
-def _mark(lag: int):
+def _mark(lag: int, parts: int):
+    """Give each update the ``holder`` it goes to, its market, or no holder and a part from 0."""
+
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            age = rows.groupby("market", dropna=False)["start_time"].rank(method="dense", ascending=False)
-            salt = pd.util.hash_array(rows["start_time"].to_numpy()) % SALTS
-            yield rows.assign(part=salt.astype("int64")).assign(part=lambda r: r["part"].where(age > lag, HELD))
+            age = rows.groupby("market")["start_time"].rank(method="dense", ascending=False)
+            part = pd.Series(pd.util.hash_array(rows["start_time"].to_numpy()) % parts, rows.index, "int64")
+            yield rows.assign(holder=rows["market"].where(age <= lag, ""), part=part.where(age > lag, HELD))
 
     return mark
 
@@ -48,7 +56,7 @@ class HeldWindows(StatefulProcessor):
     """Holds the ``lag`` latest windows of each key, so the state is a few rows per key.
 
     Updates are taken as they come in, one Arrow batch at a time; a key is never
-    gathered as a whole. Parts other than ``HELD`` are final and pass through.
+    gathered as a whole. Updates in other parts than ``HELD`` are final and pass.
     """
 
     def __init__(self, lag: int):
@@ -58,7 +66,7 @@ class HeldWindows(StatefulProcessor):
         self.state = handle.getListState("held", "start_time BIGINT, count BIGINT, utput DOUBLE, seq BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        market, part = key
+        holder, part = key
         if part != HELD:
             for updates in rows:
                 yield updates[_COLUMNS]
@@ -70,7 +78,7 @@ class HeldWindows(StatefulProcessor):
             for start, count, utput, seq in zip(*(ordered[name].tolist() for name in _COLUMNS[1:])):
                 window = arrive(held, start, (count, utput, seq), self.lag)
                 if window is not None:
-                    published.append((market, window[0], *window[1]))
+                    published.append((holder, window[0], *window[1]))
             yield pd.DataFrame(published, columns=_COLUMNS).astype(
                 {"start_time": "int64", "count": "int64", "utput": "float64", "seq": "int64"}
             )
@@ -84,18 +92,21 @@ def publish(updates: DataFrame, lag: int = 2) -> DataFrame:
     """Stream of the windows to publish, given a stream of ``UPDATE`` rows.
 
     An update behind ``lag`` later windows of its key in its own Arrow batch can no
-    longer be held by anyone, so it goes to a salted part of the key. What reaches
-    the state of a hot key is thus a few rows per batch, whatever the backlog.
+    longer be held by anyone, so it goes to one of as many parts as there are cores.
+    What reaches the state of a hot key is thus a few rows per Arrow batch, whatever
+    the backlog.
 
     A window can come more than once in a micro-batch; the row with the greatest
     ``seq`` counts (:func:`once_per_batch`). What it publishes comes, last value per
     window, to what :func:`rillstat.operators.finalize.final_windows` gives on the
     latest values.
     """
+    parts = updates.sparkSession.sparkContext.defaultParallelism
     return (
         updates.select(*_COLUMNS)
-        .mapInPandas(_mark(lag), f"{UPDATE}, part BIGINT")
-        .groupBy("market", "part")
+        .where(F.col("market").isNotNull())
+        .mapInPandas(_mark(lag, parts), f"{UPDATE}, holder STRING, part BIGINT")
+        .groupBy("holder", "part")
         .transformWithStateInPandas(HeldWindows(lag), UPDATE, outputMode="Update", timeMode="None")
     )
 

@@ -1,6 +1,11 @@
 """Streams over ordered files against the batch form of the same work."""
 
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rillstat.operators.aggregates import ratio_by
@@ -59,7 +64,7 @@ def test_counts_are_updated_and_resumed(spark, tmp_path):
     feed = inputs.feed(spark, FOLDER)
     path, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
     topic = Topic(str(tmp_path / "topic"))
-    thirds = feed.withColumn("third", F.ntile(3).over(__import__("pyspark").sql.Window.orderBy("ts")))
+    thirds = feed.withColumn("third", F.ntile(3).over(Window.orderBy("ts")))
     for third in (1, 2, 3):
         thirds.where(F.col("third") == third).drop("third").coalesce(1).write.mode("append").parquet(path)
         if third == 1:
@@ -235,6 +240,27 @@ def test_settings_are_given_back(spark, tmp_path):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
+def test_workers_do_not_need_the_package(tmp_path):
+    parts = [publishing.HeldWindows(2), publishing._mark(2, 8)]
+    (tmp_path / "parts").write_bytes(cloudpickle.dumps(parts))
+    code = """
+import pickle, sys
+import pandas as pd
+processor, mark = pickle.load(open("parts", "rb"))
+assert not any(name.startswith("rillstat") for name in sys.modules)
+class State(list):
+    get = lambda self: iter(self)
+    put = lambda self, rows: self.__setitem__(slice(None), rows)
+processor.state = State()
+rows = pd.DataFrame({"market": "m", "start_time": [1, 2, 3], "count": 1, "utput": 0.5, "seq": [1, 2, 3]})
+(marked,) = mark(iter([rows]))
+assert (marked["part"] == -1).tolist() == [False, True, True]
+(out,) = processor.handleInputRows(("m", -1), iter([rows]), None)
+assert out.values.tolist() == [["m", 1, 1, 0.5, 1]] and len(processor.state) == 2
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
 def test_older_update_does_not_replace_a_held_one():
     held = {}
     publishing.arrive(held, 1, ("new", 5), 2)
