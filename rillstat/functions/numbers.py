@@ -10,23 +10,20 @@ from pyspark.sql import functions as F
 NON_FINITE_TEXT = r"^[\x00-\x20]*[+-]?(NaN|Infinity)[\x00-\x20]*$|[0-9]"
 
 
-def strict_double(text: Column, value: Column) -> Column:
-    """``value``, the ``try_cast`` of ``text``, or NULL if the spelling is not allowed."""
-    non_finite = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return F.when(non_finite & ~text.rlike(NON_FINITE_TEXT), F.lit(None).cast("double")).otherwise(value)
+def strict_double(text: str, value: str) -> str:
+    """SQL for ``value``, the ``try_cast`` of ``text``, or NULL if the spelling is not allowed."""
+    non_finite = f"(isnan({value}) OR abs({value}) = double('Infinity'))"
+    return f"CASE WHEN {non_finite} AND NOT {text} RLIKE r'{NON_FINITE_TEXT}' THEN NULL ELSE {value} END"
 
 
-def ieee_ratio(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:
+def ieee_ratio(numerator: str, denominator: str, scale: float = 1.0) -> Column:
     """``numerator / denominator / scale`` with 0/0 = NaN and x/0 = signed infinity.
 
     ANSI mode raises on a zero divisor, so the division only runs for the others.
     """
     n, d = numerator, denominator
-    ratio = (
-        F.when(d != 0, n / d)
-        .when(d.isNull() | n.isNull(), F.lit(None).cast("double"))
-        .when((n == 0) | F.isnan(n), F.lit(float("nan")))
-        .when(n < 0, F.lit(float("-inf")))
-        .otherwise(F.lit(float("inf")))
-    )
-    return ratio if scale == 1.0 else ratio / F.lit(float(scale))
+    ratio = f"""CASE WHEN {d} <> 0 THEN {n} / {d}
+        WHEN {n} IS NULL OR {d} IS NULL THEN NULL
+        WHEN {n} = 0 OR isnan({n}) THEN double('NaN')
+        WHEN {n} < 0 THEN double('-Infinity') ELSE double('Infinity') END"""
+    return F.expr(ratio if scale == 1.0 else f"({ratio}) / double({scale!r})")

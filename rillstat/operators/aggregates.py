@@ -57,7 +57,7 @@ def ratio_by(
     sums = groups.agg(
         count.alias("count"), F.sum("num").alias("numerator"), F.sum("den").alias("denominator")
     )
-    utput = ieee_ratio(F.col("numerator"), F.col("denominator"), scale)
+    utput = ieee_ratio("numerator", "denominator", scale)
     return sums.select(*keys, *start, "count", "numerator", "denominator", utput.alias("utput"))
 
 

@@ -6,7 +6,7 @@ throughput numerator (kbit) and denominator (s) at 12 and 13.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstat.functions.numbers import strict_double
@@ -18,7 +18,7 @@ def non_empty(df: DataFrame, line: str = "line") -> DataFrame:
     return df.where(F.col(line) != "")
 
 
-def _examined(df: DataFrame, line: str, on_bad: Column | None = None) -> DataFrame:
+def _examined(df: DataFrame, line: str, on_bad: str = "NULL") -> DataFrame:
     """The non-empty lines with the columns of :func:`parse_lines`, NULL where a line is bad.
 
     Each step reads columns of the one before, so that a line is split once. The
@@ -26,34 +26,25 @@ def _examined(df: DataFrame, line: str, on_bad: Column | None = None) -> DataFra
     where a filter on plain columns would be pushed below the split, with a split
     of its own for every column it names.
     """
-    part = lambda i: F.get("_parts", F.lit(i))
-    # All that is left after the twelfth comma may be commas, which stands for zeros.
-    rest = F.translate(F.coalesce(part(DENOMINATOR + 1), F.lit("")), ",", "")
-    blank = (part(NUMERATOR) == "") & (part(DENOMINATOR) == "") & (rest == "")
+    num, den, rest = (f"get(_parts, {i})" for i in (NUMERATOR, DENOMINATOR, DENOMINATOR + 1))
     # The limit leaves whatever follows the denominator in one piece.
-    split = non_empty(df, line).withColumn("_parts", F.split(line, ",", DENOMINATOR + 2))
-    values = split.withColumns({
-        "_region": part(REGION),
-        "_market": part(MARKET),
-        "_num": part(NUMERATOR).try_cast("double"),
-        "_den": part(DENOMINATOR).try_cast("double"),
-        "_blank": F.coalesce(blank, F.lit(False)),
-    })
-    numbers = values.withColumns({
-        "_num": F.when(F.col("_blank"), 0.0).otherwise(strict_double(part(NUMERATOR), F.col("_num"))),
-        "_den": F.when(F.col("_blank"), 0.0).otherwise(strict_double(part(DENOMINATOR), F.col("_den"))),
-    })
-    record = F.struct(
-        F.col("_region").alias("region"),
-        F.col("_market").alias("market"),
-        F.col("_num").alias("num"),
-        F.col("_den").alias("den"),
-        (~F.col("_blank")).alias("counted"),
+    split = non_empty(df, line).selectExpr("*", f"split(`{line}`, ',', {DENOMINATOR + 2}) AS _parts")
+    values = split.selectExpr(
+        "*",
+        f"try_cast({num} AS DOUBLE) AS _num",
+        f"try_cast({den} AS DOUBLE) AS _den",
+        # All that is left after the twelfth comma may be commas, which stands for zeros.
+        f"coalesce({num} = '' AND {den} = '' AND translate(coalesce({rest}, ''), ',', '') = '', false) AS _blank",
     )
-    records = F.when(F.col("_num").isNotNull() & F.col("_den").isNotNull(), F.array(record))
-    if on_bad is not None:
-        records = records.otherwise(on_bad)
-    return numbers.select(*df.columns, records.alias("_records")).select(*df.columns, F.inline_outer("_records"))
+    numbers = values.selectExpr(
+        "* EXCEPT (_num, _den)",
+        f"CASE WHEN _blank THEN 0D ELSE {strict_double(num, '_num')} END AS _num",
+        f"CASE WHEN _blank THEN 0D ELSE {strict_double(den, '_den')} END AS _den",
+    )
+    record = f"""named_struct('region', get(_parts, {REGION}), 'market', get(_parts, {MARKET}),
+        'num', _num, 'den', _den, 'counted', NOT _blank)"""
+    records = f"CASE WHEN _num IS NOT NULL AND _den IS NOT NULL THEN array({record}) ELSE {on_bad} END"
+    return numbers.selectExpr("* EXCEPT (_parts, _num, _den, _blank)", f"inline_outer({records})")
 
 
 def parse_lines(df: DataFrame, line: str = "line", on_error: str = "drop") -> DataFrame:
@@ -65,15 +56,13 @@ def parse_lines(df: DataFrame, line: str = "line", on_error: str = "drop") -> Da
     """
     if on_error not in ("drop", "fail"):
         raise ValueError(f"on_error must be 'drop' or 'fail', not {on_error!r}")
-    failure = None
     if on_error == "fail":
-        failure = F.raise_error(F.concat(F.lit("bad telemetry line: "), F.col(line)))
-    rows = _examined(df, line, failure)
-    if on_error == "drop":
-        rows = rows.where(F.col("counted").isNotNull())
+        rows = _examined(df, line, f"raise_error(concat('bad telemetry line: ', `{line}`))")
+    else:
+        rows = _examined(df, line).where("counted IS NOT NULL")
     return rows.drop(line)
 
 
 def rejects(df: DataFrame, line: str = "line") -> DataFrame:
     """The rows of ``df`` that :func:`parse_lines` leaves out, empty lines aside."""
-    return _examined(df, line).where(F.col("counted").isNull()).select(*df.columns)
+    return _examined(df, line).where("counted IS NULL").select(*df.columns)

@@ -143,6 +143,15 @@ def test_frames(spark):
     assert bytes(row.f) == bytes([0, 0, 0, 1, 2, 10, 11]) and bytes(row.u) == bytes([10, 11])
 
 
+def test_avro_needs_its_module(spark):
+    framed = spark.sql("SELECT 'k' AS key, X'0000000001' AS value")
+    with pytest.raises(Exception, match="FROM_AVRO.*not loaded"):
+        avro.decode(framed, avro.FEED_SCHEMA)
+    items = synthetic.generate_items(spark)
+    with pytest.raises(Exception, match="TO_AVRO.*not loaded"):
+        avro.encode(items, items.columns, avro.FEED_SCHEMA, 7)
+
+
 def test_synthetic_views_of_each_run(spark):
     views = synthetic.page_views(spark.range(0, 500 * 81, 1, 7).withColumn("run", F.expr("id div 81")), seed=3).collect()
     per_user = Counter((v.run, v.user) for v in views)
