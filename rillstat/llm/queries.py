@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstat.llm.near_duplicates import near_duplicates
+from rillstat.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score of toxicity."""
+    return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its near-duplicate component."""
     return near_duplicates(_table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
 
