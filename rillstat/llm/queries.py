@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstat.llm.near_duplicates import near_duplicates
+from rillstat.llm.quality import quality
 from rillstat.llm.toxicity import toxicity
 
 
@@ -22,9 +23,15 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score of quality."""
+    return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
 ORACLES = {
