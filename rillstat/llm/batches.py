@@ -29,13 +29,14 @@ def slices(batch: pa.RecordBatch, columns: list[str], limit: int = SLICE_BYTES)
 
 
 def map_slices(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, columns: list[str]
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, columns: list[str],
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply ``work`` to slices of ``df``; rows in, any number of rows out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, columns):
+            for piece in slices(batch, columns, limit):
                 made = work(piece)
                 if made is not None and made.num_rows:
                     yield made

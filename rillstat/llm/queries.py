@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillstat.llm.decontamination import contaminated
 from rillstat.llm.near_duplicates import near_duplicates
 from rillstat.llm.quality import quality
 from rillstat.llm.toxicity import toxicity
@@ -18,6 +19,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place where a document holds a benchmark item."""
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its near-duplicate component."""
     return near_duplicates(_table(spark, folder, "documents"))
@@ -30,6 +36,7 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
 }
