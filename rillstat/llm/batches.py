@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -42,3 +43,21 @@ def map_slices(
                     yield made
 
     return df.mapInArrow(run, schema)
+
+
+def text_column(work: Callable[[pa.RecordBatch], pa.Array], type: str, columns: list[str], limit: int = SLICE_BYTES) -> Column:
+    """A column computed from slices of ``columns``, of which the first is the text."""
+
+    def whole(*arrays: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays(list(arrays), names=columns)
+        return pa.concat_arrays([work(piece) for piece in slices(batch, columns[:1], limit)] or [work(batch)])
+
+    if len(columns) == 1:
+        def one(text: pa.Array) -> pa.Array:
+            return whole(text)
+        return F.arrow_udf(one, type)(*columns)
+
+    def two(text: pa.Array, other: pa.Array) -> pa.Array:
+        return whole(text, other)
+
+    return F.arrow_udf(two, type)(*columns)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstat.llm.batches import map_slices
+from rillstat.llm.batches import map_slices, text_column
 
 #: Characters of a gram.
 Q = 12
@@ -297,3 +297,28 @@ def contaminated(
         made = map_slices(rows, work, MATCH, ["text"], 512 << 10)
         result = made if result is None else result.union(made)
     return rows.sparkSession.createDataFrame([], MATCH) if result is None else result
+
+
+def decontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    q: int = Q,
+    rate: float = RATE,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, as :func:`contaminated` finds them."""
+    for block in _blocks(benchmark, item_id, item_text, block_chars):
+        index = index_items(block, q, rate)
+
+        def work(batch: pa.RecordBatch, index: Index = index, cache: dict = {}) -> pa.Array:  # noqa: B006  one per worker
+            if "searcher" not in cache:
+                cache["searcher"] = Searcher(index)
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[[found[0] for found in cache["searcher"].search(batch.column(0).to_pylist())]] = False
+            return pa.array(clean)
+
+        docs = docs.filter(text_column(work, "boolean", [text], 512 << 10))
+    return docs

@@ -239,3 +239,17 @@ def near_duplicates(
         component.alias("component_id"),
         (F.col("id").eqNullSafe(component)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: one that has the component's id.
+
+    Rows without an id stay, as nothing names them.
+    """
+    found = near_duplicates(docs, id, text, **options).groupBy(F.col(id).alias("_id"))
+    marks = found.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).filter("_id IS NOT NULL AND (NOT _kept OR _rows > 1)")
+    marks = stored(marks, "marks")
+    same = F.col(id).cast("bigint") == F.col("_id")
+    once = docs.join(marks, same, "left_anti")
+    repeated = docs.join(marks.filter("_kept"), same, "left_semi").dropDuplicates([id])
+    return once.unionByName(repeated)

@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstat.llm.batches import map_slices
+from rillstat.llm.batches import text_column
 from rillstat.llm.hashing import LOWER, SPACE, distinct_by_row, span_hashes, utf8, words
 from rillstat.llm.labels import class_weights, fold, labelled_sample, logistic, sigmoid
 
@@ -209,6 +209,19 @@ def quality(
     Without rows of both labels the score is the share of label 1 (0 without any). An empty table gives an
     empty result; other columns are ignored.
     """
+    score = score_column(docs, labels, id, text, n_chars, target, per_label, longest)
+    return docs.select(F.col(id).cast("bigint").alias(id), score.alias("score")).select(
+        id,
+        F.coalesce(fold(id) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def score_column(
+    docs: DataFrame, labels: DataFrame, id: str, text: str, n_chars: str | None, target: str, per_label: int, longest: int
+) -> Column:
+    """The score of a row of ``docs``, by a model that is fitted now."""
     sample, share = labelled_sample(docs, labels, target, id, text, per_label, longest)
     texts = [value for _, value in sample]
     # The sample comes without its declared counts; they are those of the texts.
@@ -216,20 +229,25 @@ def quality(
     made = features(pa.array(texts, pa.large_string()), counts)
     model = train(made, np.array([y for y, _ in sample], dtype=float), share)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if isinstance(model, float):
-            score = np.full(batch.num_rows, model)
-        else:
-            score = model.score(features(batch.column(1), batch.column(2) if n_chars else None))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.astype(np.float64))], names=["id", "score"])
+    def work(batch: pa.RecordBatch) -> pa.Array:
+        if isinstance(model, float) or not batch.num_rows:
+            return pa.array(np.full(batch.num_rows, model if isinstance(model, float) else 0.0))
+        return pa.array(model.score(features(batch.column(0), batch.column(1) if n_chars else None)).astype(np.float64))
 
-    rows = docs.select(
-        F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), *([F.col(n_chars).cast("bigint").alias("n")] if n_chars else [])
-    )
-    scored = map_slices(rows, work, "id BIGINT, score DOUBLE", ["text"])
-    return scored.select(
-        F.col("id").alias(id),
-        F.coalesce(fold("id") == 2, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
-    )
+    return text_column(work, "double", [text, n_chars] if n_chars else [text])
+
+
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    n_chars: str | None = "n_chars",
+    target: str = "quality",
+    threshold: float = 0.7,
+    per_label: int = 3000,
+    longest: int = 40_000,
+) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, as :func:`quality` gives it."""
+    score = score_column(docs, labels, id, text, n_chars, target, per_label, longest)
+    return docs.filter(score >= threshold)

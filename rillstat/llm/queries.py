@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rillstat.llm.decontamination import contaminated
+from rillstat.llm.mixing import mixed
 from rillstat.llm.near_duplicates import near_duplicates
 from rillstat.llm.quality import quality
+from rillstat.llm.sharding import sharded
 from rillstat.llm.toxicity import toxicity
 
 
+#: Targets of the mixture: the power of each marginal's shares.
+TARGETS = {"source": 0.5, "lang": 0.5, "topic": 0.5}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -24,6 +31,15 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op4_mix_to_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """A sample of the documents with the square roots of the shares of sources, languages and topics for targets."""
+    chosen = mixed(_table(spark, folder, "documents"), TARGETS)
+    return chosen.select(
+        "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"),
+        F.col("mix_probability").alias("probability"), F.col("mix_weight").alias("weight"),
+    )
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its near-duplicate component."""
     return near_duplicates(_table(spark, folder, "documents"))
@@ -34,11 +50,18 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op9_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its shard of 16 and its slot there."""
+    return sharded(_table(spark, folder, "documents"), carry=False)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_mix_to_targets": op4_mix_to_targets,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_sampled_splitters": op9_sampled_splitters,
 }
 
 ORACLES = {
