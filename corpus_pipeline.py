@@ -1,25 +1,56 @@
-"""A corpus cleaned, deduplicated, decontaminated, mixed and sharded, stage by stage."""
+"""A corpus filtered, deduplicated, decontaminated, mixed and sharded, stage by stage.
+
+Each stage takes the session, the documents its predecessor kept and the folder of the tables,
+and returns the documents it keeps with their own columns; the last one adds the shard.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from rillstat.llm.near_duplicates import near_duplicates
+from rillstat.llm.decontamination import decontaminated
+from rillstat.llm.mixing import mixed
+from rillstat.llm.near_duplicates import deduplicated
+from rillstat.llm.quality import accepted
+from rillstat.llm.queries import TARGETS
+from rillstat.llm.sharding import sharded
 from rillstat.session import new_folder
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the least id."""
-    extra = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return deduplicated(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with the target marginals."""
+    return mixed(docs, TARGETS).select(*docs.columns)
+
+
+def placed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and slot."""
+    return sharded(docs)
 
 
 STAGES = [
-    ("MinHash near-dedup", deduplicated),
+    ("quality classifier", good),
+    ("MinHash near-dedup", distinct),
+    ("benchmark decontamination", clean),
+    ("mixing sources to target weights", weighted),
+    ("sharding", placed),
 ]
 
-#: Stages fit models and use MinHash, which SQL cannot express.
+#: The classifier's model and MinHash cannot be said in SQL.
 ORACLE_SQL = None
 
 
