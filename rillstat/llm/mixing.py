@@ -22,6 +22,9 @@ Target = Mapping[str, float] | float
 #: Scales that are tried in one job when the sampling rate is searched for.
 _TRIED = 64
 
+#: Sweeps that run in one job, between two tables that cut the lineage.
+_SWEEPS_A_JOB = 4
+
 
 def token_count(text: str) -> Column:
     """Words of a text: runs of characters other than blank and 0x09 to 0x0D."""
@@ -58,7 +61,7 @@ def _wanted(dimension: str, target: Target, total: Column) -> Column:
     return F.pow(F.col("_own"), F.lit(float(target))) * F.pow(total, F.lit(1 - float(target)))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Target], tolerance: float = 1e-6, sweeps: int = 60) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Target], tolerance: float = 1e-5, sweeps: int = 60) -> DataFrame:
     """``cells`` (dimensions and ``base``) with ``fitted``: weights near ``base`` whose marginals have the target shares.
 
     The sum stays that of ``base``. Targets are scaled to the values that occur with a positive
@@ -79,15 +82,15 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], tolerance: float = 1e-
         wanted = wanted.select(dimension, (F.col("_wanted") * scale).alias(f"_to_{dimension}"))
         fitted = fitted.join(wanted, dimension, "left")
     fitted = stored(fitted, "raking")
-    for _ in range(sweeps):
-        before = fitted.withColumn("_before", F.col("fitted"))
-        for dimension in targets:
-            reached = F.sum("fitted").over(Window.partitionBy(dimension))
-            ratio = F.when(reached > 0, F.coalesce(f"_to_{dimension}", F.lit(0.0)) / reached).otherwise(0.0)
-            before = before.withColumn("fitted", F.col("fitted") * ratio)
-        after = stored(before, "raking")
-        moved = after.agg(F.max(F.abs(F.col("fitted") - F.col("_before")) / F.greatest("_before", F.lit(1e-300)))).first()[0]
-        fitted = after.drop("_before")
+    for _ in range(-(-sweeps // _SWEEPS_A_JOB)):
+        for _ in range(_SWEEPS_A_JOB):
+            fitted = fitted.withColumn("_before", F.col("fitted"))
+            for dimension in targets:
+                reached = F.sum("fitted").over(Window.partitionBy(dimension))
+                ratio = F.when(reached > 0, F.coalesce(f"_to_{dimension}", F.lit(0.0)) / reached).otherwise(0.0)
+                fitted = fitted.withColumn("fitted", F.col("fitted") * ratio)
+        fitted = stored(fitted, "raking")
+        moved = fitted.agg(F.max(F.abs(F.col("fitted") - F.col("_before")) / F.greatest("_before", F.lit(1e-300)))).first()[0]
         if moved is None or moved <= tolerance:
             break
     return fitted.select(*cells.columns, "fitted")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstat.llm.decontamination import contaminated
+from rillstat.llm.fingerprints import compared
 from rillstat.llm.mixing import mixed
 from rillstat.llm.near_duplicates import near_duplicates
 from rillstat.llm.quality import quality
@@ -50,6 +51,11 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return compared(_table(spark, folder, "documents"))
+
+
 def op9_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its shard of 16 and its slot there."""
     return sharded(_table(spark, folder, "documents"), carry=False)
@@ -61,6 +67,7 @@ QUERIES = {
     "op4_mix_to_targets": op4_mix_to_targets,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_sampled_splitters": op9_sampled_splitters,
 }
 
