@@ -9,15 +9,31 @@ from rillstat.llm.decontamination import contaminated
 from rillstat.llm.fingerprints import compared
 from rillstat.llm.mixing import mixed
 from rillstat.llm.near_duplicates import near_duplicates
+from rillstat.llm.preferences import preferences, spliced_pairs
 from rillstat.llm.quality import quality
+from rillstat.llm.secrets import secret_spans, spelled
 from rillstat.llm.sharding import sharded
 from rillstat.llm.toxicity import toxicity
+from rillstat.llm.url_filter import Rule, host_of, judged
 
 
 #: Targets of the mixture: the power of each marginal's shares.
 TARGETS = {"source": 0.5, "lang": 0.5, "topic": 0.5}
 
 
+#: The rules that pages are judged by.
+RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+
+#: Words in a host that put its pages on the list to block; the tables hold no list of their own.
+LISTED_HOSTS = ("casino", "bets", "pills")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -32,6 +48,22 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its secrets."""
+    found = secret_spans(_table(spark, folder, "documents"))
+
+    def of(*kinds: str):
+        return F.filter("spans", lambda span: span["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *(F.size(of(kind)).cast("bigint").alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(spelled(of("assign", "access", "hex")), 256).alias("base_sha256"),
+        spelled("spans").alias("spans"),
+        F.size(of("literal")).cast("bigint").alias("n_literal"),
+    )
+
+
 def op4_mix_to_targets(spark: SparkSession, folder: str) -> DataFrame:
     """A sample of the documents with the square roots of the shares of sources, languages and topics for targets."""
     chosen = mixed(_table(spark, folder, "documents"), TARGETS)
@@ -46,6 +78,18 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation against itself with the second half of the next one."""
+    made = preferences(spliced_pairs(_table(spark, folder, "conversations")))
+
+    def spelled_mask(mask: str):
+        return F.array_join(F.transform(mask, lambda span: F.concat_ws("-", span["start"], span["end"])), ",").alias(mask)
+
+    return made.select(
+        F.col("pair_id").alias("conv_id"), "common", "prompt", "chosen", "rejected", spelled_mask("chosen_mask"), spelled_mask("rejected_mask")
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its score of quality."""
     return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -61,14 +105,24 @@ def op9_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     return sharded(_table(spark, folder, "documents"), carry=False)
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its verdict, by the rules or by the list of pages on listed hosts."""
+    pages = _table(spark, folder, "pages")
+    bad = pages.filter(host_of("url").rlike("|".join(LISTED_HOSTS))).select("url")
+    return judged(pages, bad, RULES)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_secret_scan": op3_secret_scan,
     "op4_mix_to_targets": op4_mix_to_targets,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_preference_format": op6_preference_format,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_sampled_splitters": op9_sampled_splitters,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
@@ -85,5 +139,51 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+""",
+    "op6_preference_format": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+h AS (SELECT conv_id, greatest(1, count(*) // 2) AS half FROM t GROUP BY conv_id),
+sides AS (
+  SELECT conv_id, 'chosen' AS side, turn, role, text FROM t
+  UNION ALL SELECT t.conv_id, 'rejected', turn, role, text FROM t JOIN h USING (conv_id) WHERE turn < half
+  UNION ALL SELECT h.conv_id, 'rejected', turn, role, text FROM t JOIN h ON t.conv_id - 1 = h.conv_id WHERE turn >= half),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role, text) AS pos FROM sides),
+c AS (SELECT * FROM placed WHERE side = 'chosen'), r AS (SELECT * FROM placed WHERE side = 'rejected'),
+pairs AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id,
+    coalesce(min(CASE WHEN c.role = r.role AND c.text = r.text THEN NULL ELSE coalesce(c.pos, r.pos) END) - 1, max(c.pos)) AS common
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.pos = r.pos GROUP BY 1),
+shown AS (
+  SELECT conv_id, side, role, text, pos, common, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS line
+  FROM placed JOIN pairs USING (conv_id)),
+rest AS (
+  SELECT *, sum(length(line)) OVER (PARTITION BY conv_id, side ORDER BY pos) AS stop FROM shown WHERE pos > common),
+done AS (
+  SELECT conv_id, side, string_agg(line, '' ORDER BY pos) AS completion,
+    string_agg(concat(stop - length(text) - 8, '-', stop), ',' ORDER BY pos) FILTER (WHERE role = 'assistant') AS mask
+  FROM rest GROUP BY conv_id, side),
+prompts AS (SELECT conv_id, string_agg(line, '' ORDER BY pos) AS prompt FROM shown WHERE side = 'chosen' AND pos <= common GROUP BY conv_id)
+SELECT p.conv_id, p.common::BIGINT AS common, coalesce(prompt, '') AS prompt,
+  coalesce(x.completion, '') AS chosen, coalesce(y.completion, '') AS rejected, coalesce(x.mask, '') AS chosen_mask, coalesce(y.mask, '') AS rejected_mask
+FROM pairs p LEFT JOIN prompts USING (conv_id) LEFT JOIN done x ON x.conv_id = p.conv_id AND x.side = 'chosen'
+LEFT JOIN done y ON y.conv_id = p.conv_id AND y.side = 'rejected'
+""",
+    "op10_url_filter": r"""
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, concat(regexp_replace(host, '^www\.', ''), regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '')) AS address FROM b),
+l AS (SELECT DISTINCT address FROM c WHERE regexp_matches(host, 'casino|bets|pills') AND address <> ''),
+j AS (SELECT c.*, l.address IS NOT NULL AS listed FROM c LEFT JOIN l USING (address)),
+r AS (SELECT *, concat('.', host) AS h FROM j),
+s AS (SELECT *, CASE
+  WHEN h LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+  WHEN h LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+  WHEN h LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+  WHEN h LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+  WHEN h LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM r)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM s
 """,
 }
