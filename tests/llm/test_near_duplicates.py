@@ -1,0 +1,102 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from rillstat.llm.graphs import components
+from rillstat.llm.near_duplicates import deduplicated, near_duplicates
+from tests.llm.frames import DOCS, documents, sentence
+
+
+def brute(texts):
+    """Component (least number) and set size of each text."""
+    sets = []
+    for text in texts:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        found = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+        sets.append({tuple(found[j:j + 5]) for j in range(len(found) - 4)} if len(found) >= 5 else {tuple(found)} if found else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if shared and 100 * shared >= 75 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))], [len(x) for x in sets]
+
+
+def test_components_are_those_of_all_pairs(spark):
+    r = random.Random(3)
+    base = sentence(r, 150).split()
+    texts = [None, "", " \n ", "a b", "A  B", "a b c", "a b c d e", "a b c d E f"]
+    for _ in range(60):  # near copies whose likeness to each other is on both sides of the bound
+        copy = list(base)
+        for _ in range(r.randrange(0, 6)):
+            copy[r.randrange(len(copy))] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base).upper()] * 5
+    chain = sentence(r, 120).split()
+    for i in range(8):
+        texts.append(" ".join(chain[i * 6:i * 6 + 70]))
+    texts += [sentence(r, 60) for _ in range(40)]
+    r.shuffle(texts)
+    roots, sizes = brute(texts)
+    found = near_duplicates(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [row["component_id"] for row in found] == roots
+    assert [row["n_shingles"] for row in found] == sizes
+    assert [row["kept"] for row in found] == [i == root for i, root in enumerate(roots)]
+
+
+def test_few_bands_leave_the_links_to_the_exact_join(spark):
+    """With a hot bucket of near copies, links that the stars miss are found by the rest join."""
+    r = random.Random(5)
+    base = sentence(r, 100).split()
+    texts = []
+    for _ in range(80):
+        copy = list(base)
+        for at in r.sample(range(100), r.randrange(1, 5)):
+            copy[at] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    roots, _ = brute(texts)
+    found = near_duplicates(documents(spark, texts), bands=64, rows=1).orderBy("doc_id").collect()
+    assert [row["component_id"] for row in found] == roots
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    text = "one two three four five six seven"
+    docs = documents(spark, [text, text, text, "other words entirely here now", None, text], [None, 7, 7, 8, 9, 5])
+    docs = docs.withColumns({"id": F.lit("x"), "n_shingles": F.lit("y"), "kept": F.lit(1), "component_id": F.lit(2)})
+    rows = near_duplicates(docs).collect()
+    assert sorted((row["doc_id"] or 0, row["component_id"], row["kept"]) for row in rows) == [
+        (0, 5, False), (5, 5, True), (7, 5, False), (7, 5, False), (8, 8, True), (9, 9, True),
+    ]
+    assert sorted(row["doc_id"] or 0 for row in deduplicated(docs).collect()) == [0, 5, 8, 9]
+    assert deduplicated(docs).columns == docs.columns
+
+
+def test_rows_of_one_id_stay_once(spark):
+    docs = documents(spark, ["a b c d e f"] * 3 + ["g h i j k l"], [1, 1, 1, 2])
+    assert sorted(row["doc_id"] for row in deduplicated(docs).collect()) == [1, 2]
+
+
+def test_an_empty_table(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert near_duplicates(empty).collect() == []
+    assert deduplicated(empty).collect() == []
+
+
+@pytest.mark.parametrize("links", [[(1, 2), (2, 3), (9, 8), (50, 50)], [(i, i + 1) for i in range(40)], []])
+def test_components_of_links(spark, links):
+    rows = components(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect()
+    root = {}
+    for a, b in links * len(links):
+        least = min(root.get(a, a), root.get(b, b))
+        root[a] = root[b] = least
+    assert {row["node"]: row["root"] for row in rows} == {node: least for node, least in root.items() if node != 50}

@@ -1,0 +1,75 @@
+from pyspark.sql import functions as F
+
+from rillstat.llm.preferences import preferences, spliced_pairs
+
+TURNS = "pair_id BIGINT, side STRING, turn BIGINT, role STRING, text STRING"
+
+
+def shown(role, text):
+    return f"<|{role or ''}|>\n{text or ''}<|end|>\n"
+
+
+def plain(rows):
+    """What the operator should give, pair by pair."""
+    pairs = {}
+    for pair, side, turn, role, text in rows:
+        if pair is not None and side in ("chosen", "rejected"):
+            pairs.setdefault(pair, {"chosen": [], "rejected": []})[side].append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for pair, sides in pairs.items():
+        chosen, rejected = ([x[2:] for x in sorted(sides[side])] for side in ("chosen", "rejected"))
+        common = 0
+        while common < min(len(chosen), len(rejected)) and chosen[common] == rejected[common]:
+            common += 1
+        out[pair] = [common, "".join(shown(*x) for x in chosen[:common])]
+        for turns in (chosen[common:], rejected[common:]):
+            text, mask = "", []
+            for role, words in turns:
+                text += shown(role, words)
+                if role == "assistant":
+                    mask.append((len(text) - len(words) - 8, len(text)))
+            out[pair] += [text, mask]
+    return out
+
+
+def test_pairs_of_all_kinds(spark):
+    rows = []
+    for pair, chosen, rejected in [
+        (1, ["u:hi", "a:yes"], ["u:hi", "a:no"]),
+        (2, ["u:hi", "a:é à"], ["u:hi", "a:é à"]),
+        (3, ["u:hi"], ["u:ho", "a:no", "u:why", "a:so"]),
+        (4, ["u:hi", "a:yes"], []),
+        (5, [], ["u:hi"]),
+        (6, ["s:x", "u:hi", "a:1", "u:2", "a:" + "3" * 50_000], ["s:x", "u:hi", "a:1"]),
+        (7, ["u:hi", "a:same"], ["u:hi", "u:same"]),
+    ]:
+        for side, turns in (("chosen", chosen), ("rejected", rejected)):
+            for at, turn in enumerate(turns):
+                role, text = turn.split(":", 1)
+                rows.append((pair, side, at * 3, {"u": "user", "a": "assistant", "s": "system"}[role], text))
+    rows += [(8, "chosen", None, None, None), (8, "rejected", None, None, None), (8, "chosen", 1, "assistant", None), (8, "rejected", 1, "assistant", "")]
+    rows += [(9, "chosen", 0, "user", "twice")] * 2 + [(9, "rejected", 0, "user", "twice")] * 2
+    rows += [(None, "chosen", 0, "user", "lost"), (10, "other", 0, "user", "lost")]
+    turns = spark.createDataFrame(rows, TURNS).withColumns({"common": F.lit("x"), "prompt": F.lit(1)})
+    found = {
+        row["pair_id"]: [row["common"], row["prompt"], row["chosen"], [tuple(x) for x in row["chosen_mask"]], row["rejected"], [tuple(x) for x in row["rejected_mask"]]]
+        for row in preferences(turns).collect()
+    }
+    assert found == plain(rows)
+
+
+def test_masks_cover_what_the_assistant_says(spark):
+    row = preferences(spark.createDataFrame(
+        [(1, "chosen", 0, "user", "q"), (1, "rejected", 0, "user", "q"), (1, "chosen", 1, "assistant", "ünïcode 🙂 ok"), (1, "rejected", 1, "assistant", "no")], TURNS
+    )).first()
+    assert [row["chosen"][a:b] for a, b in row["chosen_mask"]] == ["ünïcode 🙂 ok<|end|>\n"]
+    assert [row["rejected"][a:b] for a, b in row["rejected_mask"]] == ["no<|end|>\n"]
+
+
+def test_spliced_pairs_and_empty_tables(spark):
+    schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+    table = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (5, 0, "user", "e")], schema)
+    rows = {row["pair_id"]: row for row in preferences(spliced_pairs(table)).collect()}
+    assert rows[1]["prompt"] == shown("user", "a") and rows[1]["rejected"] == shown("assistant", "d")
+    assert rows[2]["rejected"] == "" and rows[5]["chosen"] == ""
+    assert preferences(spliced_pairs(spark.createDataFrame([], schema))).collect() == []
