@@ -7,7 +7,9 @@ Submit to a cluster with ``spark-submit --packages ... rillstat/__main__.py``.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import sys
+from datetime import datetime
 from pathlib import Path
 
 if __package__ in (None, ""):
@@ -26,32 +28,61 @@ from rillstat.sources.files import read_lines, read_table
 from rillstat.sources.topics import Topic, read_topic
 from rillstat.streaming.runs import checkpoint_at, drain, start
 
-JOBS = ["ratios", "date-ratios", "publish", "feed", "articles", "views", "items", "show"]
-
-
 def parser() -> argparse.ArgumentParser:
+    """One subparser per job, with the options that the job has."""
     parse = argparse.ArgumentParser(prog="rillstat", description=__doc__)
-    parse.add_argument("job", choices=JOBS)
-    parse.add_argument("--input", help="topic or folder to read")
-    parse.add_argument("--output", help="topic or folder to write")
-    parse.add_argument("--servers", help="bootstrap servers of the topics; without them, both are folders")
-    parse.add_argument("--lines", action="store_true", help="the input is a folder of line files, also with --servers")
-    parse.add_argument("--schema", help="file with the Avro schema of page views")
-    parse.add_argument("--schema-id", type=int, help="views, items: registered id of the schema they are written with")
-    parse.add_argument("--longs", action="store_true", help="show: values are the bytes of a long")
-    parse.add_argument("--start", choices=["earliest", "latest"], default="earliest")
-    parse.add_argument("--checkpoint", help="folder of the job's checkpoint (default: under spark.checkpoint.dir)")
-    parse.add_argument("--fresh", action="store_true", help="start without earlier state")
-    parse.add_argument("--once", action="store_true", help="take the input there is, and stop")
-    parse.add_argument("--every", help="trigger interval")
-    parse.add_argument("--window", help="window length")
-    parse.add_argument("--lateness", help="how long a window waits for late rows")
-    parse.add_argument("--early", help="articles: send rankings as they change, keeping them in this folder")
-    parse.add_argument("--header", action="store_true", help="line files begin with a header")
-    parse.add_argument("--tag", action="store_true", help="line files are keyed by the start of their name")
-    parse.add_argument("--files-per-trigger", type=int, help="pace of line files")
-    parse.add_argument("--runs", type=int, default=1, help="views, items: number of synthetic runs")
-    parse.add_argument("--seed", type=int, default=0)
+    jobs_ = parse.add_subparsers(dest="job", required=True)
+
+    def job(name: str, about: str, *, reads: bool = True, writes: bool = True, streams: bool = True) -> argparse.ArgumentParser:
+        own = jobs_.add_parser(name, help=about)
+        own.add_argument("--servers", help="bootstrap servers of the topics; without them, input and output are folders")
+        if reads:
+            own.add_argument("--input", required=True, help="topic or folder to read")
+            own.add_argument("--start", choices=["earliest", "latest"], default="earliest")
+            own.add_argument("--once", action="store_true", help="take the input there is, and stop")
+            own.add_argument("--every", help="trigger interval")
+        if writes:
+            own.add_argument("--output", required=True, help="topic or folder to write")
+        if streams:
+            own.add_argument("--checkpoint", help="folder of the job's checkpoints (default: by input and output, under spark.checkpoint.dir)")
+            own.add_argument("--fresh", action="store_true", help="start without earlier state")
+        return own
+
+    def lines(own: argparse.ArgumentParser) -> None:
+        own.add_argument("--lines", action="store_true", help="the input is a folder of line files, also with --servers")
+        own.add_argument("--header", action="store_true", help="line files begin with a header")
+        own.add_argument("--tag", action="store_true", help="line files are keyed by the start of their name")
+        own.add_argument("--since", type=datetime.fromisoformat, help="leave out files last changed before this time")
+        own.add_argument("--files-per-trigger", type=int, help="pace of line files")
+        own.add_argument("--bytes-per-trigger", type=int, help="pace of line files in bytes")
+
+    def window(own: argparse.ArgumentParser) -> None:
+        own.add_argument("--window", help="window length")
+        own.add_argument("--lateness", help="how long a window waits for late rows")
+
+    def avro_(own: argparse.ArgumentParser, fixed: bool) -> None:
+        given = " (default: the fixed one of feed items)" if fixed else ""
+        own.add_argument("--schema", help=f"file with the Avro schema of the records on a topic{given}")
+        own.add_argument("--schema-id", type=int, help="registered id of the schema; records of another one are left out")
+
+    ratios = job("ratios", "throughput per market and window")
+    lines(ratios)
+    window(ratios)
+    lines(job("date-ratios", "throughput per date, region and market"))
+    job("publish", "windows behind two later ones, from a topic of ratios").add_argument("--lag", type=int, default=2)
+    avro_(job("feed", "new feed items per user"), fixed=True)
+    articles = job("articles", "top pages per industry and window")
+    avro_(articles, fixed=False)
+    window(articles)
+    articles.add_argument("--early", help="send rankings as they change, keeping them in this folder")
+    for name, fixed in (("views", False), ("items", True)):
+        own = job(name, f"write synthetic {name}", reads=False, streams=False)
+        avro_(own, fixed)
+        own.add_argument("--runs", type=int, default=1, help="number of synthetic runs")
+        own.add_argument("--seed", type=int, default=0)
+    job("show", "print the records of a topic", writes=False, streams=False).add_argument(
+        "--longs", action="store_true", help="values are the bytes of a long"
+    )
     return parse
 
 
@@ -59,22 +90,23 @@ def _lines(spark: SparkSession, args) -> DataFrame:
     if args.servers and not args.lines:
         return read_topic(spark, Topic(args.input, args.servers, args.start)).withColumnRenamed("value", "line")
     return read_lines(
-        spark, args.input, header=args.header, tag=args.tag, stream=True, files_per_trigger=args.files_per_trigger
+        spark, args.input, header=args.header, tag=args.tag, stream=True, since=args.since,
+        files_per_trigger=args.files_per_trigger, bytes_per_trigger=args.bytes_per_trigger,
     )
 
 
 def _schema(args) -> str:
+    if args.schema is not None:
+        return Path(args.schema).read_text()
     if args.job in ("feed", "items"):
         return avro.FEED_SCHEMA
-    if args.schema is None:
-        raise SystemExit(f"{args.job} on a topic need --schema")
-    return Path(args.schema).read_text()
+    raise SystemExit(f"{args.job} on a topic need --schema")
 
 
 def _records(spark: SparkSession, args) -> DataFrame:
     if args.servers:
         topic = Topic(args.input, args.servers, args.start)
-        return avro.decode(read_topic(spark, topic, binary=True), _schema(args))
+        return avro.decode(read_topic(spark, topic, binary=True), _schema(args), schema_id=args.schema_id)
     return read_table(spark, args.input, stream=True)
 
 
@@ -111,10 +143,11 @@ def main(arguments: list[str] | None = None) -> None:
     if args.job == "show":
         drain(_show(spark, args))
         return
-    base = args.checkpoint or f"{shared_folder(spark)}/rillstat/jobs/{args.job}"
+    named = hashlib.sha1(repr((args.servers, args.input, args.output)).encode()).hexdigest()[:12]
+    base = args.checkpoint or f"{shared_folder(spark)}/rillstat/jobs/{args.job}-{named}"
     checkpoint = checkpoint_at(base, args.fresh)
     output = Topic(args.output, args.servers)
-    options = {name: getattr(args, name) for name in ("window", "lateness", "every") if getattr(args, name)}
+    options = {name: value for name in ("window", "lateness", "every", "lag", "early") if (value := getattr(args, name, None))}
     if args.once:
         options["every"] = None
     if args.job == "ratios":
@@ -123,11 +156,11 @@ def main(arguments: list[str] | None = None) -> None:
         query = jobs.start_date_market_ratios(_lines(spark, args), output, checkpoint, **options)
     elif args.job == "publish":
         records = read_topic(spark, Topic(args.input, args.servers, args.start))
-        query = jobs.start_publication(records, args.output, checkpoint, **options)
+        query = jobs.start_publication(records, output if args.servers else args.output, checkpoint, **options)
     elif args.job == "feed":
         query = jobs.start_feed_counts(_records(spark, args), output, checkpoint, **options)
     else:
-        query = jobs.start_top_articles(_records(spark, args), output, checkpoint, early=args.early, **options)
+        query = jobs.start_top_articles(_records(spark, args), output, checkpoint, **options)
     drain(query)
 
 

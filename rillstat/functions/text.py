@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 RESULT_FIELDS = "market STRING, start_time STRING, count STRING, UTput STRING"
 
 
+def _shown(value: Column) -> Column:
+    """The value as text; a NULL prints ``null``."""
+    return F.coalesce(value.cast("string"), F.lit("null"))
+
+
 def _json_string(value: Column) -> Column:
     escaped = F.replace(value, F.lit("\\"), F.lit("\\\\"))
     return F.replace(escaped, F.lit('"'), F.lit('\\"'))
@@ -45,18 +50,18 @@ def window_ratio_json(market: Column, start: Column, count: Column, ratio: Colum
 
 
 def message(series: Column, value: Column, start: Column) -> Column:
-    """``series,value,start``, one chart point."""
-    return F.concat_ws(",", series, value.cast("string"), start.cast("string"))
+    """``series,value,start``, one chart point; a NULL prints ``null``."""
+    return F.concat(_shown(series), F.lit(","), _shown(value), F.lit(","), _shown(start))
 
 
 def window_key(key: Column, start: Column) -> Column:
-    """``key@start``, the printed form of a windowed key."""
-    return F.concat(key, F.lit("@"), start.cast("string"))
+    """``key@start``, the printed form of a windowed key; a NULL prints ``null``."""
+    return F.concat(_shown(key), F.lit("@"), _shown(start))
 
 
 def console_line(key: Column, value: Column) -> Column:
-    """``key=value``."""
-    return F.concat(key, F.lit("="), value.cast("string"))
+    """``key=value``; a NULL prints ``null``."""
+    return F.concat(_shown(key), F.lit("="), _shown(value))
 
 
 def level(value: Column, threshold: float = 1.5) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
+from py4j.java_gateway import get_field
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +29,14 @@ def window_millis(window: str = "window") -> Column:
 
 
 def millis(duration: str) -> int:
-    """Milliseconds of a duration of one unit, such as ``500 milliseconds`` or ``1 hour``."""
-    number, unit = duration.split()
-    return timedelta(**{unit.rstrip("s") + "s": int(number)}) // timedelta(milliseconds=1)
+    """Milliseconds of a duration as Spark reads it, such as ``1 hour 30 minutes``; months have none."""
+    jvm = SparkContext._active_spark_context._jvm
+    text = jvm.org.apache.spark.unsafe.types.UTF8String.fromString(duration)
+    interval = jvm.org.apache.spark.sql.catalyst.util.IntervalUtils.stringToInterval(text)
+    months, days, micros = (get_field(interval, name) for name in ("months", "days", "microseconds"))
+    if months:
+        raise ValueError(f"months and years differ in length: {duration!r}")
+    total = days * 86_400_000_000 + micros
+    if total <= 0 or total % 1000:
+        raise ValueError(f"not a positive number of milliseconds: {duration!r}")
+    return total // 1000

@@ -7,24 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to this rank Spark cuts each group before the shuffle (its default for
-#: ``spark.sql.optimizer.windowGroupLimitThreshold``).
-EARLY_CUT = 1000
-
-SALTS = 64
-
 
 def ranked(rows: DataFrame, group: Sequence[str | Column], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group by ``order``, numbered from 1 in ``rank``.
 
-    Spark keeps ``n`` rows per group and task before the shuffle, so a hot group
-    is cut down where it lies. Above its limit the group is cut in salted parts
-    first; the first ``n`` of a group are among the first ``n`` of its parts.
+    Spark keeps ``n`` rows per group and task before the shuffle, so a hot group is cut
+    down where it lies; :func:`rillstat.session.build_session` lifts the limit on ``n`` for that.
     """
-    if n > EARLY_CUT:
-        salt = F.pmod(F.xxhash64(*[F.col(name) for name in rows.columns]), F.lit(SALTS))
-        part = Window.partitionBy(*group, salt).orderBy(*order)
-        rows = rows.withColumn(rank, F.row_number().over(part)).where(F.col(rank) <= n).drop(rank)
     number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return rows.withColumn(rank, number).where(F.col(rank) <= n)
 

@@ -23,8 +23,27 @@ _FLAGS = "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'HOME
 
 
 def events(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
-    """The events with ``ts`` as an instant."""
-    return with_instant(read_table(spark, f"{folder}/events.parquet", stream=stream))
+    """The events with ``ts`` as an instant; a stream takes one file at a time."""
+    pace = {"files_per_trigger": 1} if stream else {}
+    return with_instant(read_table(spark, f"{folder}/events.parquet", stream=stream, **pace))
+
+
+def in_order(spark: SparkSession, folder: str, into: str, parts: int = 4, late: bool = False) -> str:
+    """The whole ``events`` table in ``parts`` writes, one after the other in order of ``ts``; the folder ``into``.
+
+    With ``late`` another write follows: the events of all parts but the last two once more.
+    """
+    rows = events(spark, folder)
+    at = F.unix_micros("ts")
+    cuts = rows.select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.001)
+    number = sum((F.when(at > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    rows = rows.withColumn("_part", F.coalesce(number, F.lit(0)))
+    for part in range(parts):
+        # A file per part where a task takes it, so that each is one batch.
+        rows.where(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{into}/events.parquet")
+    if late:
+        rows.where(F.col("_part") < parts - 2).drop("_part").write.mode("append").parquet(f"{into}/events.parquet")
+    return into
 
 
 def telemetry(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from rillstat.operators.finalize import final_windows, latest
 from rillstat.operators.ranking import pages_text, top_pages
 from rillstat.operators.selections import article_views, new_items
 from rillstat.operators.telemetry import parse_lines
-from rillstat.sinks.tables import Sink, append_batches, send_records, stored
+from rillstat.sinks.tables import Sink, append_batches, send_records, stored, upsert_batches
 from rillstat.sources.results import parse_result_json
 from rillstat.sources.topics import Topic
 from rillstat.streaming.publishing import once_per_batch, publish
@@ -32,6 +32,9 @@ RATIO_WINDOW, RATIO_LATENESS, RATIO_TRIGGER = "1 second", "500 milliseconds", "1
 ARTICLE_WINDOW, TOP_ARTICLES = "1 hour", 100
 COUNT_TRIGGER = "10 seconds"
 
+#: Files per batch of a result, whatever the number of state partitions.
+FILES = 8
+
 POINT = "market STRING, start_time BIGINT, count BIGINT, utput DOUBLE, seq BIGINT, message STRING"
 
 
@@ -61,8 +64,8 @@ def date_market_records(ratios: DataFrame) -> DataFrame:
 
 
 def ratio_updates(records: DataFrame) -> DataFrame:
-    """Window ratios read back from their records, in order of ``seq``."""
-    rows = parse_result_json(records.select("value", F.unix_micros("ts").alias("seq")))
+    """Window ratios read back from their records; ``seq`` is the order of their arrival."""
+    rows = parse_result_json(records.select("value", "seq"))
     return rows.where(F.col("market").isNotNull() & F.col("start_time").isNotNull())
 
 
@@ -105,7 +108,7 @@ def start_market_ratios(
 ) -> StreamingQuery:
     """Send every change of a market's window ratio to a topic."""
     records = market_ratio_records(market_ratios(lines, window, lateness))
-    options = {"name": "tput-stats-store", "output_mode": "update"} | options
+    options = {"name": "market-ratios", "output_mode": "update"} | options
     return start(records, send_records(results, checkpoint), checkpoint=checkpoint, every=every, **options)
 
 
@@ -118,17 +121,45 @@ def start_date_market_ratios(
     return start(records, send_records(results, checkpoint), checkpoint=checkpoint, every=every, **options)
 
 
+def message_records(points: DataFrame) -> DataFrame:
+    """Records keyed by market with the message of each point."""
+    return points.select(F.col("market").alias("key"), F.col("message").alias("value"), F.current_timestamp().alias("ts"))
+
+
 def start_publication(
-    records: DataFrame, points: str, checkpoint: str, *, lag: int = 2, every: str | None = RATIO_TRIGGER, **options
+    records: DataFrame, points: str | Topic | Sink, checkpoint: str, *, lag: int = 2, every: str | None = RATIO_TRIGGER, **options
 ) -> StreamingQuery:
-    """Write each published window, with its message, to the table at ``points``."""
-    table = append_batches(points, checkpoint)
-    sink = once_per_batch(lambda batch, batch_id: table(with_message(batch), batch_id))
-    rows = publish(ratio_updates(records), lag)
+    """Send each published window on: to the table at a path, as its message to a topic, or with its message to a sink."""
+    if isinstance(points, Topic):
+        send = send_records(points, checkpoint)
+        target: Sink = lambda batch, batch_id: send(message_records(batch), batch_id)
+    else:
+        target = append_batches(points, checkpoint, FILES) if isinstance(points, str) else points
+    sink = once_per_batch(lambda batch, batch_id: target(with_message(batch), batch_id))
+    rows = publish(ratio_updates(records), lag, options.get("state_partitions"))
     options = {"output_mode": "update"} | options
     return start(rows, sink, checkpoint=checkpoint, every=every, **options)
 
 
+def start_feed_table(
+    feed: DataFrame, table: str, checkpoint: str, *, every: str | None = COUNT_TRIGGER, **options
+) -> StreamingQuery:
+    """Keep each user's count in the table at a path."""
+    sink = upsert_batches(table, checkpoint, ["user"], ["count"], FILES)
+    options = {"output_mode": "update"} | options
+    return start(feed_counts(feed), sink, checkpoint=checkpoint, every=every, **options)
+
+
+def start_ratio_table(
+    lines: DataFrame, table: str, checkpoint: str, *, window: str = RATIO_WINDOW,
+    lateness: str = RATIO_LATENESS, every: str | None = RATIO_TRIGGER, **options,
+) -> StreamingQuery:
+    """Keep the ratio of each market and window in the table at a path."""
+    sink = upsert_batches(table, checkpoint, ["market", "start_time"], ["count", "utput"], FILES)
+    options = {"output_mode": "update"} | options
+    return start(market_ratios(lines, window, lateness), sink, checkpoint=checkpoint, every=every, **options)
+
+
 def start_feed_counts(
     feed: DataFrame, results: Topic, checkpoint: str, *, every: str | None = COUNT_TRIGGER, **options
 ) -> StreamingQuery:

@@ -49,12 +49,16 @@ _VIEWS = """views AS (SELECT concat('u', CAST(user_id AS VARCHAR)) AS "user",
   concat('page', CAST(user_id % 20 AS VARCHAR), '.html') AS page, event_type AS industry,
   CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'HOME' ELSE 'LONG_ARTICLE' END AS flags, ts FROM events)"""
 
-_COUNTS = """counts AS (SELECT page, industry, epoch_ms(time_bucket(INTERVAL '1 hour', ts)) AS start_time,
+def _counts(interval: str) -> str:
+    return f"""counts AS (SELECT page, industry, epoch_ms(time_bucket(INTERVAL '{interval}', ts)) AS start_time,
   count(*) AS count FROM views WHERE flags LIKE '%ARTICLE%' GROUP BY ALL)"""
 
 
-def _top(views: str, n: int) -> str:
-    return f"""WITH {views}, {_COUNTS}, top AS (SELECT page, industry, start_time, count,
+_COUNTS = _counts("1 hour")
+
+
+def _top(views: str, n: int, interval: str = "1 hour") -> str:
+    return f"""WITH {views}, {_counts(interval)}, top AS (SELECT page, industry, start_time, count,
   row_number() OVER (PARTITION BY industry, start_time ORDER BY count DESC, page) AS rank FROM counts QUALIFY rank <= {n})"""
 
 
@@ -126,7 +130,16 @@ SELECT concat("user", '=', CAST(count AS VARCHAR)) AS line FROM counts""",
     "synthetic_feed": _SYNTHETIC_FEED,
     "stream_feed_count": _FEED_COUNT,
     "stream_date_region_market": _DATED_RATIO,
+    "stream_latest_by_arrival": _DATED_RATIO,
     "stream_ratio_1h": _HOURLY,
+    "stream_ratio_1s": _ratios("1 second") + " SELECT market, start_time, count, utput FROM points",
+    "stream_late_rows": _HOURLY,
+    "stream_messages": _ratios("1 hour") + """
+SELECT market, start_time, utput FROM points QUALIFY row_number() OVER (PARTITION BY market ORDER BY start_time DESC) > 2""",
+    "stream_top_articles_updates_1d": _top(_VIEWS, 100, "1 day") + _TOP_ROWS,
+    "stream_console_lines": f"""WITH {_VIEWS} SELECT concat("user", '=', page) AS line FROM views""",
+    "stream_lines_tagged": f"""WITH {_TEL} SELECT concat('T', event_id % 3) AS key, count(*) AS count FROM tel WHERE line <> '' GROUP BY 1""",
+    "stream_fresh_run": _FEED_COUNT,
     "stream_ratio_updates_1h": _HOURLY,
     "stream_final_windows": _FINAL,
     "stream_top_articles": _top(_VIEWS, 100) + _TOP_ROWS,

@@ -9,17 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstat.operators.aggregates import ratio_by
+from rillstat.functions.times import millis
+from rillstat.operators.aggregates import count_by, ratio_by
 from rillstat.operators.finalize import latest
+from rillstat.operators.selections import article_views
 from rillstat.operators.telemetry import parse_lines
 from rillstat.plans import inputs, jobs
 from rillstat.plans.queries import KBIT_PLACES, MBIT_PLACES, rounded
 from rillstat.session import new_folder
-from rillstat.sinks.tables import append_batches, latest_rows, read_batches
-from rillstat.sources.results import parse_result_json
+from rillstat.sinks.tables import (
+    append_batches, file_system, latest_rows, latest_table, line_batches, read_batches, send_records, write_lines,
+)
+from rillstat.sources.files import read_lines
+from rillstat.sources.results import parse_message, parse_result_json
 from rillstat.sources.topics import Topic, read_topic
 from rillstat.streaming.rankings import TOP, latest_rankings, rank_closed, rank_updates
-from rillstat.streaming.runs import closable, drain, run_to_close, start
+from rillstat.streaming.runs import checkpoint_at, closable, drain, run_to_close, start
 
 RATIO = "market STRING, start_time BIGINT, count BIGINT, numerator DOUBLE, denominator DOUBLE, utput DOUBLE"
 
@@ -33,73 +38,104 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return parse_lines(lines).drop("event_id")
 
 
+def _run(spark: SparkSession, folder: str, name: str, late: bool = False) -> str:
+    """A new folder with the events in order, in several files."""
+    return inputs.in_order(spark, folder, new_folder(spark, name), late=late)
+
+
 def stream_feed_count(spark, folder):
-    """Updates of each user's count in a topic, folded to the last one."""
-    run = new_folder(spark, "feed-count")
-    topic = Topic(f"{run}/stats")
-    drain(jobs.start_feed_counts(
-        inputs.feed(spark, folder, stream=True), topic, f"{run}/checkpoint",
+    """The table of each user's count, kept up to date batch by batch."""
+    run = _run(spark, folder, "feed-count")
+    drain(jobs.start_feed_table(
+        inputs.feed(spark, run, stream=True), f"{run}/counts", f"{run}/checkpoint",
         every=None, state_partitions=_partitions(spark),
     ))
-    records = read_topic(spark, topic, stream=False)
-    updates = records.select(
-        F.col("key").alias("user"), F.col("value").cast("bigint").alias("count"), F.unix_micros("ts").alias("seq")
-    )
-    return latest(updates, ["user"], "seq", ["count"])
+    return latest_table(spark, f"{run}/counts", "user STRING, count BIGINT", ["user"], ["count"])
 
 
-def stream_date_region_market(spark, folder):
-    """Updates of the ratio of each date, region and market, folded to the last one."""
-    run = new_folder(spark, "date-market")
-    topic = Topic(f"{run}/ratios")
+def _date_market_updates(spark: SparkSession, run: str, topic: Topic) -> DataFrame:
     drain(jobs.start_date_market_ratios(
-        inputs.dated_telemetry(spark, folder, stream=True), topic, f"{run}/checkpoint",
+        inputs.dated_telemetry(spark, run, stream=True), topic, f"{run}/checkpoint",
         every=None, state_partitions=_partitions(spark),
     ))
-    records = read_topic(spark, topic, stream=False)
-    updates = parse_result_json(
-        records.select(F.col("key").alias("series"), "value", F.unix_micros("ts").alias("seq"))
+    return parse_result_json(
+        read_topic(spark, topic, stream=False).select(F.col("key").alias("series"), "value", "seq", "ts")
     )
+
+
+def stream_date_region_market(spark, folder):
+    """Updates of the ratio of each date, region and market, folded to the last one."""
+    run = _run(spark, folder, "date-market")
+    updates = _date_market_updates(spark, run, Topic(f"{run}/ratios"))
     return rounded(latest(updates, ["series"], "seq", ["count", "utput"]), KBIT_PLACES)
 
 
-def stream_ratio_1h(spark, folder):
-    """Windows appended once they are closed."""
-    run = new_folder(spark, "ratio")
+def stream_latest_by_arrival(spark, folder):
+    """The last update of each series where the records' times run against their arrival."""
+    run = _run(spark, folder, "by-arrival")
+    topic, turned = Topic(f"{run}/ratios"), Topic(f"{run}/turned")
+    _date_market_updates(spark, run, topic)
+    send = send_records(turned, "turned")
+    records = read_topic(spark, topic, stream=False)
+    for number, row in enumerate(records.select("seq").distinct().orderBy("seq").collect()):  # one per batch
+        some = records.where(F.col("seq") == row["seq"])
+        send(some.select("key", "value", F.timestamp_seconds(F.lit(1_000_000 - number)).alias("ts")), number)
+    updates = read_topic(spark, turned, stream=False).select(F.col("key").alias("series"), "value", "seq")
+    return rounded(latest(parse_result_json(updates), ["series"], "seq", ["count", "utput"]), KBIT_PLACES)
+
+
+def _closed_ratios(spark: SparkSession, run: str, every: str) -> DataFrame:
     closing, checkpoint, results = f"{run}/closing", f"{run}/checkpoint", f"{run}/results"
 
     def build():
-        rows = closable(_parsed(inputs.telemetry(spark, folder, stream=True)), closing)
-        ratios = ratio_by(
-            rows, ["market"], every="1 hour", lateness=jobs.RATIO_LATENESS, scale=jobs.KBIT_PER_MBIT
-        )
-        return ratios, append_batches(results, checkpoint)
+        rows = closable(_parsed(inputs.telemetry(spark, run, stream=True)), closing)
+        ratios = ratio_by(rows, ["market"], every=every, lateness=jobs.RATIO_LATENESS, scale=jobs.KBIT_PER_MBIT)
+        return ratios, append_batches(results, checkpoint, jobs.FILES)
 
     run_to_close(spark, build, closing, checkpoint, state_partitions=_partitions(spark))
     table = read_batches(spark, results, RATIO)
     return rounded(table.select("market", "start_time", "count", "utput"), MBIT_PLACES)
 
 
-def _ratio_topic(spark, folder, run) -> Topic:
+def stream_ratio_1h(spark, folder):
+    """Windows appended once they are closed."""
+    return _closed_ratios(spark, _run(spark, folder, "ratio"), "1 hour")
+
+
+def stream_ratio_1s(spark, folder):
+    """Windows of a second appended once they are closed."""
+    return _closed_ratios(spark, _run(spark, folder, "ratio-1s"), "1 second")
+
+
+def stream_late_rows(spark, folder):
+    """Windows that rows which come days after them do not change."""
+    return _closed_ratios(spark, _run(spark, folder, "late-rows", late=True), "1 hour")
+
+
+def _ratio_topic(spark, run) -> Topic:
     topic = Topic(f"{run}/ratios")
     drain(jobs.start_market_ratios(
-        inputs.telemetry(spark, folder, stream=True), topic, f"{run}/ratio-checkpoint",
+        inputs.telemetry(spark, run, stream=True), topic, f"{run}/ratio-checkpoint",
         window="1 hour", every=None, state_partitions=_partitions(spark), name=None,
     ))
     return topic
 
 
 def stream_ratio_updates_1h(spark, folder):
-    """Every change of a window in a topic, folded to the last one."""
-    topic = _ratio_topic(spark, folder, new_folder(spark, "ratio-updates"))
-    updates = jobs.ratio_updates(read_topic(spark, topic, stream=False))
-    return rounded(latest(updates, ["market", "start_time"], "seq", ["count", "utput"]), MBIT_PLACES)
+    """The table of windows, kept up to date batch by batch."""
+    run = _run(spark, folder, "ratio-updates")
+    drain(jobs.start_ratio_table(
+        inputs.telemetry(spark, run, stream=True), f"{run}/table", f"{run}/checkpoint",
+        window="1 hour", every=None, state_partitions=_partitions(spark),
+    ))
+    schema = "market STRING, start_time BIGINT, count BIGINT, utput DOUBLE"
+    return rounded(latest_table(spark, f"{run}/table", schema, ["market", "start_time"], ["count", "utput"]), MBIT_PLACES)
 
 
 def stream_final_windows(spark, folder):
     """The ratio topic read by a second stream, which publishes windows behind two later ones."""
-    run = new_folder(spark, "final-windows")
-    topic = _ratio_topic(spark, folder, run)
+    run = _run(spark, folder, "final-windows")
+    topic = _ratio_topic(spark, run)
     points = f"{run}/points"
     drain(jobs.start_publication(
         read_topic(spark, topic), points, f"{run}/checkpoint", every=None, state_partitions=_partitions(spark)
@@ -108,41 +144,100 @@ def stream_final_windows(spark, folder):
     return rounded(table, MBIT_PLACES)
 
 
+def stream_messages(spark, folder):
+    """The published windows as messages in a topic, folded to the last one of each window."""
+    run = _run(spark, folder, "messages")
+    topic, messages = _ratio_topic(spark, run), Topic(f"{run}/messages")
+    drain(jobs.start_publication(
+        read_topic(spark, topic), messages, f"{run}/checkpoint", every=None, state_partitions=_partitions(spark)
+    ))
+    points = parse_message(read_topic(spark, messages, stream=False).select("key", "value", "seq"))
+    points = points.where(F.col("key") == F.col("market"))
+    return rounded(latest(points, ["market", "start_time"], "seq", ["utput"]), MBIT_PLACES)
+
+
 def _top_columns(top: DataFrame) -> DataFrame:
     return top.select("page", "industry", "start_time", "count", F.col("rank").cast("bigint").alias("rank"))
 
 
 def stream_top_articles(spark, folder):
     """Counts appended once an hour is closed, and ranked then."""
-    run = new_folder(spark, "top-articles")
+    run = _run(spark, folder, "top-articles")
     closing, checkpoint, results = f"{run}/closing", f"{run}/checkpoint", f"{run}/results"
 
     def build():
-        views = closable(inputs.page_views(spark, folder, stream=True), closing)
-        # The closing row has no flags; it is an article's so that it gets to the window.
-        views = views.withColumn("flags", F.coalesce("flags", F.when(F.col("page").isNull(), "ARTICLE")))
-        return jobs.article_counts(views, lateness="1 hour"), rank_closed(append_batches(results, checkpoint))
+        # The closing row has no flags; it joins the articles behind their filter.
+        views = closable(article_views(inputs.page_views(spark, run, stream=True), user=None), closing)
+        counts = count_by(views, ["page", "industry"], every=jobs.ARTICLE_WINDOW, lateness="1 hour")
+        return counts, rank_closed(append_batches(results, checkpoint, jobs.FILES))
 
     run_to_close(spark, build, closing, checkpoint, state_partitions=_partitions(spark))
     return _top_columns(read_batches(spark, results, TOP))
 
 
-def stream_top_articles_updates(spark, folder):
-    """Hours ranked anew with every change, folded to the last ranking."""
-    run = new_folder(spark, "top-article-updates")
+def _ranked_updates(spark: SparkSession, run: str, window: str, lateness: str) -> DataFrame:
     checkpoint, results = f"{run}/checkpoint", f"{run}/results"
-    counts = jobs.article_counts(inputs.page_views(spark, folder, stream=True), lateness="1 hour")
-    sink = rank_updates(f"{run}/held", append_batches(results, checkpoint), checkpoint)
+    counts = jobs.article_counts(inputs.page_views(spark, run, stream=True), window, lateness)
+    log = append_batches(results, checkpoint, jobs.FILES)
+    sink = rank_updates(f"{run}/held", log, checkpoint, jobs.TOP_ARTICLES, millis(window) + millis(lateness))
     drain(start(counts, sink, checkpoint=checkpoint, output_mode="update", state_partitions=_partitions(spark)))
     return _top_columns(latest_rankings(read_batches(spark, results, TOP)))
 
 
+def stream_top_articles_updates(spark, folder):
+    """Hours ranked anew with every change, folded to the last ranking."""
+    return _ranked_updates(spark, _run(spark, folder, "top-article-updates"), "1 hour", "1 hour")
+
+
+def stream_top_articles_updates_1d(spark, folder):
+    """Days ranked anew with every change, with rows that come too late to count."""
+    return _ranked_updates(spark, _run(spark, folder, "top-article-updates-1d", late=True), "1 day", "5 hours")
+
+
+def stream_console_lines(spark, folder):
+    """The views of a stream as lines in text files, all rows of each batch."""
+    run = _run(spark, folder, "console-lines")
+    views = inputs.page_views(spark, run, stream=True).select(F.col("user").alias("key"), F.col("page").alias("value"))
+    drain(start(views, line_batches(f"{run}/lines", f"{run}/checkpoint"), checkpoint=f"{run}/checkpoint"))
+    return spark.read.schema("value STRING, run STRING, batch_id BIGINT").text(f"{run}/lines").select(F.col("value").alias("line"))
+
+
+def stream_lines_tagged(spark, folder):
+    """Lines per tag of their file's name, where files have a header and tags several files."""
+    run = new_folder(spark, "lines-tagged")
+    lines = inputs.telemetry(spark, folder).where("line <> ''")
+    files, make = file_system(spark, run)
+    files.mkdirs(make(f"{run}/lines"))
+    for tag in (0, 1, 2):
+        write_lines(lines.where(F.col("event_id") % 3 == tag), f"{run}/written/{tag}")
+        for entry in files.listStatus(make(f"{run}/written/{tag}")):
+            name = entry.getPath().getName()
+            if name.endswith(".csv"):
+                files.rename(entry.getPath(), make(f"{run}/lines/T{tag}_{name}"))
+    read = read_lines(spark, f"{run}/lines", header=True, tag=True, stream=True, files_per_trigger=1)
+    drain(start(read, append_batches(f"{run}/results", f"{run}/checkpoint"), checkpoint=f"{run}/checkpoint"))
+    table = read_batches(spark, f"{run}/results", "key STRING, ts TIMESTAMP, line STRING")
+    return table.groupBy("key").agg(F.count("*").alias("count"))
+
+
+def stream_fresh_run(spark, folder):
+    """A second run without the state of the first, which ends with the same counts."""
+    run = _run(spark, folder, "fresh-run")
+    for _ in range(2):
+        drain(jobs.start_feed_counts(
+            inputs.feed(spark, run, stream=True), Topic(f"{run}/stats"), checkpoint_at(f"{run}/checkpoints", fresh=True),
+            every=None, state_partitions=_partitions(spark),
+        ))
+    records = read_topic(spark, Topic(f"{run}/stats"), stream=False)
+    updates = records.select(F.col("key").alias("user"), F.col("value").cast("bigint").alias("count"), "seq")
+    return latest(updates, ["user"], "seq", ["count"])
+
+
 STREAM_QUERIES = {
-    "stream_feed_count": stream_feed_count,
-    "stream_date_region_market": stream_date_region_market,
-    "stream_ratio_1h": stream_ratio_1h,
-    "stream_ratio_updates_1h": stream_ratio_updates_1h,
-    "stream_final_windows": stream_final_windows,
-    "stream_top_articles": stream_top_articles,
-    "stream_top_articles_updates": stream_top_articles_updates,
+    query.__name__: query
+    for query in (
+        stream_feed_count, stream_date_region_market, stream_latest_by_arrival, stream_ratio_1h, stream_ratio_1s, stream_late_rows,
+        stream_ratio_updates_1h, stream_final_windows, stream_messages, stream_top_articles, stream_top_articles_updates,
+        stream_top_articles_updates_1d, stream_console_lines, stream_lines_tagged, stream_fresh_run,
+    )
 }

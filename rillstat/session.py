@@ -19,7 +19,7 @@ STATE_SETTINGS = {
 
 
 def build_session(app: str = "rillstat", master: str | None = None, **settings: str) -> SparkSession:
-    """A session in UTC with adaptive execution and RocksDB state.
+    """A session in UTC with adaptive execution, RocksDB state and an early cut of groups for any rank.
 
     ``settings`` holds further Spark settings with ``__`` for each dot, such as
     ``spark__sql__shuffle__partitions="2000"``.
@@ -30,6 +30,7 @@ def build_session(app: str = "rillstat", master: str | None = None, **settings:
     defaults = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
         **STATE_SETTINGS,
     }
     given = {name.replace("__", "."): value for name, value in settings.items()}

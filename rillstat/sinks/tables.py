@@ -2,7 +2,7 @@
 
 A sink is a function of a batch and its number, for ``foreachBatch``. Spark hands
 a batch out again with the same number after a failure; file sinks write each
-batch to a folder of its own, in place of any earlier attempt, so that a repeat
+batch to a folder of its own and leave it alone once it is complete, so that a repeat
 changes nothing.
 """
 
@@ -14,10 +14,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstat.functions.text import console_line
 from rillstat.operators.finalize import latest
 from rillstat.session import new_folder
 from rillstat.sources.files import WHOLE_LINE
-from rillstat.sources.topics import Topic
+from rillstat.sources.topics import Topic, arrival
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -27,29 +28,121 @@ def run_of(checkpoint: str) -> str:
     return hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and a function that makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """The names of the folders in ``path`` that begin with ``prefix``, in order."""
+    files, make = file_system(spark, path)
+    if not files.exists(make(path)):
+        return []
+    names = (entry.getPath().getName() for entry in files.listStatus(make(path)) if entry.isDirectory())
+    return sorted(name for name in names if name.startswith(prefix))
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder has ended."""
+    files, make = file_system(spark, path)
+    return files.exists(make(f"{path}/_SUCCESS"))
+
+
+def run_folder(spark: SparkSession, path: str, checkpoint: str) -> str:
+    """The folder of a run: its number among the runs of ``path`` in the order of their first batches, and its name."""
+    name = run_of(checkpoint)
+    runs = folders(spark, path, "run=")
+    for run in runs:
+        if run.endswith(f"-{name}"):
+            return run
+    numbers = [int(number) for run in runs if (number := run[4:].split("-")[0]).isdigit()]
+    return f"run={max(numbers, default=-1) + 1:06d}-{name}"
+
+
 def append_batches(path: str, checkpoint: str, files: int | None = None) -> Sink:
-    """Write batches to ``path/run=<run>/batch_id=<n>``.
+    """Write batches to ``path/run=<number>-<name>/batch_id=<n>``.
 
-    Batch numbers start over with a new checkpoint, and so does the run. ``files``
-    is the number of files per batch, where small batches come often; the rows are
-    shuffled into them, which leaves the state its own partitions.
+    Batch numbers start over with a new checkpoint, and so does the run. A batch that was
+    written whole is left alone when it comes again, so that a reading stream sees each file once; what
+    is left of a broken write is replaced. ``files`` is the number of files per batch, where small batches
+    come often; the rows are shuffled into them, which leaves the state its own partitions.
     """
-    run = run_of(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folder = f"{path}/{run_folder(spark, path, checkpoint)}/batch_id={batch_id}"
+        if _complete(spark, folder):
+            return
         rows = batch if files is None else batch.repartition(files)
-        rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(folder)
 
     return write
 
 
-def send_records(topic: Topic, checkpoint: str) -> Sink:
-    """Write ``key, value`` to a topic; one of files also keeps ``ts``.
+def upsert_batches(
+    path: str, checkpoint: str, keys: Sequence[str], values: Sequence[str], files: int = 8, compact_every: int = 16
+) -> Sink:
+    """Keep the last values of each key in a table at ``path``, which :func:`latest_table` reads.
+
+    A batch holds one row per key. It is written beside the table; every ``compact_every`` batches
+    the table is written anew from its last form and the batches since, and what went into the form before that is
+    removed. So a read touches the table and at most twice as many batches, however old the stream is. A
+    batch that comes again finds its folders complete and changes nothing. A later run starts from its first batch and
+    puts its values over those of the earlier ones.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = run_folder(spark, path, checkpoint)[4:].split("-")[0]
+        number = f"{run}{batch_id:012d}"
+        run_mark = f"{path}/run={run}-{run_of(checkpoint)}"
+        files_, make = file_system(spark, path)
+        files_.mkdirs(make(run_mark))
+        tail, table = f"{path}/batch={number}", f"{path}/table={number}"
+        if not _complete(spark, tail) and not _complete(spark, table):
+            batch.select(*keys, *values).repartition(files).write.mode("overwrite").parquet(tail)
+        if (batch_id + 1) % compact_every or _complete(spark, table):
+            return
+        before = [name for name in folders(spark, path, "table=") if _complete(spark, f"{path}/{name}")]
+        whole = _newest(spark, path, batch.select(*keys, *values).schema.simpleString()[7:-1], keys, values, number)
+        whole.repartition(files).write.mode("overwrite").parquet(table)
+        # Readers of the last form may still be at work; the one before it can go.
+        if before:
+            for kind in ("batch=", "table="):
+                for name in folders(spark, path, kind):
+                    if name[6:] < before[-1][6:] or (kind == "batch=" and name[6:] == before[-1][6:]):
+                        files_.delete(make(f"{path}/{name}"), True)
+
+    return write
+
+
+def _newest(spark: SparkSession, path: str, schema: str, keys: Sequence[str], values: Sequence[str], upto: str = "~") -> DataFrame:
+    schema = schema.replace(":", " ")
+    tables = [name for name in folders(spark, path, "table=") if name[6:] <= upto and _complete(spark, f"{path}/{name}")]
+    base = tables[-1][6:] if tables else ""
+    tails = [name for name in folders(spark, path, "batch=") if base < name[6:] <= upto and _complete(spark, f"{path}/{name}")]
+    parts = [f"{path}/{name}" for name in [*tables[-1:], *tails]]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    number = F.regexp_extract(F.input_file_name(), r"/(?:table|batch)=(\d+)/", 1).cast("decimal(38,0)")
+    rows = spark.read.schema(schema).parquet(*parts).withColumn("_number", number)
+    newest = F.max_by(F.struct(*values), "_number").alias("_values")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "_values.*")
+
+
+def latest_table(spark: SparkSession, path: str, schema: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The table that :func:`upsert_batches` keeps: one row per key."""
+    return _newest(spark, path, schema, keys, values)
+
+
+def send_records(topic: Topic, checkpoint: str, files: int = 8) -> Sink:
+    """Write ``key, value`` to a topic; one of files also keeps ``ts``, in ``files`` files per batch.
 
     A broker may receive a batch twice after a failure.
     """
     if topic.servers is None:
-        return append_batches(topic.name, checkpoint)
+        return append_batches(topic.name, checkpoint, files)
 
     def send(batch: DataFrame, batch_id: int) -> None:
         batch.select("key", "value").write.format("kafka").options(**topic.sink_options()).save()
@@ -57,17 +150,28 @@ def send_records(topic: Topic, checkpoint: str) -> Sink:
     return send
 
 
-def print_lines(rows: int = 100) -> Sink:
-    """Print the first rows of each batch as ``key=value``; for looking at a job."""
+def print_lines() -> Sink:
+    """Print all rows of each batch as ``key=value``, one partition of them at a time."""
 
     def show(batch: DataFrame, batch_id: int) -> None:
-        from rillstat.functions.text import console_line
-
-        batch.select(console_line(F.col("key"), F.col("value")).alias("line")).show(rows, truncate=False)
+        for row in batch.select(console_line(F.col("key"), F.col("value"))).toLocalIterator():
+            print(row[0])
 
     return show
 
 
+def line_batches(path: str, checkpoint: str) -> Sink:
+    """Write all rows of each batch as lines ``key=value``, in text files of a folder per batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folder = f"{path}/{run_folder(spark, path, checkpoint)}/batch_id={batch_id}"
+        if not _complete(spark, folder):
+            batch.select(console_line(F.col("key"), F.col("value"))).write.mode("overwrite").text(folder)
+
+    return write
+
+
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All rows that :func:`append_batches` wrote, with ``run`` and ``batch_id``.
 
@@ -78,10 +182,16 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def latest_rows(
-    spark: SparkSession, path: str, schema: str, keys: Sequence[str], values: Sequence[str], sequence: str = "ts"
+    spark: SparkSession, path: str, schema: str, keys: Sequence[str], values: Sequence[str], sequence: str | None = None
 ) -> DataFrame:
-    """The table that a log of updates stands for: the last values of each key."""
-    return latest(read_batches(spark, path, schema), keys, sequence, values)
+    """The table that a log of updates stands for: the last values of each key, in the order of arrival by default.
+
+    Reads the whole log; :func:`upsert_batches` keeps a table instead.
+    """
+    log = read_batches(spark, path, schema)
+    if sequence is None:
+        log, sequence = log.withColumn("_arrival", arrival()), "_arrival"
+    return latest(log, keys, sequence, values)
 
 
 def write_lines(df: DataFrame, path: str, line: str = "line") -> None:

@@ -33,10 +33,25 @@ def framed(value: Column, schema_id: int) -> Column:
     return F.concat(F.unhex(F.lit(f"{0:02x}{schema_id:08x}")), value)
 
 
-def decode(records: DataFrame, schema: str, value: str = "value") -> DataFrame:
-    """Replace the framed Avro column by the fields of its record."""
+def is_framed(value: Column, schema_id: int | None = None) -> Column:
+    """Whether the value begins with a frame, and one of the given schema if there is one; false for NULL."""
+    known = (F.octet_length(value) >= FRAME) & (F.substring(value, 1, 1) == F.unhex(F.lit("00")))
+    if schema_id is not None:
+        known &= F.substring(value, 2, FRAME - 1) == F.unhex(F.lit(f"{schema_id:08x}"))
+    return F.coalesce(known, F.lit(False))
+
+
+def foreign(records: DataFrame, schema_id: int | None = None, value: str = "value") -> DataFrame:
+    """The records that :func:`decode` leaves out: without a frame, or of another schema."""
+    return records.where(~is_framed(F.col(value), schema_id))
+
+
+def decode(records: DataFrame, schema: str, value: str = "value", schema_id: int | None = None) -> DataFrame:
+    """Replace the framed Avro column by the fields of its record; :func:`foreign` records are left out."""
     from pyspark.sql.avro.functions import from_avro
 
+    records = records.where(is_framed(F.col(value), schema_id))
+
     kept = [name for name in records.columns if name != value]
     decoded = from_avro(unframed(F.col(value)), schema).alias("_record")
     return records.select(*kept, decoded).select(*kept, "_record.*")

@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Makes one field of a line, as no separator, quote or escape occurs in it. What
-#: remains of the CSV format is that it knows headers.
-WHOLE_LINE = {"sep": "\u0001", "quote": "", "escape": ""}
+#: Makes one field of a line: separator, quote and escape are the line end, which no
+#: line can hold. What remains of the CSV format is that it knows headers.
+WHOLE_LINE = {"sep": "\n", "quote": "\n", "escape": "\n"}
 
 
 def _reader(spark: SparkSession, stream: bool, files_per_trigger: int | None, bytes_per_trigger: int | None):
@@ -27,7 +27,7 @@ def read_lines(
     spark: SparkSession,
     path: str,
     *,
-    header: bool | str = False,
+    header: bool = False,
     stream: bool = False,
     tag: bool = False,
     since: datetime | None = None,
@@ -36,19 +36,16 @@ def read_lines(
 ) -> DataFrame:
     """The raw lines of the files at ``path`` as ``key, ts, line``.
 
-    ``header=True`` skips the first line of each file; a header given as text is
-    dropped wherever it stands, which lets Spark read with the plain text source.
+    ``header=True`` skips the first line of each file, and empty lines with it.
     ``ts`` is the arrival time. ``key`` is NULL, or with ``tag=True`` the part of
     the file name before the first ``_``. ``since`` leaves out files last changed
     before it. The pace of a streaming read is set per trigger, in files or bytes.
     """
     reader = _reader(spark, stream, files_per_trigger, bytes_per_trigger)
-    if header is True:
+    if header:
         lines = reader.options(header=True, **WHOLE_LINE).schema("line STRING").csv(path)
     else:
         lines = reader.text(path).withColumnRenamed("value", "line")
-        if header:
-            lines = lines.where(F.col("line") != header)
     if since is not None:
         lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(since))
     key = F.split_part("_metadata.file_name", F.lit("_"), F.lit(1)) if tag else F.lit(None).cast("string")

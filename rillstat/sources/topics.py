@@ -9,10 +9,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "key STRING, value STRING, ts TIMESTAMP"
+PLACE = "run STRING, batch_id BIGINT"
+
+
+def arrival(run: str = "run", batch: str = "batch_id") -> Column:
+    """A number that rises with the run, which begins with its number, and with the batch in it."""
+    number = F.split_part(F.col(run).cast("string"), F.lit("-"), F.lit(1)).try_cast("bigint")
+    return F.coalesce(number, F.lit(0)) * F.lit(1 << 40) + F.coalesce(F.col(batch), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -49,15 +56,19 @@ class Topic:
 
 
 def read_topic(spark: SparkSession, topic: Topic, *, stream: bool = True, binary: bool = False) -> DataFrame:
-    """The records of a topic as ``key, value, ts``.
+    """The records of a topic as ``key, value, ts, seq``.
 
-    Key and value are text, or bytes as they came with ``binary=True``.
+    Key and value are text, or bytes as they came with ``binary=True``. ``seq`` rises in the
+    order in which the records of a key arrived: the offset, as a key has one partition, or run
+    and batch of a folder. Files that no job put there have neither, and go by ``ts``.
     """
     if topic.servers is None:
         reader = spark.readStream if stream else spark.read
         schema = RECORD.replace("STRING", "BINARY") if binary else RECORD
         options = {name: value for name, value in topic.options.items() if not name.startswith("kafka.")}
-        return reader.schema(schema).options(**options).parquet(topic.name).select("key", "value", "ts")
+        records = reader.schema(f"{schema}, {PLACE}").options(**options).parquet(topic.name)
+        seq = F.when(F.col("batch_id").isNull(), F.unix_micros("ts")).otherwise(arrival())
+        return records.select("key", "value", "ts", seq.alias("seq"))
     reader = spark.readStream if stream else spark.read
     records = reader.format("kafka").options(**topic.source_options(stream)).load()
     kind = "binary" if binary else "string"
@@ -65,4 +76,5 @@ def read_topic(spark: SparkSession, topic: Topic, *, stream: bool = True, binary
         F.col("key").cast(kind).alias("key"),
         F.col("value").cast(kind).alias("value"),
         F.col("timestamp").alias("ts"),
+        F.col("offset").alias("seq"),
     )

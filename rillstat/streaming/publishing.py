@@ -45,6 +45,8 @@ def _mark(lag: int, parts: int):
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            # Of the updates of a window in one batch the last one stands for all.
+            rows = rows.sort_values("seq", kind="stable").drop_duplicates(["market", "start_time"], keep="last")
             age = rows.groupby("market")["start_time"].rank(method="dense", ascending=False)
             part = pd.Series(pd.util.hash_array(rows["start_time"].to_numpy()) % parts, rows.index, "int64")
             yield rows.assign(holder=rows["market"].where(age <= lag, ""), part=part.where(age > lag, HELD))
@@ -88,20 +90,20 @@ class HeldWindows(StatefulProcessor):
         pass
 
 
-def publish(updates: DataFrame, lag: int = 2) -> DataFrame:
+def publish(updates: DataFrame, lag: int = 2, parts: int | None = None) -> DataFrame:
     """Stream of the windows to publish, given a stream of ``UPDATE`` rows.
 
     An update behind ``lag`` later windows of its key in its own Arrow batch can no
-    longer be held by anyone, so it goes to one of as many parts as there are cores.
-    What reaches the state of a hot key is thus a few rows per Arrow batch, whatever
-    the backlog.
+    longer be held by anyone, so it goes to one of ``parts`` parts, by default as many as
+    there are shuffle partitions. What reaches the state of a hot key is thus at most ``lag`` rows per
+    Arrow batch, whatever the backlog: of a window's updates in a batch only the last one counts.
 
     A window can come more than once in a micro-batch; the row with the greatest
     ``seq`` counts (:func:`once_per_batch`). What it publishes comes, last value per
     window, to what :func:`rillstat.operators.finalize.final_windows` gives on the
     latest values.
     """
-    parts = updates.sparkSession.sparkContext.defaultParallelism
+    parts = parts or int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         updates.select(*_COLUMNS)
         .where(F.col("market").isNotNull())

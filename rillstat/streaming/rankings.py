@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstat.operators.ranking import top_pages
-from rillstat.sinks.tables import Sink, run_of
+from rillstat.sinks.tables import Sink, arrival, run_of
 
 TOP = "page STRING, industry STRING, start_time BIGINT, count BIGINT, rank INT"
 
@@ -32,7 +32,7 @@ def rank_closed(sink: Sink, n: int = 100) -> Sink:
     return write
 
 
-def rank_updates(folder: str, sink: Sink, checkpoint: str, n: int = 100, closed_after: int = 2 * 3_600_000) -> Sink:
+def rank_updates(folder: str, sink: Sink, checkpoint: str, n: int, closed_after: int) -> Sink:
     """Rank the counts of an update stream; pass on the rankings that changed.
 
     Counts only rise. A page that has dropped out of the first ``n`` can come back
@@ -73,6 +73,6 @@ def rank_updates(folder: str, sink: Sink, checkpoint: str, n: int = 100, closed_
 
 
 def latest_rankings(rankings: DataFrame) -> DataFrame:
-    """The last ranking of each industry and window, from a log with ``batch_id``."""
-    newest = F.rank().over(Window.partitionBy(*_GROUP).orderBy(F.col("batch_id").desc()))
+    """The last ranking of each industry and window, from a log with ``run`` and ``batch_id``."""
+    newest = F.rank().over(Window.partitionBy(*_GROUP).orderBy(arrival().desc()))
     return rankings.withColumn("_age", newest).where(F.col("_age") == 1).drop("_age")

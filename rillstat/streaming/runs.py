@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rillstat.session import STATE_SETTINGS, settings
-from rillstat.sinks.tables import Sink
+from rillstat.sinks.tables import Sink, file_system, folders
 
 #: Later than any event, yet far enough from the end of time to subtract a delay.
 END_OF_TIME = "9000-01-01 00:00:00"
 
 
 def checkpoint_at(folder: str, fresh: bool = False) -> str:
-    """The checkpoint of a job under ``folder``; a fresh one starts without state."""
-    return f"{folder}/{uuid.uuid4().hex}" if fresh else f"{folder}/current"
+    """The newest checkpoint of a job under ``folder``; a fresh one is a new one, without state.
+
+    Checkpoints are numbered, so that a fresh run that was stopped is the one that is taken up again.
+    """
+    spark = SparkSession.active()
+    numbers = [int(name[4:]) for name in folders(spark, folder, "run-")]
+    checkpoint = f"{folder}/run-{max(numbers, default=0) + bool(fresh and numbers):06d}"
+    files, make = file_system(spark, checkpoint)
+    files.mkdirs(make(checkpoint))
+    return checkpoint
 
 
 def start(

@@ -37,7 +37,7 @@ def test_synthetic_views_to_top_articles(spark, tmp_path):
     main(["views", "--output", views, "--runs", "20", "--seed", "5"])
     main(["articles", "--input", views, "--output", top, "--once", "--checkpoint", str(tmp_path / "c"),
           "--early", str(tmp_path / "held")])
-    newest = {r.key: r.value for r in latest(read_topic(spark, Topic(top), stream=False), ["key"], "ts", ["value"]).collect()}
+    newest = {r.key: r.value for r in latest(read_topic(spark, Topic(top), stream=False), ["key"], "seq", ["value"]).collect()}
     expected = {r.key: r.value for r in jobs.top_article_records(jobs.top_articles(spark.read.parquet(views))).collect()}
     assert newest == expected and len(expected) == 5
 
@@ -67,3 +67,32 @@ def test_show_prints_records(spark, tmp_path, capfd):
     longs.withColumn("ts", F.current_timestamp()).write.parquet(str(tmp_path / "longs"))
     cli.main(["show", "--input", str(tmp_path / "longs"), "--once", "--longs"])
     assert "u=3" in capfd.readouterr().out
+
+
+def test_options_of_other_jobs_are_refused(capsys):
+    for arguments in (
+        ["date-ratios", "--input", "a", "--output", "b", "--window", "1 hour"], ["publish", "--input", "a", "--output", "b", "--lateness", "1 hour"],
+        ["ratios", "--input", "a", "--output", "b", "--early", "c"], ["feed", "--output", "b"], ["articles", "--input", "a"], ["views"], ["none"],
+    ):
+        with pytest.raises(SystemExit):
+            cli.parser().parse_args(arguments)
+    capsys.readouterr()
+    args = cli.parser().parse_args(["ratios", "--input", "a", "--output", "b", "--since", "2024-01-02T03:04:05", "--bytes-per-trigger", "9"])
+    assert args.since.year == 2024 and args.bytes_per_trigger == 9
+
+
+def test_two_feed_jobs_side_by_side_have_their_own_checkpoints(spark, tmp_path):
+    for name, runs in (("a", 2), ("b", 3)):
+        main(["items", "--output", str(tmp_path / f"items-{name}"), "--runs", str(runs), "--seed", str(runs)])
+        main(["feed", "--input", str(tmp_path / f"items-{name}"), "--output", str(tmp_path / f"counts-{name}"), "--once"])
+        got = {r.key: int(r.value) for r in read_topic(spark, Topic(str(tmp_path / f"counts-{name}")), stream=False).collect()}
+        assert got == {r.user: r["count"] for r in jobs.feed_counts(spark.read.parquet(str(tmp_path / f"items-{name}"))).collect()}
+
+
+def test_publish_to_servers_writes_to_the_topic(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jobs, "start_publication", lambda records, points, checkpoint, **options: seen.append((points, options)))
+    monkeypatch.setattr(cli, "read_topic", lambda *args, **options: None)
+    monkeypatch.setattr(cli, "drain", lambda query: None)
+    main(["publish", "--servers", "h:9092", "--input", "r", "--output", "p", "--checkpoint", str(tmp_path / "c"), "--lag", "3"])
+    assert seen == [(Topic("p", "h:9092"), {"lag": 3})]

@@ -4,9 +4,12 @@ import compare
 import pytest
 
 import __spark_entry__ as registry
+from rillstat.plans.oracles import ORACLES
+from rillstat.plans.queries import QUERIES
+from rillstat.plans.stream_queries import STREAM_QUERIES
 
-BATCH = [name for name in registry.queries() if not name.startswith("stream_")]
-STREAM = [name for name in registry.queries() if name.startswith("stream_")]
+BATCH = list(QUERIES)
+STREAM = list(STREAM_QUERIES)
 
 
 def check(spark, name, folder):
@@ -31,4 +34,5 @@ def test_entry(spark):
 
 
 def test_all_have_sql():
-    assert set(registry.oracle_sql()) == set(registry.queries())
+    assert set(ORACLES) == {*QUERIES, *STREAM_QUERIES}
+    assert {*QUERIES, *STREAM_QUERIES} <= set(registry.queries())

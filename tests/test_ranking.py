@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from rillstat.functions.longs import long_bytes, long_value
@@ -34,9 +33,7 @@ def test_record_key(spark):
     assert (record.key, record.value) == ("i@3600000", "a\n")
 
 
-@pytest.mark.parametrize("early_cut", [1000, 1])
-def test_against_sorting(spark, monkeypatch, early_cut):
-    monkeypatch.setattr(ranking, "EARLY_CUT", early_cut)
+def test_against_sorting(spark):
     rng = random.Random(7)
     rows = [(f"p{i}", rng.choice("aaab"), 0, rng.randrange(50)) for i in range(2000)]
     got = ranking.top_pages(counts(spark, rows), 100).orderBy("industry", "rank").collect()
@@ -48,8 +45,9 @@ def test_against_sorting(spark, monkeypatch, early_cut):
 
 
 def test_groups_are_cut_before_the_shuffle(spark):
-    plan = ranking.top_pages(counts(spark, [("a", "i", 0, 1)]))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    for n in (100, 5000):
+        plan = ranking.top_pages(counts(spark, [("a", "i", 0, 1)]), n)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
 
 
 def test_last_points(spark):

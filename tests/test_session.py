@@ -35,12 +35,19 @@ def test_folders_are_new(spark):
 
 
 @pytest.mark.parametrize(
-    "text, expected", [("500 milliseconds", 500), ("1 second", 1000), ("60 minutes", 3600000), ("1 hour", 3600000), ("2 days", 172800000)]
+    "text, expected", [("500 milliseconds", 500), ("1 second", 1000), ("60 minutes", 3600000), ("1 hour", 3600000), ("2 days", 172800000),
+    ("1 hour 30 minutes", 5400000), ("1.5 seconds", 1500), ("1 week", 604800000)]
 )
-def test_millis(text, expected):
+def test_millis(spark, text, expected):
     assert millis(text) == expected
 
 
+@pytest.mark.parametrize("text", ["1 month", "2 years", "0 seconds", "-1 hour", "1 microsecond", "soon"])
+def test_durations_without_millis(spark, text):
+    with pytest.raises(Exception):  # noqa: B017  Spark's own error for what is no interval
+        millis(text)
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/Denver", "Asia/Kolkata"])
 def test_instant_does_not_depend_on_the_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")

@@ -34,9 +34,17 @@ def test_header_is_skipped_by_place(spark, folder):
     assert sorted(lines) == sorted(['a,1,"x', " b\\,2é, ", "c,3", HEADER])
 
 
-def test_header_is_skipped_by_value(spark, folder):
-    lines = {r.line for r in read_lines(spark, folder, header=HEADER).collect()}
-    assert lines == {'a,1,"x', "", " b\\,2é, ", "c,3"}
+def test_lines_with_a_header_keep_any_character(spark, tmp_path):
+    lines = ["a,b\x01c,d", "\x01lead", '"quoted" x', '"open', "\x00nul", "mid\x00nul", "\x00a\x00", "back\\slash\\", "  blank ", "#note", HEADER, "\uffffx", "a\tb"]
+    (tmp_path / "x_1.csv").write_bytes("\n".join([HEADER, *lines * 300, ""]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = read_lines(spark, str(tmp_path), header=True)
+        assert read.rdd.getNumPartitions() > 5
+        assert Counter(r.line for r in read.collect()) == Counter(lines * 300)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_header_of_a_file_in_many_splits(spark, tmp_path):
@@ -62,7 +70,7 @@ def test_lines_written_with_a_header(spark, tmp_path):
 
 def test_key_from_the_file_name(spark, folder):
     assert {r.key for r in read_lines(spark, folder, tag=True).collect()} == {"Colorado", "Oregon"}
-    assert {r.key for r in read_lines(spark, folder, header=HEADER, tag=True).collect()} == {"Colorado", "Oregon"}
+    assert {r.key for r in read_lines(spark, folder, header=True, tag=True).collect()} == {"Colorado", "Oregon"}
     assert {r.key for r in read_lines(spark, folder).collect()} == {None}
 
 
@@ -73,7 +81,7 @@ def test_files_changed_since(spark, folder):
     assert {r.key for r in lines.collect()} == {"Colorado"}
 
 
-@pytest.mark.parametrize("header", [True, HEADER])
+@pytest.mark.parametrize("header", [True, False])
 def test_lines_as_a_paced_stream(spark, folder, tmp_path, header):
     lines = read_lines(spark, folder, header=header, tag=True, stream=True, files_per_trigger=1)
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
@@ -122,19 +130,62 @@ def test_topic_of_files(spark, tmp_path):
     assert [tuple(r)[:2] for r in read_topic(spark, topic, stream=False).collect()] == [("k", "v")] * 2
 
 
-def test_repeated_batch_replaces_itself_and_runs_are_apart(spark, tmp_path):
+def test_complete_batches_stay_broken_ones_are_replaced_and_runs_are_apart(spark, tmp_path):
     path = str(tmp_path / "table")
     first, second = tables.append_batches(path, "a"), tables.append_batches(path, "b", files=1)
     first(spark.range(5), 0)
     first(spark.range(3), 0)
     second(spark.range(4).repartition(4), 0)
+    a, b = f"000000-{tables.run_of('a')}", f"000001-{tables.run_of('b')}"
     rows = tables.read_batches(spark, path, "id BIGINT")
-    assert Counter(r.run for r in rows.collect()) == {tables.run_of("a"): 3, tables.run_of("b"): 4}
+    assert Counter(r.run for r in rows.collect()) == {a: 5, b: 4}
+    (tmp_path / "table" / f"run={a}" / "batch_id=0" / "_SUCCESS").unlink()
+    first(spark.range(3), 0)
+    assert tables.read_batches(spark, path, "id BIGINT").where(F.col("run") == a).count() == 3
 
 
-def test_console_lines(spark, capfd):
-    tables.print_lines()(spark.createDataFrame([("user", 3)], "key STRING, value BIGINT"), 0)
-    assert "user=3" in capfd.readouterr().out
+def test_a_reading_stream_sees_a_repeated_batch_once(spark, tmp_path):
+    topic, out, checkpoint = Topic(str(tmp_path / "topic")), str(tmp_path / "out"), str(tmp_path / "c")
+    records = spark.sql("SELECT 'k' AS key, 'v' AS value, current_timestamp() AS ts")
+    for _ in range(2):
+        tables.send_records(topic, "a")(records, 0)
+        drain(start(read_topic(spark, topic), tables.append_batches(out, checkpoint), checkpoint=checkpoint), timeout=120)
+    assert spark.read.parquet(out).count() == 1
+
+
+def test_arrival_counts_not_the_clock(spark, tmp_path):
+    topic = Topic(str(tmp_path / "topic"))
+    for run, batch, at in (("a", 0, 9000), ("a", 1, 8000), ("b", 0, 100), ("b", 1, 50)):
+        tables.send_records(topic, run)(spark.sql(f"SELECT 'k' AS key, '{run}{batch}' AS value, timestamp_seconds({at}) AS ts"), batch)
+    rows = read_topic(spark, topic, stream=False).orderBy("seq").collect()
+    assert [r.value for r in rows] == ["a0", "a1", "b0", "b1"]
+
+
+def test_a_table_kept_by_upserts(spark, tmp_path):
+    path, expected = str(tmp_path / "table"), {}
+    for run in ("a", "b"):
+        sink = tables.upsert_batches(path, run, ["k"], ["v"], files=2, compact_every=4)
+        for batch in range(11):
+            rows = [(k, batch * 100 + k) for k in range(batch % 3, 12, 3)]
+            for _ in range(2):  # each batch comes twice
+                sink(spark.createDataFrame(rows, "k BIGINT, v BIGINT"), batch)
+            expected.update(rows)
+            got = tables.latest_table(spark, path, "k BIGINT, v BIGINT", ["k"], ["v"])
+            assert {r.k: r.v for r in got.collect()} == expected
+            folders = [p.name for p in (tmp_path / "table").iterdir() if not p.name.startswith("run=")]
+            assert len(folders) <= 12
+    assert tables.latest_table(spark, str(tmp_path / "none"), "k BIGINT, v BIGINT", ["k"], ["v"]).count() == 0
+
+
+def test_console_lines(spark, capfd, tmp_path):
+    rows = spark.range(250).select(F.concat(F.lit("user"), "id").alias("key"), F.lit(3).alias("value"))
+    rows = rows.union(spark.sql("SELECT CAST(NULL AS STRING), CAST(NULL AS INT)"))
+    tables.print_lines()(rows, 0)
+    printed = capfd.readouterr().out.splitlines()
+    expected = Counter([*(f"user{i}=3" for i in range(250)), "null=null"])
+    assert Counter(line for line in printed if "=" in line) == expected
+    tables.line_batches(str(tmp_path / "lines"), "a")(rows, 0)
+    assert Counter(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == expected
 
 
 def test_frames(spark):
@@ -143,6 +194,12 @@ def test_frames(spark):
     assert bytes(row.f) == bytes([0, 0, 0, 1, 2, 10, 11]) and bytes(row.u) == bytes([10, 11])
 
 
+def test_foreign_frames(spark):
+    rows = spark.createDataFrame([(1, bytes([0, 0, 0, 1, 2, 9])), (2, bytes([0, 0, 0, 1, 3, 9])), (3, bytes([1, 0, 0, 1, 2, 9])), (4, b"\0\0"), (5, None), (6, bytes(5))], "id INT, value BINARY")
+    assert {r.id for r in avro.foreign(rows, 258).collect()} == {2, 3, 4, 5, 6}
+    assert {r.id for r in avro.foreign(rows).collect()} == {3, 4, 5}
+
+
 def test_avro_needs_its_module(spark):
     framed = spark.sql("SELECT 'k' AS key, X'0000000001' AS value")
     with pytest.raises(Exception, match="FROM_AVRO.*not loaded"):

@@ -74,15 +74,16 @@ def test_counts_are_updated_and_resumed(spark, tmp_path):
     records = read_topic(spark, topic, stream=False)
     batches = spark.read.parquet(topic.name).select("batch_id").distinct().count()
     assert batches == 3
-    updates = records.select(F.col("key").alias("user"), F.col("value").cast("bigint").alias("count"), "ts")
+    updates = records.select(F.col("key").alias("user"), F.col("value").cast("bigint").alias("count"), "seq")
     assert updates.count() > updates.select("user").distinct().count()
-    assert rows_of(latest(updates, ["user"], "ts", ["count"])) == rows_of(jobs.feed_counts(feed))
+    assert rows_of(latest(updates, ["user"], "seq", ["count"])) == rows_of(jobs.feed_counts(feed))
 
 
 def test_fresh_checkpoint_starts_without_state(spark, tmp_path):
     folder = str(tmp_path / "checkpoints")
     assert runs.checkpoint_at(folder) == runs.checkpoint_at(folder)
-    assert runs.checkpoint_at(folder, fresh=True) != runs.checkpoint_at(folder, fresh=True)
+    fresh = runs.checkpoint_at(folder, fresh=True)
+    assert runs.checkpoint_at(folder) == fresh != runs.checkpoint_at(folder, fresh=True)
     source = in_order(spark, inputs.feed(spark, FOLDER), str(tmp_path / "in"))
     topic = Topic(str(tmp_path / "topic"))
     for fresh in (False, False, True):
@@ -187,7 +188,7 @@ def test_early_ranking_with_a_row_late_by_one_batch(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(path)
     source = read_table(spark, path, stream=True, files_per_trigger=1)
     counts = jobs.article_counts(source, lateness="1 hour")
-    sink = rankings.rank_updates(held, append_batches(out, checkpoint), checkpoint)
+    sink = rankings.rank_updates(held, append_batches(out, checkpoint), checkpoint, 100, 2 * 3_600_000)
     runs.drain(runs.start(counts, sink, checkpoint=checkpoint, output_mode="update"), timeout=200)
     stream = rankings.latest_rankings(read_batches(spark, out, rankings.TOP)).drop("run", "batch_id")
     assert rows_of(stream) == rows_of(jobs.top_articles(spark.read.parquet(path)))
@@ -205,7 +206,7 @@ def test_article_job_writes_texts(spark, tmp_path):
     )
     runs.drain(query, timeout=200)
     records = read_topic(spark, topic, stream=False)
-    newest = {r.key: r.value for r in latest(records, ["key"], "ts", ["value"]).collect()}
+    newest = {r.key: r.value for r in latest(records, ["key"], "seq", ["value"]).collect()}
     expected = {r.key: r.value for r in jobs.top_article_records(jobs.top_articles(views)).collect()}
     assert newest == expected
 
@@ -215,7 +216,7 @@ def test_interval_trigger_and_name(spark, tmp_path):
     topic = Topic(str(tmp_path / "topic"))
     query = jobs.start_market_ratios(source(), topic, str(tmp_path / "checkpoint"), every="100 milliseconds")
     try:
-        assert query.name == "tput-stats-store"
+        assert query.name == "market-ratios"
         query.processAllAvailable()
     finally:
         query.stop()
