@@ -29,6 +29,18 @@ def slices(batch: pa.RecordBatch, columns: list[str], limit: int = SLICE_BYTES)
         start = stop
 
 
+def text_slices(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive texts as Arrow arrays of at most ``limit`` characters, one text at least."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > limit:
+            yield pa.array(texts[start:i], pa.large_string())
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield pa.array(texts[start:], pa.large_string())
+
+
 def map_slices(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, columns: list[str],
     limit: int = SLICE_BYTES,

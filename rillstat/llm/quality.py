@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstat.llm.batches import text_column
+from rillstat.llm.batches import text_column, text_slices
 from rillstat.llm.hashing import LOWER, SPACE, distinct_by_row, span_hashes, utf8, words
 from rillstat.llm.labels import class_weights, fold, labelled_sample, logistic, sigmoid
 
@@ -162,6 +162,16 @@ class FactorisationMachine:
         return sigmoid(self.scale[0] * z + self.scale[1])
 
 
+def _joined(parts: list[Features]) -> Features:
+    parts = parts or [features(pa.array([], pa.large_string()))]
+    counts = np.concatenate([np.diff(part.bounds) for part in parts])
+    return Features(
+        np.concatenate([part.words for part in parts]),
+        np.concatenate([[0], np.cumsum(counts)]),
+        np.concatenate([part.statistics for part in parts]),
+    )
+
+
 def _part(made: Features, rows: np.ndarray) -> Features:
     count = np.diff(made.bounds)[rows]
     ends = np.cumsum(count)
@@ -197,7 +207,7 @@ def quality(
     n_chars: str | None = "n_chars",
     target: str = "quality",
     threshold: float = 0.7,
-    per_label: int = 3000,
+    per_label: int = 2000,
     longest: int = 40_000,
 ) -> DataFrame:
     """``id, held_out, score, predicted`` for every row of ``docs``.
@@ -223,10 +233,11 @@ def score_column(
 ) -> Column:
     """The score of a row of ``docs``, by a model that is fitted now."""
     sample, share = labelled_sample(docs, labels, target, id, text, per_label, longest)
-    texts = [value for _, value in sample]
     # The sample comes without its declared counts; they are those of the texts.
-    counts = pa.array([len(value) for value in texts], pa.int64()) if n_chars else None
-    made = features(pa.array(texts, pa.large_string()), counts)
+    made = _joined([
+        features(texts, pc.cast(pc.utf8_length(texts), pa.int64()) if n_chars else None)
+        for texts in text_slices([value for _, value in sample])
+    ])
     model = train(made, np.array([y for y, _ in sample], dtype=float), share)
 
     def work(batch: pa.RecordBatch) -> pa.Array:
@@ -245,7 +256,7 @@ def accepted(
     n_chars: str | None = "n_chars",
     target: str = "quality",
     threshold: float = 0.7,
-    per_label: int = 3000,
+    per_label: int = 2000,
     longest: int = 40_000,
 ) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``, as :func:`quality` gives it."""

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstat.llm.batches import map_slices
+from rillstat.llm.batches import map_slices, text_slices
 from rillstat.llm.hashing import LOWER, SPACE, utf8, words
 from rillstat.llm.labels import class_weights, fold, labelled_sample, logistic, sigmoid
 
@@ -29,6 +29,10 @@ WINDOW = 16
 #: Follows each window. zstandard starts no match in the last bytes of a block.
 _PAD = np.full(32, 10, dtype=np.uint8)
 
+#: Windows that the ordinary dictionary is trained on, about, and bytes of windows added to it that were taken for toxic.
+TRAINED_WINDOWS = 60_000
+MENDED = 32_768
+
 #: Shortest match.
 _MATCH = 5
 
@@ -164,14 +168,6 @@ def _toxic_words(texts: list[tuple[int, str]], size: int) -> bytes:
     return b"".join(kept)[-size:]
 
 
-def _window_bytes(texts: list[str], most: int) -> list[bytes]:
-    data, offsets = spread(pa.array(texts, pa.large_string()))
-    begin, end, _ = windows(data, offsets)
-    step = max(1, -(-len(begin) // most))
-    whole = data.tobytes()
-    return [whole[a:b] for a, b in zip(begin[::step].tolist(), end[::step].tolist(), strict=True)]
-
-
 def train(texts: list[tuple[int, str]], share: float, ordinary_size: int = 65536, toxic_size: int = 8192) -> Dictionaries:
     """Both dictionaries and the score from labelled texts; the score is constant where a label is missing."""
     y = np.array([label for label, _ in texts], dtype=float)
@@ -179,18 +175,28 @@ def train(texts: list[tuple[int, str]], share: float, ordinary_size: int = 65536
         return Dictionaries(b"", b"", np.array([-30.0 if not share else 30.0]))
     toxic = _toxic_words(texts, toxic_size)
     plain = [text for label, text in texts if not label]
-    pieces = _window_bytes(plain, 60_000)
+    every = max(1, sum(map(len, plain)) // WINDOW // TRAINED_WINDOWS)
+    pieces: list[bytes] = []
+    for column in text_slices(plain):
+        data, offsets = spread(column)
+        begin, end, _ = windows(data, offsets)
+        whole = data.tobytes()
+        pieces += [whole[a:b] for a, b in zip(begin[::every].tolist(), end[::every].tolist(), strict=True)]
     try:
         ordinary = zstandard.train_dictionary(ordinary_size, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         ordinary = b"".join(pieces)[-ordinary_size:]
-    data, offsets = spread(pa.array(plain, pa.large_string()))
-    begin, end, _ = windows(data, offsets)
+    del pieces
     for _ in range(2):
-        saved = Scorer(ordinary, toxic).savings(data, begin, end)
-        wrong = sorted({data[begin[i]:end[i]].tobytes() for i in np.flatnonzero(saved >= 2)})
-        ordinary = (b"".join(wrong)[:32768] + ordinary)[-(ordinary_size + 32768):]
-    x = Scorer(ordinary, toxic).features(pa.array([text for _, text in texts], pa.large_string()))
+        scorer, wrong = Scorer(ordinary, toxic), set()
+        for column in text_slices(plain):
+            data, offsets = spread(column)
+            begin, end, _ = windows(data, offsets)
+            for i in np.flatnonzero(scorer.savings(data, begin, end) >= 2).tolist():
+                wrong.add(data[begin[i]:end[i]].tobytes())
+        ordinary = (b"".join(sorted(wrong))[:MENDED] + ordinary)[-(ordinary_size + MENDED):]
+    scorer = Scorer(ordinary, toxic)
+    x = np.concatenate([scorer.features(column) for column in text_slices([text for _, text in texts])])
     return Dictionaries(ordinary, toxic, logistic(x, y, class_weights(y, share)))
 
 
@@ -201,7 +207,7 @@ def toxicity(
     text: str = "text",
     target: str = "toxic",
     threshold: float = 0.3,
-    per_label: int = 3000,
+    per_label: int = 2000,
     longest: int = 40_000,
 ) -> DataFrame:
     """``id, held_out, score, predicted`` for every row of ``docs``; only the text goes into the score.
