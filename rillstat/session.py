@@ -60,8 +60,9 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 @cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="rillstat-")
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """A folder that goes when the process ends, with all copies that were stored in it."""
+    return tempfile.TemporaryDirectory(prefix="rillstat-", ignore_cleanup_errors=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -74,7 +75,7 @@ def shared_folder(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_folder()
+        return _local_folder().name
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
