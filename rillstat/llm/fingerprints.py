@@ -237,26 +237,27 @@ def _compare(lexicon: np.ndarray):
     return work
 
 
-def with_next(rows: DataFrame, columns: list[str], weight: str) -> DataFrame:
-    """``rows`` with ``next_<column>`` of the row with the next ``id``, the first one's after the last.
+def with_next(rows: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` (``id``, ``tie`` and others) with ``next_<column>`` of the row with the next ``id``, the first one's after the last.
 
+    ``sizes`` has the ``id`` and ``weight`` of the same rows, for the cuts.
     Ids are cut to ranges at sampled ids. A range needs one row more than its own, the
     first of the next range, which is the row that the cut was taken from: rows with the id of a cut go to both.
     Null ids come first; ties follow ``tie``.
     """
-    rows = stored(rows, "rows")
-    keyed = rows.withColumn("_key", F.coalesce("id", F.lit(-(1 << 63))))
-    total, least, count = keyed.agg(F.sum(weight), F.min("_key"), F.count("*")).first()
+    key = F.coalesce("id", F.lit(-(1 << 63)))
+    keyed = sizes.select(key.alias("_key"), "weight")
+    total, least, count = keyed.agg(F.sum("weight"), F.min("_key"), F.count("*")).first()
     if not count:
         return rows.select("*", *(F.col(name).alias(f"next_{name}") for name in columns))
     ranges = int(min(max(total // RANGE_BYTES, min(count // 100, 128), 1), 65_536))
-    cuts = quantiles(sample(keyed.select("_key", weight), ["_key"], weight, ranges * PER_RANGE, total), ranges)
+    cuts = quantiles(sample(keyed, ["_key"], "weight", ranges * PER_RANGE, total), ranges)
     cuts = [cut for cut in cuts if cut[0] != least]
     first, last = range_of([(least,), *cuts], ["_key"]) - 1, len(cuts)
     firsts = np.array([least, *(cut[0] for cut in cuts)], dtype=np.int64).tolist()
-    placed = keyed.withColumn("_range", first)
+    placed = rows.withColumn("_key", key).withColumn("_range", first)
     # Is the row's id the first of its range? Looked up in the sorted cuts like the range itself.
-    before = range_of([(cut + 1,) for cut in firsts], ["_key"])
+    before = range_of([(min(cut + 1, (1 << 63) - 1),) for cut in firsts], ["_key"])
     placed = placed.withColumn("_border", before == F.col("_range"))
     home = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))
     ahead = F.struct(F.when(F.col("_range") == 0, F.lit(last)).otherwise(F.col("_range") - 1).alias("range"), F.lit(1).alias("guest"))
@@ -283,8 +284,8 @@ def compared(
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     lexicon = lexicon_of(rows.select("text"), low, high)
     made = map_slices(rows, _prepare(lexicon), "id BIGINT, n_chars BIGINT, mark BINARY, packed BINARY, tie BIGINT", ["text"])
-    made = made.withColumn("weight", F.octet_length("packed") + 1)
-    led = with_next(made, ["packed", "mark"], "weight")
+    sizes = rows.select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("weight"))
+    led = with_next(made, sizes, ["packed", "mark"])
     led = led.select("id", "n_chars", "mark", "packed", "next_packed", "next_mark")
     schema = (
         "id BIGINT, n_chars BIGINT, edited_sha256 STRING, fingerprint STRING, edited_fingerprint STRING, "
