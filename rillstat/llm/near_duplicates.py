@@ -163,10 +163,12 @@ def rest_pairs(open_docs: DataFrame, texts: DataFrame, size: int, numerator: int
     main = sizes.groupBy("shingle").agg(
         F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps")
     ).filter("comps > 1")
-    minor = entries.join(main, "shingle").filter("comp <> main").select(
+    # Stored, so that the join below reads both sides by an exchange that can be split where a shingle is hot.
+    contested = stored(entries.join(main, "shingle").select(*entries.columns, "main"), "contested")
+    minor = contested.filter("comp <> main").select(
         "shingle", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a")
     )
-    others = entries.select(
+    others = contested.select(
         "shingle", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b")
     )
     possible = (F.col("comp_a") != F.col("comp_b")) & (
