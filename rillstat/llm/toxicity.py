@@ -207,7 +207,7 @@ def toxicity(
     text: str = "text",
     target: str = "toxic",
     threshold: float = 0.3,
-    per_label: int = 2000,
+    per_label: int = 4000,
     longest: int = 40_000,
 ) -> DataFrame:
     """``id, held_out, score, predicted`` for every row of ``docs``; only the text goes into the score.
