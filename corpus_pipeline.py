@@ -33,8 +33,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the target marginals."""
-    return mixed(docs, TARGETS).select(*docs.columns)
+    """A sample whose rows have the target marginals; documents wanted more than once are repeated."""
+    return mixed(docs, TARGETS, repeats=True).select(*docs.columns)
 
 
 def placed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Token counts are summed per cell (source, language, topic) and raked: each dimension in turn
 is scaled to its target marginal until all of them fit. The raked weight of a cell over its
 tokens is the rate at which its documents are wanted; documents are drawn by a hash of their
-id with a probability in proportion to it.
+id with a probability in proportion to it. Where documents are wanted more than once, either a
+weight says how often or they are repeated.
 """
 
 from __future__ import annotations
@@ -125,6 +126,7 @@ def mixed(
     text: str = "text",
     topic: Column | None = None,
     seed: int = 17,
+    repeats: bool = False,
 ) -> DataFrame:
     """The sampled rows of ``docs`` with ``mix_topic, mix_tokens, mix_probability, mix_weight``.
 
@@ -134,6 +136,10 @@ def mixed(
     where that is 1, ``mix_weight`` tells how often it is wanted, elsewhere it is 1, so weighted tokens
     have the target marginals.
 
+    With ``repeats`` the rows themselves have the target marginals, without weights: a document that is
+    wanted 2.3 times comes twice and with a probability of 0.3 once more, ``mix_weight`` is 1, and
+    ``budget`` counts the tokens of the repeated rows too. No rate is capped.
+
     Nulls in a dimension are a value of their own (with shares by value: not wanted). Null and empty
     texts have no tokens: a cell of nothing else keeps them all. The draw hashes the id, so rows with one
     id are kept or dropped together, as are rows without one. Columns of ``docs`` with the names of the
@@ -151,12 +157,24 @@ def mixed(
     rows = rows.withColumns({dimensions[name]: label for name, label in labels.items()})
     cells = stored(rows.groupBy(*dimensions.values()).agg(F.sum("mix_tokens").alias("base")), "cells")
     fitted = rake(cells, {dimensions[name]: target for name, target in targets.items()})
-    scale = sampling_scale(fitted, budget * (cells.agg(F.sum("base")).first()[0] or 0))
+    tokens = budget * (cells.agg(F.sum("base")).first()[0] or 0)
+    if repeats:
+        scale = tokens / (fitted.agg(F.sum("fitted")).first()[0] or float("inf"))
+    else:
+        scale = sampling_scale(fitted, tokens)
     wanted = F.when(F.col("base") > 0, F.col("fitted") / F.col("base") * scale).otherwise(1.0)
     rates = stored(fitted.select(*dimensions.values(), wanted.alias("_wanted")), "rates")
     draw = F.xxhash64(F.col(id), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
     probability = F.least(F.lit(1.0), F.col("_wanted"))
-    drawn = rows.join(rates, list(dimensions.values())).filter((draw < probability) | (probability >= 1))
+    drawn = rows.join(rates, list(dimensions.values()))
+    if repeats:
+        times = F.floor("_wanted")
+        times = (times + (draw < F.col("_wanted") - times).cast("int")).cast("int")
+        drawn = drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_copy")
+        return drawn.select(
+            *kept, "mix_topic", "mix_tokens", probability.alias("mix_probability"), F.lit(1.0).alias("mix_weight")
+        )
+    drawn = drawn.filter((draw < probability) | (probability >= 1))
     return drawn.select(
         *kept, "mix_topic", "mix_tokens", probability.alias("mix_probability"), F.greatest(F.lit(1.0), F.col("_wanted")).alias("mix_weight")
     )

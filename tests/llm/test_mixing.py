@@ -3,7 +3,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rillstat.llm.mixing import mixed, rake, sampling_scale, token_count
+from corpus_pipeline import weighted
+from rillstat.llm.mixing import layout_topic, mixed, rake, sampling_scale, token_count
+from rillstat.llm.queries import TARGETS
 from tests.llm.frames import DOCS
 
 
@@ -41,6 +43,36 @@ def test_the_sample_has_the_target_marginals(spark):
     assert all(0 < row["mix_probability"] <= 1 and (row["mix_weight"] == 1 or row["mix_probability"] == 1) for row in rows)
 
 
+def test_rows_that_repeat_have_the_target_marginals_without_weights(spark):
+    rows = [("a b c d", "en", "s")] * 900 + [("a b c d", "fr", "s")] * 60 + [("a b c d", "de", "t")] * 40
+    found = mixed(docs_of(spark, rows), {"lang": {"en": 0.4, "fr": 0.4, "de": 0.2}}, budget=0.7, repeats=True).collect()
+    tokens, times = Counter(), Counter()
+    for row in found:
+        tokens[row["lang"]] += row["mix_tokens"]
+        times[row["doc_id"]] += 1
+    assert sum(tokens.values()) == pytest.approx(0.7 * 4000, rel=0.05)
+    for lang, share in (("en", 0.4), ("fr", 0.4), ("de", 0.2)):
+        assert tokens[lang] / sum(tokens.values()) == pytest.approx(share, abs=0.03)
+    # 700 rows: 280 of the 60 in fr, 140 of the 40 in de, 280 of the 900 in en.
+    assert {times[i] for i in range(900, 960)} == {4, 5} and {times[i] for i in range(960, 1000)} == {3, 4}
+    assert max(times[i] for i in range(900)) == 1 and all(row["mix_weight"] == 1 for row in found)
+
+
+def test_the_pipeline_stage_reaches_the_targets_in_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    topic = layout_topic("text").alias("topic")
+    before = docs.select("source", "lang", topic, token_count("text").alias("n")).collect()
+    after = weighted(spark, docs, "").select("source", "lang", topic, token_count("text").alias("n")).collect()
+    for name in ("source", "lang", "topic"):
+        own, got = Counter(), Counter()
+        for counts, rows in ((own, before), (got, after)):
+            for row in rows:
+                counts[row[name]] += row["n"]
+        roots = {value: n ** TARGETS[name] for value, n in own.items() if n}
+        for value, root in roots.items():
+            assert got[value] / sum(got.values()) == pytest.approx(root / sum(roots.values()), abs=0.02)
+
+
 def test_the_scale_meets_the_budget(spark):
     cells = spark.createDataFrame([(10, 40.0), (30, 20.0), (60, 40.0)], "base BIGINT, fitted DOUBLE")
     scale = sampling_scale(cells, 50.0)
