@@ -38,6 +38,9 @@ _PARTS = {
 }
 _NAMES = re.compile("|".join(_PARTS), re.IGNORECASE | re.ASCII)
 
+#: Names whose literals may hold blanks.
+_PHRASES = re.compile("password|passwd|pwd|passphrase", re.IGNORECASE | re.ASCII)
+
 _SIGN = re.compile(r"[:=]+>?")
 _NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>+]+(?:\+[^\s\"'`,;(){}\[\]<>+]+)*")
@@ -113,9 +116,19 @@ def name_score(name: str) -> int:
     return max(sum(_PARTS.get(part, 0) for part in parts), 4 if joined.endswith(("apikey", "password", "secret", "token")) else 0)
 
 
-def literal_score(literal: str) -> float:
-    """How much a literal looks like a secret: length, entropy, mixture; placeholders far below zero."""
-    if _PLACEHOLDER.search(literal) or len(literal) < 6 or any(char.isspace() for char in literal):
+def _blank(literal: str) -> bool:
+    return any(char.isspace() for char in literal)
+
+
+def literal_score(literal: str, phrase: bool = False) -> float:
+    """How much a literal looks like a secret: length, entropy, mixture; placeholders far below zero.
+
+    So are literals with blanks, unless they may be a ``phrase``: then the blanks do not count.
+    """
+    placeholder = _PLACEHOLDER.search(literal)
+    if phrase:
+        literal = "".join(literal.split())
+    if placeholder or len(literal) < 6 or _blank(literal):
         return -10.0
     counts = Counter(literal)
     entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
@@ -142,22 +155,29 @@ def literal_spans(text: str, least: float) -> Iterator[tuple[str, int, int, str,
         latest[name] = len(versions)
         versions.append((name, own, named))
     sensitive = [(name_score(name), -i) for i, (name, _, _) in enumerate(versions)]
-    seen: set[int] = set()
+    sensitive = sorted((pair for pair in sensitive if pair[0] > 0), reverse=True)
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    # From the most sensitive names on, so that each version is looked at once.
-    for weight, at in sorted((pair for pair in sensitive if pair[0] >= 4), reverse=True):
-        ahead = [-at]
-        while ahead:
-            version = ahead.pop()
-            if version in seen:
+    for phrase in (False, True):
+        seen: set[int] = set()
+        # From the most sensitive names on, so that each version is looked at once; phrases by names for them only.
+        for weight, at in sensitive:
+            if phrase and not _PHRASES.search(versions[-at][0]):
                 continue
-            seen.add(version)
-            _, own, named = versions[version]
-            ahead += named
-            for span in own:
-                score = weight + literal_score(text[span[0]:span[1]])
-                if score >= least:
-                    best.setdefault(span, (score, versions[-at][0]))
+            ahead = [-at]
+            while ahead:
+                version = ahead.pop()
+                if version in seen:
+                    continue
+                seen.add(version)
+                _, own, named = versions[version]
+                ahead += named
+                for span in own:
+                    literal = text[span[0]:span[1]]
+                    if _blank(literal) != phrase:
+                        continue
+                    score = weight + literal_score(literal, phrase)
+                    if score >= least:
+                        best.setdefault(span, (score, versions[-at][0]))
     for (start, end), (score, name) in best.items():
         yield "literal", start, end, name, score
 

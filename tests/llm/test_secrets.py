@@ -51,6 +51,21 @@ def test_literals_of_sensitive_names(text, literals):
     assert sorted(found) == sorted(literals)
 
 
+@pytest.mark.parametrize(("text", "literals"), [
+    ('credentials = "Zx81kLmQ99pp"', ["Zx81kLmQ99pp"]),
+    ('bearer = "9fA3c07Be52D81f64aC09be7D3f5812aE6b40c9F"', ["9fA3c07Be52D81f64aC09be7D3f5812aE6b40c9F"]),
+    ('auth: "Zx81kLmQ99ppZx82"', ["Zx81kLmQ99ppZx82"]),
+    ('auth = "short1"', []),
+    ('base = "Zx81kLmQ99ppZx82"\nsalt = base', ["Zx81kLmQ99ppZx82"]),
+    ('passphrase = "correct horse battery staple 42"', ["correct horse battery staple 42"]),
+    ('x = "correct horse battery staple 42"\napi_token = x\npassword = x', ["correct horse battery staple 42"]),
+    ('api_token = "correct horse battery staple 42"', []),
+    ('password = "your own words here"', []), ('password = "                "', []), ('password = "a b c d e"', []),
+])
+def test_the_threshold_alone_decides(text, literals):
+    assert sorted(text[start:end] for _, start, end, _, _ in literal_spans(text, 6.0)) == sorted(literals)
+
+
 def test_a_long_chain_of_constants_takes_no_longer_than_its_length():
     text = 'x = "Zx81kLmQ99pp"\n' + 'x = x + "Qw77rtYu88"\n' * 20_000 + "my_secret = x"
     assert len(list(literal_spans(text, 6.0))) == 20_001
