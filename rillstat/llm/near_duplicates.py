@@ -183,6 +183,15 @@ def rest_pairs(open_docs: DataFrame, texts: DataFrame, size: int, numerator: int
     ).distinct()
 
 
+def _own_links(slim: DataFrame, copies: DataFrame) -> DataFrame:
+    """``a, b``: links between the nodes of an id's rows where its texts are unlike; of most tables none."""
+    prints = slim.filter("id IS NOT NULL").groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("hi", "lo") for f in (F.min, F.max)))
+    several = prints.filter("min_hi < max_hi OR min_lo < max_lo").select("id")
+    own = slim.join(several, "id", "left_semi").join(copies, ["hi", "lo", "n_shingles"], "left")
+    own = own.select("id", F.coalesce("first", "id").alias("node")).distinct()
+    return own.join(own.groupBy("id").agg(F.min("node").alias("a")), "id").filter("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id: str = "doc_id",
@@ -222,7 +231,8 @@ def near_duplicates(
     texts = stored(_texts(source, shared.select(F.col("node").alias("id")).distinct()), "texts")
 
     stars = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = components(stored(linked(stars, texts, size, numerator, denominator), "pairs"))
+    pairs = linked(stars, texts, size, numerator, denominator).select("a", "b").union(_own_links(slim, copies))
+    first = components(stored(pairs, "pairs"))
 
     member = shared.join(first, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     mixed_up = member.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
@@ -246,8 +256,21 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: one that has the component's id.
 
-    Rows without an id stay, as nothing names them.
+    Rows with one id and different texts are documents of their own here, in the order of the text's hash, so
+    no text is lost for another one's links. Rows without an id stay, as nothing names them.
     """
+    prints = docs.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id"))
+    prints = prints.agg(F.min(F.xxhash64(text)).alias("_low"), F.max(F.xxhash64(text)).alias("_high"))
+    if not prints.filter("_low < _high").isEmpty():
+        # Keys in the order of the ids, one for each text of an id; written once, as later passes must find them unchanged.
+        named = docs.filter(F.col(id).isNotNull()).withColumn("_print", F.xxhash64(text)).dropDuplicates([id, "_print"])
+        keyed = stored(named.orderBy(id, "_print").withColumn("_key", F.monotonically_increasing_id()), "keyed")
+        kept = _once(keyed, "_key", text, **options).select(*docs.columns)
+        return kept.unionByName(docs.filter(F.col(id).isNull()))
+    return _once(docs, id, text, **options)
+
+
+def _once(docs: DataFrame, id: str, text: str, **options: int) -> DataFrame:
     found = near_duplicates(docs, id, text, **options).groupBy(F.col(id).alias("_id"))
     marks = found.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).filter("_id IS NOT NULL AND (NOT _kept OR _rows > 1)")
     marks = stored(marks, "marks")

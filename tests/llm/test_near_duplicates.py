@@ -100,3 +100,12 @@ def test_components_of_links(spark, links):
         least = min(root.get(a, a), root.get(b, b))
         root[a] = root[b] = least
     assert {row["node"]: row["root"] for row in rows} == {node: least for node, least in root.items() if node != 50}
+
+
+def test_unlike_texts_of_one_id(spark):
+    x, y, z = (" ".join(f"{name}{i}" for i in range(30)) for name in "xyz")
+    docs = documents(spark, [x, x, y, z, y + " more", y], [3, 5, 5, 5, 7, 9])
+    found = {(row["doc_id"], row["component_id"], row["kept"]) for row in near_duplicates(docs).collect()}
+    assert found == {(3, 3, True), (5, 3, False), (7, 3, False), (9, 3, False)}
+    rows = sorted((row["doc_id"], row["text"]) for row in deduplicated(docs).collect())
+    assert rows == [(3, x), (5, y), (5, z)]
