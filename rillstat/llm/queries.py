@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators over the given tables, and their SQL where SQL can say it."""
+"""Registered queries of the operators over the given tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rillstat.llm.decontamination import contaminated
 from rillstat.llm.fingerprints import compared
+from rillstat.llm.hard_negatives import mined
+from rillstat.llm.manifest import folded, manifest, siblings, spelled as spelled_fields
+from rillstat.llm.metric_join import jaccard_components
 from rillstat.llm.mixing import mixed
 from rillstat.llm.near_duplicates import near_duplicates
 from rillstat.llm.preferences import preferences, spliced_pairs
@@ -112,6 +115,36 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged(pages, bad, RULES)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, where every seventh has the next label."""
+    rows = _table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mined(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf and proof, and whether the proof holds where some counts are tampered with."""
+    docs = _table(spark, folder, "documents")
+
+    def leaf(n_chars):
+        return F.sha2(spelled_fields(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")), 256)
+
+    count = F.col("n_chars").cast("decimal(20,0)")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    keep = {"doc_id": F.col("doc_id"), "forged": F.when(tampered, leaf(count + 1))}
+    made = manifest(docs, leaf(count), "lang", ["doc_id"], keep)
+    made = made.withColumn("folded_root", folded(F.coalesce("forged", "leaf"), "path"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings("path"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_metric_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its component of documents with four fifths of their shingles in common."""
+    return jaccard_components(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -123,10 +156,14 @@ QUERIES = {
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_metric_jaccard_join": op13_metric_jaccard_join,
 }
 
-ORACLES = {
-    "op5_minhash_near_dedup": r"""
+def _linked(numerator: int) -> str:
+    """Shingle sets, links at ``numerator`` hundredths and the least document that each reaches."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -134,9 +171,13 @@ s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i:i
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {numerator} * (x.n + y.n - i)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
-least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+ORACLES = {
+    "op5_minhash_near_dedup": _linked(75) + """
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
 """,
@@ -185,5 +226,58 @@ s AS (SELECT *, CASE
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM s
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE crc AS (
+  SELECT doc_id, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: list_prepend(256 + ascii(c), [512, 512, 512, 512, 512, 512, 512, 512])))::UBIGINT[]),
+    lambda a, x: CASE WHEN x < 512 THEN xor(a, x - 256) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS c FROM documents),
+d AS (SELECT *, coalesce(concat('=', lang), '') AS g, concat(
+    coalesce(concat(strlen(doc_id::VARCHAR), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'),
+    coalesce(concat(strlen(lang), ':', lang), '-')) AS head, coalesce(concat(strlen(text), ':', text), '-') AS tail
+  FROM documents JOIN crc USING (doc_id)),
+t AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos,
+    sha256(concat(head, coalesce(concat(strlen(n_chars::VARCHAR), ':', n_chars), '-'), tail)) AS leaf,
+    sha256(concat(head, coalesce(concat(strlen((n_chars + 1)::VARCHAR), ':', n_chars + 1), '-'), tail)) AS forged,
+    xor(c, 4294967295::UBIGINT) % 7 = 0 AS bad FROM d),
+nodes AS (
+  SELECT g, 0 AS lev, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM t
+  UNION ALL SELECT g, lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, lev, pos // 2),
+subs AS (SELECT g, h, lev FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lev, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS n FROM subs
+  UNION ALL SELECT lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY lev, pos // 2),
+places AS (SELECT g, h AS subroot, lev AS depth, row_number() OVER (ORDER BY g) - 1 AS spot FROM subs),
+steps AS (
+  SELECT t.doc_id, n.lev, n.pos < (t.pos >> n.lev) AS lefthand, n.h FROM t JOIN nodes n ON n.g = t.g AND n.pos = xor(t.pos >> n.lev, 1)
+  UNION ALL SELECT t.doc_id, depth + tops.lev, tops.pos < (spot >> tops.lev), tops.h
+  FROM t JOIN places USING (g) JOIN tops ON tops.pos = xor(spot >> tops.lev, 1)),
+high AS (SELECT doc_id, depth + (SELECT max(lev) FROM tops) AS levels FROM t JOIN places USING (g)),
+fold AS (
+  SELECT doc_id, 0 AS lev, CASE WHEN bad THEN forged ELSE leaf END AS h FROM t
+  UNION ALL SELECT f.doc_id, f.lev + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.lefthand THEN concat(s.h, f.h) ELSE concat(f.h, s.h) END)
+  FROM fold f JOIN high USING (doc_id) LEFT JOIN steps s ON s.doc_id = f.doc_id AND s.lev = f.lev WHERE f.lev < levels),
+proofs AS (SELECT doc_id, sha256(string_agg(h, '' ORDER BY lev)) AS proof_sha256 FROM steps GROUP BY doc_id)
+SELECT t.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified
+FROM t JOIN places USING (g) CROSS JOIN (SELECT h AS root FROM tops WHERE n = 1) JOIN high USING (doc_id)
+JOIN fold ON fold.doc_id = t.doc_id AND fold.lev = levels LEFT JOIN proofs ON proofs.doc_id = t.doc_id
+""",
+    "op13_metric_jaccard_join": _linked(80) + """
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
 """,
 }

@@ -18,7 +18,7 @@ def test_the_query_runs_over_its_whole_table(spark, name):
     rows = QUERIES[name](spark, FOLDER)
     assert len(set(rows.columns)) == len(rows.columns)
     count = rows.count()
-    whole = {"op6_preference_format": None, "op10_url_filter": "pages", "op2_benchmark_decontamination": None, "op4_mix_to_targets": None}.get(name, "documents")
+    whole = {"op6_preference_format": None, "op10_url_filter": "pages", "op2_benchmark_decontamination": None, "op4_mix_to_targets": None, "op11_hard_negatives": None}.get(name, "documents")
     if whole:
         assert count == spark.read.parquet(f"{FOLDER}/{whole}.parquet").count()
     else:
@@ -27,7 +27,7 @@ def test_the_query_runs_over_its_whole_table(spark, name):
 
 def test_there_is_one_query_for_each_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_the_pipeline_stage_by_stage(spark, tmp_path):
