@@ -147,7 +147,7 @@ def main(arguments: list[str] | None = None) -> None:
     base = args.checkpoint or f"{shared_folder(spark)}/rillstat/jobs/{args.job}-{named}"
     checkpoint = checkpoint_at(base, args.fresh)
     output = Topic(args.output, args.servers)
-    options = {name: value for name in ("window", "lateness", "every", "lag", "early") if (value := getattr(args, name, None))}
+    options = {name: value for name in ("window", "lateness", "every", "lag", "early") if (value := getattr(args, name, None)) is not None}
     if args.once:
         options["every"] = None
     if args.job == "ratios":

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstat.functions.exact import digit_sums, exact_total
 from rillstat.functions.numbers import ieee_ratio
 from rillstat.functions.times import millis, window_millis, with_instant
 
@@ -42,21 +43,27 @@ def ratio_by(
     scale: float = 1.0,
     count_blank: bool | None = None,
     ts: str = "ts",
+    exact: bool = False,
 ) -> DataFrame:
     """``count, numerator, denominator, utput`` per key, with ``start_time`` per window.
 
     ``every`` is the window length, ``lateness`` the watermark delay of a stream.
     ``utput`` is ``sum(num) / sum(den) / scale``. Lines whose rest is commas alone
     are counted without windows and not counted with them, unless ``count_blank``
-    says otherwise.
+    says otherwise. Sums of doubles depend on the order of the rows in their last digits, which ``exact`` sums
+    (:mod:`rillstat.functions.exact`) do not, on a table or a stream.
     """
     if count_blank is None:
         count_blank = every is None
     count = F.count(F.lit(1)) if count_blank else F.count_if("counted")
     groups, start = _group(rows, keys, every, lateness, ts)
-    sums = groups.agg(
-        count.alias("count"), F.sum("num").alias("numerator"), F.sum("den").alias("denominator")
-    )
+    if exact:
+        sums = groups.agg(count.alias("count"), *digit_sums("num", "numerator"), *digit_sums("den", "denominator"))
+        sums = exact_total(exact_total(sums, "numerator"), "denominator")
+    else:
+        sums = groups.agg(
+            count.alias("count"), F.sum("num").alias("numerator"), F.sum("den").alias("denominator")
+        )
     utput = ieee_ratio("numerator", "denominator", scale)
     return sums.select(*keys, *start, "count", "numerator", "denominator", utput.alias("utput"))
 

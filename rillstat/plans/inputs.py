@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstat.functions.times import with_instant
@@ -28,21 +28,33 @@ def events(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     return with_instant(read_table(spark, f"{folder}/events.parquet", stream=stream, **pace))
 
 
+def in_parts(spark: SparkSession, folder: str, into: str, number: Column, parts: int) -> str:
+    """The rows of ``events`` whose ``number`` is 0 to ``parts - 1``, in as many writes one after the other; the folder ``into``."""
+    rows = events(spark, folder).withColumn("_part", number)
+    for part in range(parts):
+        # A file per part where a task takes it, so that each is one batch.
+        rows.where(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{into}/events.parquet")
+    return into
+
+
+def delayed(spark: SparkSession, folder: str, into: str) -> str:
+    """The events by quarters of their ids, but for every tenth, which comes after all of them; the folder ``into``."""
+    count = events(spark, folder).count()
+    quarter = F.least(F.lit(3), F.floor(F.col("event_id") * 4 / count))
+    return in_parts(spark, folder, into, F.when(F.col("event_id") % 10 == 0, 4).otherwise(quarter), 5)
+
+
 def in_order(spark: SparkSession, folder: str, into: str, parts: int = 4, late: bool = False) -> str:
     """The whole ``events`` table in ``parts`` writes, one after the other in order of ``ts``; the folder ``into``.
 
     With ``late`` another write follows: the events of all parts but the last two once more.
     """
-    rows = events(spark, folder)
     at = F.unix_micros("ts")
-    cuts = rows.select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.001)
-    number = sum((F.when(at > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
-    rows = rows.withColumn("_part", F.coalesce(number, F.lit(0)))
-    for part in range(parts):
-        # A file per part where a task takes it, so that each is one batch.
-        rows.where(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{into}/events.parquet")
+    cuts = events(spark, folder).select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.001)
+    number = F.coalesce(sum((F.when(at > cut, 1).otherwise(0) for cut in cuts), F.lit(0)), F.lit(0))
+    in_parts(spark, folder, into, number, parts)
     if late:
-        rows.where(F.col("_part") < parts - 2).drop("_part").write.mode("append").parquet(f"{into}/events.parquet")
+        events(spark, folder).where(number < parts - 2).write.mode("append").parquet(f"{into}/events.parquet")
     return into
 
 
@@ -54,7 +66,7 @@ def telemetry(spark: SparkSession, folder: str, stream: bool = False) -> DataFra
 def dated_telemetry(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Telemetry lines with the date as record key, every tenth without one."""
     day = F.expr("CASE WHEN event_id % 10 = 0 THEN NULL ELSE date_format(ts, 'yyyyMMdd') END")
-    return telemetry(spark, folder, stream).select(day.alias("key"), "ts", "line")
+    return telemetry(spark, folder, stream).select("event_id", day.alias("key"), "ts", "line")
 
 
 def faulty_telemetry(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,6 +105,14 @@ def window_updates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def late_window_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """The updates of :func:`window_updates`, every ninth 400 places late, with a running number as their count."""
+    updates = window_updates(spark, folder)
+    late = F.when(F.col("seq") % 9 == 0, 400).otherwise(0)
+    # Doubled, so that no two updates have one place.
+    return updates.select("market", "start_time", F.col("seq").alias("count"), "utput", (2 * (F.col("seq") + late) + F.when(late > 0, 1).otherwise(0)).alias("seq"))
+
+
 def watched_markets(spark: SparkSession, folder: str) -> DataFrame:
     """Markets that had an event of more than 400."""
     return events(spark, folder).where("value > 400").selectExpr("concat('M', CAST(user_id % 25 AS STRING)) AS market")

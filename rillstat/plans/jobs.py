@@ -12,18 +12,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rillstat.functions import text
 from rillstat.functions.longs import long_bytes
+from rillstat.functions.numbers import ieee_ratio
 from rillstat.functions.times import millis
 from rillstat.operators.aggregates import count_by, ratio_by
 from rillstat.operators.finalize import final_windows, latest
+from rillstat.operators.publications import publication_log
 from rillstat.operators.ranking import pages_text, top_pages
+from rillstat.operators.running import running_ratios
 from rillstat.operators.selections import article_views, new_items
 from rillstat.operators.telemetry import parse_lines
-from rillstat.sinks.tables import Sink, append_batches, send_records, stored, upsert_batches
+from rillstat.sinks.latest import upsert_batches
+from rillstat.sinks.tables import Sink, append_batches, send_records, stored
 from rillstat.sources.results import parse_result_json
 from rillstat.sources.topics import Topic
+from rillstat.streaming.lateness import close_by_key
 from rillstat.streaming.publishing import once_per_batch, publish
 from rillstat.streaming.rankings import rank_closed, rank_updates
+from rillstat.streaming.retractions import count_changes
 from rillstat.streaming.runs import start
+from rillstat.streaming.series import last_points
 
 KBIT_PER_MBIT = 1000.0
 
@@ -32,15 +39,14 @@ RATIO_WINDOW, RATIO_LATENESS, RATIO_TRIGGER = "1 second", "500 milliseconds", "1
 ARTICLE_WINDOW, TOP_ARTICLES = "1 hour", 100
 COUNT_TRIGGER = "10 seconds"
 
-#: Files per batch of a result, whatever the number of state partitions.
-FILES = 8
-
 POINT = "market STRING, start_time BIGINT, count BIGINT, utput DOUBLE, seq BIGINT, message STRING"
 
 
-def market_ratios(lines: DataFrame, every: str = RATIO_WINDOW, lateness: str | None = RATIO_LATENESS) -> DataFrame:
+def market_ratios(
+    lines: DataFrame, every: str = RATIO_WINDOW, lateness: str | None = RATIO_LATENESS, exact: bool = False
+) -> DataFrame:
     """Throughput in Mbit/s per market and window of telemetry lines."""
-    return ratio_by(parse_lines(lines), ["market"], every=every, lateness=lateness, scale=KBIT_PER_MBIT)
+    return ratio_by(parse_lines(lines), ["market"], every=every, lateness=lateness, scale=KBIT_PER_MBIT, exact=exact)
 
 
 def market_ratio_records(ratios: DataFrame) -> DataFrame:
@@ -49,12 +55,21 @@ def market_ratio_records(ratios: DataFrame) -> DataFrame:
     return ratios.select(F.col("market").alias("key"), value.alias("value"), F.current_timestamp().alias("ts"))
 
 
-def date_market_ratios(lines: DataFrame, key: str = "key") -> DataFrame:
-    """Throughput in kbit/s per date (the record key), region and market over all time."""
+def _dated(lines: DataFrame, key: str, *others: str) -> DataFrame:
     rows = parse_lines(lines)
     composite = text.date_region_market_key(F.col(key), F.col("region"), F.col("market"))
-    rows = rows.select(composite.alias("series"), "num", "den", "counted")
-    return ratio_by(rows, ["series"])
+    return rows.select(composite.alias("series"), *others, "num", "den", "counted")
+
+
+def date_market_ratios(lines: DataFrame, key: str = "key", exact: bool = False) -> DataFrame:
+    """Throughput in kbit/s per date (the record key), region and market over all time."""
+    return ratio_by(_dated(lines, key), ["series"], exact=exact)
+
+
+def date_market_changelog(lines: DataFrame, sequence: str, key: str = "key") -> DataFrame:
+    """How each record changes the throughput of its date, region and market: one row per record, by ``sequence``."""
+    sums = running_ratios(_dated(lines, key, sequence), ["series"], [sequence])
+    return sums.withColumn("utput", ieee_ratio("numerator", "denominator"))
 
 
 def date_market_records(ratios: DataFrame) -> DataFrame:
@@ -80,6 +95,11 @@ def published_points(updates: DataFrame, lag: int = 2) -> DataFrame:
     return with_message(final_windows(stored(newest, "latest-ratios"), "market", "start_time", lag))
 
 
+def published_log(updates: DataFrame, lag: int = 2) -> DataFrame:
+    """Every publication, with its chart message, in the order ``seq`` of arrival, from a table of ratio updates."""
+    return with_message(publication_log(updates, "market", "start_time", "seq", ["count", "utput"], lag))
+
+
 def feed_counts(feed: DataFrame) -> DataFrame:
     """Number of new feed items per user."""
     return count_by(new_items(feed), ["user"])
@@ -134,7 +154,7 @@ def start_publication(
         send = send_records(points, checkpoint)
         target: Sink = lambda batch, batch_id: send(message_records(batch), batch_id)
     else:
-        target = append_batches(points, checkpoint, FILES) if isinstance(points, str) else points
+        target = append_batches(points, checkpoint, by_size=True) if isinstance(points, str) else points
     sink = once_per_batch(lambda batch, batch_id: target(with_message(batch), batch_id))
     rows = publish(ratio_updates(records), lag, options.get("state_partitions"))
     options = {"output_mode": "update"} | options
@@ -145,7 +165,7 @@ def start_feed_table(
     feed: DataFrame, table: str, checkpoint: str, *, every: str | None = COUNT_TRIGGER, **options
 ) -> StreamingQuery:
     """Keep each user's count in the table at a path."""
-    sink = upsert_batches(table, checkpoint, ["user"], ["count"], FILES)
+    sink = upsert_batches(table, checkpoint, ["user"], ["count"])
     options = {"output_mode": "update"} | options
     return start(feed_counts(feed), sink, checkpoint=checkpoint, every=every, **options)
 
@@ -155,7 +175,7 @@ def start_ratio_table(
     lateness: str = RATIO_LATENESS, every: str | None = RATIO_TRIGGER, **options,
 ) -> StreamingQuery:
     """Keep the ratio of each market and window in the table at a path."""
-    sink = upsert_batches(table, checkpoint, ["market", "start_time"], ["count", "utput"], FILES)
+    sink = upsert_batches(table, checkpoint, ["market", "start_time"], ["count", "utput"])
     options = {"output_mode": "update"} | options
     return start(market_ratios(lines, window, lateness), sink, checkpoint=checkpoint, every=every, **options)
 
@@ -169,6 +189,39 @@ def start_feed_counts(
     return start(records, send_records(results, checkpoint), checkpoint=checkpoint, every=every, **options)
 
 
+def start_count_changes(
+    views: DataFrame, changes: str, checkpoint: str, *, window: str = ARTICLE_WINDOW, every: str | None = COUNT_TRIGGER, **options
+) -> StreamingQuery:
+    """Write each change of a page's count, the old value taken away and the new one added, to the table at a path."""
+    rows = count_changes(article_views(views, user=None), window)
+    options = {"output_mode": "update"} | options
+    return start(rows, append_batches(changes, checkpoint, by_size=True), checkpoint=checkpoint, every=every, **options)
+
+
+def start_last_points(
+    records: DataFrame, table: str, checkpoint: str, *, n: int = 20, every: str | None = RATIO_TRIGGER, **options
+) -> StreamingQuery:
+    """Keep the ``n`` latest points of each market, numbered by ``place``, in the table at a path, from a topic of ratios."""
+    sink = upsert_batches(table, checkpoint, ["market", "place"], ["start_time", "count", "utput"])
+    options = {"output_mode": "update"} | options
+    return start(last_points(ratio_updates(records), n), sink, checkpoint=checkpoint, every=every, **options)
+
+
+def start_closed_by_market(
+    lines: DataFrame, closed: str, late: str, held: str, checkpoint: str, *, window: str = RATIO_WINDOW,
+    lateness: str = RATIO_LATENESS, every: str | None = RATIO_TRIGGER, **options,
+) -> StreamingQuery:
+    """Write each market's windows once they are closed by its own time, and late rows, to tables at paths.
+
+    ``held`` is the folder of what is still open.
+    """
+    sink = close_by_key(
+        held, append_batches(closed, checkpoint, by_size=True), append_batches(late, checkpoint, by_size=True), checkpoint,
+        every=window, lateness=lateness, scale=KBIT_PER_MBIT,
+    )
+    return start(parse_lines(lines), sink, checkpoint=checkpoint, every=every, **options)
+
+
 def _as_records(sink: Sink) -> Sink:
     return lambda batch, batch_id: sink(top_article_records(batch), batch_id)
 

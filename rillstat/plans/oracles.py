@@ -45,6 +45,38 @@ _DATED = f"""WITH {_TEL}, {_parsed('tel')}, dated AS (SELECT concat('Date:',
 _DATED_RATIO = _DATED + """
 SELECT series, count(*) AS count, round(sum(num) / sum(den), 8) AS utput FROM dated GROUP BY series"""
 
+def _exact(column: str, over: str = "") -> str:
+    """The exact sum of doubles as a double: whole numbers of 2**-70 are added, and rounded once."""
+    total = f"(sum((pow(2, 70) * {column})::HUGEINT){over})"
+    unit = "9007199254740992"
+    return f"((({total} // {unit}::HUGEINT)::DOUBLE * {unit}::DOUBLE + ({total} % {unit}::HUGEINT)::DOUBLE) / pow(2, 70))"
+
+
+_EXACT_HOURLY = f"""WITH {_TEL}, {_parsed('tel')},
+sums AS (SELECT market, epoch_ms(time_bucket(INTERVAL '1 hour', ts)) AS start_time, count(*) AS count,
+  {_exact('num')} AS numerator, {_exact('den')} AS denominator FROM parsed GROUP BY ALL)
+SELECT *, numerator / denominator / 1000 AS utput FROM sums"""
+
+_EXACT_DATED = _DATED + f""",
+sums AS (SELECT series, count(*) AS count, {_exact('num')} AS numerator, {_exact('den')} AS denominator FROM dated GROUP BY series)
+SELECT *, numerator / denominator AS utput FROM sums"""
+
+_UP_TO = " OVER (PARTITION BY series ORDER BY event_id)"
+
+_CHANGELOG = _DATED.replace("num, den FROM parsed", "num, den, event_id FROM parsed") + f""",
+sums AS (SELECT series, event_id, count(*){_UP_TO} AS count, {_exact('num', _UP_TO)} AS numerator, {_exact('den', _UP_TO)} AS denominator FROM dated)
+SELECT *, numerator / denominator AS utput FROM sums"""
+
+#: The starts that fall out of the two latest so far, and the last value of each up to then.
+_PUBLICATIONS = """WITH updates AS (SELECT concat('M', CAST(user_id % 25 AS VARCHAR)) AS market,
+  epoch_ms(date_trunc('hour', ts)) AS start_time, event_id AS count, value AS utput,
+  CASE WHEN event_id % 9 = 0 THEN 2 * event_id + 801 ELSE 2 * event_id END AS seq FROM events),
+held AS (SELECT *, list_slice(list_reverse_sort(list_distinct(list(start_time)
+  OVER (PARTITION BY market ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), 1, 2) AS before FROM updates),
+fallen AS (SELECT market, seq, least(start_time, before[2]) AS start_time FROM held WHERE len(before) = 2 AND NOT list_contains(before, start_time))
+SELECT f.market, f.start_time, arg_max(u.count, u.seq) AS count, arg_max(u.utput, u.seq) AS utput, f.seq
+FROM fallen f JOIN updates u ON u.market = f.market AND u.start_time = f.start_time AND u.seq <= f.seq GROUP BY f.market, f.start_time, f.seq"""
+
 _VIEWS = """views AS (SELECT concat('u', CAST(user_id AS VARCHAR)) AS "user",
   concat('page', CAST(user_id % 20 AS VARCHAR), '.html') AS page, event_type AS industry,
   CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'HOME' ELSE 'LONG_ARTICLE' END AS flags, ts FROM events)"""
@@ -88,6 +120,18 @@ _SYNTHETIC_FEED = f"""SELECT {_choice(syn.USERS, _draw('event_id', 1, 5, len(syn
 FROM events WHERE event_id % {syn.MAX_ITEMS} < {_draw(f'event_id // {syn.MAX_ITEMS}', 1, 4, syn.MAX_ITEMS + 1)}
 GROUP BY 1"""
 
+#: A row is late if the greatest time of its market in the batches before has passed the end of its hour by half a second.
+_LATE_SIDE = f"""WITH {_TEL}, {_parsed('tel')},
+timed AS (SELECT market, num, den, epoch_ms(ts) AS moment, epoch_ms(time_bucket(INTERVAL '1 hour', ts)) AS start_time,
+  CASE WHEN event_id % 10 = 0 THEN 4 ELSE least(3, event_id * 4 // (SELECT count(*) FROM events)) END AS batch FROM parsed),
+judged AS (SELECT *, coalesce(start_time + 3600500 <= max(moment) OVER (PARTITION BY market ORDER BY batch
+  RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM timed),
+sums AS (SELECT market, start_time, count(*) AS count, {_exact('num')} AS numerator, {_exact('den')} AS denominator
+  FROM judged WHERE NOT late GROUP BY market, start_time),
+put_aside AS (SELECT market, start_time, count(*) AS late FROM judged WHERE late GROUP BY market, start_time)
+SELECT market, start_time, count, numerator, denominator, numerator / denominator / 1000 AS utput, coalesce(late, 0) AS late
+FROM sums FULL JOIN put_aside USING (market, start_time)"""
+
 _PARSED_COLUMNS = " SELECT event_id, region, market, num, den FROM parsed"
 
 ORACLES = {
@@ -101,6 +145,10 @@ SELECT series, count(*) AS count, round(sum(num), 2) AS numerator, round(sum(den
   round(sum(num) / sum(den), 8) AS utput FROM dated GROUP BY series""",
     "ratio_by_market_1s": _ratios("1 second") + " SELECT market, start_time, count, utput FROM points",
     "ratio_by_market_1h": _HOURLY,
+    "ratio_by_market_1h_exact": _EXACT_HOURLY,
+    "ratio_by_date_region_market_exact": _EXACT_DATED,
+    "ratio_changelog": _CHANGELOG,
+    "publication_log": _PUBLICATIONS,
     "ratio_json_roundtrip": _HOURLY,
     "ratio_json_roundtrip_unwindowed": _DATED_RATIO,
     "final_windows_lag2": _FINAL,
@@ -140,6 +188,14 @@ SELECT market, start_time, utput FROM points QUALIFY row_number() OVER (PARTITIO
     "stream_console_lines": f"""WITH {_VIEWS} SELECT concat("user", '=', page) AS line FROM views""",
     "stream_lines_tagged": f"""WITH {_TEL} SELECT concat('T', event_id % 3) AS key, count(*) AS count FROM tel WHERE line <> '' GROUP BY 1""",
     "stream_fresh_run": _FEED_COUNT,
+    "stream_count_retractions": f"WITH {_VIEWS}, {_COUNTS} SELECT page, industry, start_time, count FROM counts",
+    "stream_industry_totals": f"""WITH {_VIEWS}, {_COUNTS}
+SELECT industry, start_time, count(*) AS pages, sum(count)::BIGINT AS views FROM counts GROUP BY ALL""",
+    "stream_last_20_points": _ratios("1 hour") + """
+SELECT market, start_time, count, utput FROM points
+QUALIFY row_number() OVER (PARTITION BY market ORDER BY start_time DESC) <= 20""",
+    "stream_late_side": _LATE_SIDE,
+    "stream_state_counts": _FEED_COUNT,
     "stream_ratio_updates_1h": _HOURLY,
     "stream_final_windows": _FINAL,
     "stream_top_articles": _top(_VIEWS, 100) + _TOP_ROWS,

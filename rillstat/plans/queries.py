@@ -1,6 +1,6 @@
 """The registered batch queries. Each takes a session and a folder of tables.
 
-Ratios are rounded, as sums of doubles depend on their order. The places are so
+Ratios are rounded, but for the exact ones, as sums of doubles depend on their order. The places are so
 many that the quotients of the data, decimals by small numbers, do not end in a 5
 right behind them, which engines round differently.
 """
@@ -79,6 +79,24 @@ def ratio_json_roundtrip_unwindowed(spark, folder):
     return rounded(parsed.select("series", "count", "utput"), KBIT_PLACES)
 
 
+def ratio_by_market_1h_exact(spark, folder):
+    return jobs.market_ratios(inputs.telemetry(spark, folder), "1 hour", exact=True)
+
+
+def ratio_by_date_region_market_exact(spark, folder):
+    return jobs.date_market_ratios(inputs.dated_telemetry(spark, folder), exact=True)
+
+
+def ratio_changelog(spark, folder):
+    """The ratio of each date, region and market after each record."""
+    return jobs.date_market_changelog(inputs.dated_telemetry(spark, folder), "event_id")
+
+
+def publication_log(spark, folder):
+    """Every publication of a market's hours, where every ninth update comes late, with the update that brings it about."""
+    return jobs.published_log(inputs.late_window_updates(spark, folder)).drop("message")
+
+
 def final_windows_lag2(spark, folder):
     ratios = stored(_ratios(spark, folder, "1 hour"), "ratios")
     return rounded(final_windows(ratios), MBIT_PLACES)
@@ -161,6 +179,10 @@ QUERIES = {
     "ratio_by_market_1h": ratio_by_market_1h,
     "ratio_json_roundtrip": ratio_json_roundtrip,
     "ratio_json_roundtrip_unwindowed": ratio_json_roundtrip_unwindowed,
+    "ratio_by_market_1h_exact": ratio_by_market_1h_exact,
+    "ratio_by_date_region_market_exact": ratio_by_date_region_market_exact,
+    "ratio_changelog": ratio_changelog,
+    "publication_log": publication_log,
     "final_windows_lag2": final_windows_lag2,
     "latest_update_per_window": latest_update_per_window,
     "last_20_points": last_20_points,

@@ -17,14 +17,18 @@ from rillstat.operators.telemetry import parse_lines
 from rillstat.plans import inputs, jobs
 from rillstat.plans.queries import KBIT_PLACES, MBIT_PLACES, rounded
 from rillstat.session import new_folder
+from rillstat.sinks.latest import latest_table, upsert_batches
 from rillstat.sinks.tables import (
-    append_batches, file_system, latest_rows, latest_table, line_batches, read_batches, send_records, write_lines,
+    append_batches, file_system, latest_rows, line_batches, read_batches, send_records, write_lines,
 )
 from rillstat.sources.files import read_lines
 from rillstat.sources.results import parse_message, parse_result_json
 from rillstat.sources.topics import Topic, read_topic
+from rillstat.streaming.lateness import open_windows
 from rillstat.streaming.rankings import TOP, latest_rankings, rank_closed, rank_updates
+from rillstat.streaming.retractions import CHANGE, folded, industry_totals
 from rillstat.streaming.runs import checkpoint_at, closable, drain, run_to_close, start
+from rillstat.streaming.states import state_table
 
 RATIO = "market STRING, start_time BIGINT, count BIGINT, numerator DOUBLE, denominator DOUBLE, utput DOUBLE"
 
@@ -50,7 +54,7 @@ def stream_feed_count(spark, folder):
         inputs.feed(spark, run, stream=True), f"{run}/counts", f"{run}/checkpoint",
         every=None, state_partitions=_partitions(spark),
     ))
-    return latest_table(spark, f"{run}/counts", "user STRING, count BIGINT", ["user"], ["count"])
+    return latest_table(spark, f"{run}/counts", "user STRING, count BIGINT")
 
 
 def _date_market_updates(spark: SparkSession, run: str, topic: Topic) -> DataFrame:
@@ -90,7 +94,7 @@ def _closed_ratios(spark: SparkSession, run: str, every: str) -> DataFrame:
     def build():
         rows = closable(_parsed(inputs.telemetry(spark, run, stream=True)), closing)
         ratios = ratio_by(rows, ["market"], every=every, lateness=jobs.RATIO_LATENESS, scale=jobs.KBIT_PER_MBIT)
-        return ratios, append_batches(results, checkpoint, jobs.FILES)
+        return ratios, append_batches(results, checkpoint, by_size=True)
 
     run_to_close(spark, build, closing, checkpoint, state_partitions=_partitions(spark))
     table = read_batches(spark, results, RATIO)
@@ -129,7 +133,7 @@ def stream_ratio_updates_1h(spark, folder):
         window="1 hour", every=None, state_partitions=_partitions(spark),
     ))
     schema = "market STRING, start_time BIGINT, count BIGINT, utput DOUBLE"
-    return rounded(latest_table(spark, f"{run}/table", schema, ["market", "start_time"], ["count", "utput"]), MBIT_PLACES)
+    return rounded(latest_table(spark, f"{run}/table", schema), MBIT_PLACES)
 
 
 def stream_final_windows(spark, folder):
@@ -169,7 +173,7 @@ def stream_top_articles(spark, folder):
         # The closing row has no flags; it joins the articles behind their filter.
         views = closable(article_views(inputs.page_views(spark, run, stream=True), user=None), closing)
         counts = count_by(views, ["page", "industry"], every=jobs.ARTICLE_WINDOW, lateness="1 hour")
-        return counts, rank_closed(append_batches(results, checkpoint, jobs.FILES))
+        return counts, rank_closed(append_batches(results, checkpoint, by_size=True))
 
     run_to_close(spark, build, closing, checkpoint, state_partitions=_partitions(spark))
     return _top_columns(read_batches(spark, results, TOP))
@@ -178,7 +182,7 @@ def stream_top_articles(spark, folder):
 def _ranked_updates(spark: SparkSession, run: str, window: str, lateness: str) -> DataFrame:
     checkpoint, results = f"{run}/checkpoint", f"{run}/results"
     counts = jobs.article_counts(inputs.page_views(spark, run, stream=True), window, lateness)
-    log = append_batches(results, checkpoint, jobs.FILES)
+    log = append_batches(results, checkpoint, by_size=True)
     sink = rank_updates(f"{run}/held", log, checkpoint, jobs.TOP_ARTICLES, millis(window) + millis(lateness))
     drain(start(counts, sink, checkpoint=checkpoint, output_mode="update", state_partitions=_partitions(spark)))
     return _top_columns(latest_rankings(read_batches(spark, results, TOP)))
@@ -233,11 +237,76 @@ def stream_fresh_run(spark, folder):
     return latest(updates, ["user"], "seq", ["count"])
 
 
+def _changes(spark: SparkSession, run: str) -> str:
+    """The log of changes of the hourly counts; the folder that it is in."""
+    drain(jobs.start_count_changes(
+        inputs.page_views(spark, run, stream=True), f"{run}/changes", f"{run}/checkpoint", every=None, state_partitions=_partitions(spark)
+    ))
+    return f"{run}/changes"
+
+
+def stream_count_retractions(spark, folder):
+    """Old counts taken away and new ones added, folded to the counts that are left."""
+    log = _changes(spark, _run(spark, folder, "retractions"))
+    return folded(read_batches(spark, log, CHANGE))
+
+
+def stream_industry_totals(spark, folder):
+    """The changes read by a second stream, which keeps pages and views per industry and hour by adding and taking away."""
+    run = _run(spark, folder, "industry-totals")
+    changes = spark.readStream.schema(f"{CHANGE}, run STRING, batch_id BIGINT").option("maxFilesPerTrigger", 3).parquet(_changes(spark, run))
+    sink = upsert_batches(f"{run}/totals", f"{run}/totals-checkpoint", ["industry", "start_time"], ["pages", "views"])
+    drain(start(
+        industry_totals(changes), sink, checkpoint=f"{run}/totals-checkpoint", output_mode="update", state_partitions=_partitions(spark)
+    ))
+    return latest_table(spark, f"{run}/totals", "industry STRING, start_time BIGINT, pages BIGINT, views BIGINT")
+
+
+def stream_last_20_points(spark, folder):
+    """The ratio topic read by a second stream, which keeps the last 20 points of each market."""
+    run = _run(spark, folder, "last-points")
+    topic = _ratio_topic(spark, run)
+    drain(jobs.start_last_points(
+        read_topic(spark, topic), f"{run}/points", f"{run}/checkpoint", every=None, state_partitions=_partitions(spark)
+    ))
+    points = latest_table(spark, f"{run}/points", "market STRING, place INT, start_time BIGINT, count BIGINT, utput DOUBLE")
+    return rounded(points.drop("place"), MBIT_PLACES)
+
+
+def stream_late_side(spark, folder):
+    """Hours closed by the time of their own market, and how many rows came too late for them."""
+    run = inputs.delayed(spark, folder, new_folder(spark, "late-side"))
+    lines = inputs.telemetry(spark, run, stream=True)
+    query = jobs.start_closed_by_market(
+        lines, f"{run}/closed", f"{run}/late", f"{run}/held", f"{run}/checkpoint", window="1 hour", every=None
+    )
+    drain(query)
+    closed = read_batches(spark, f"{run}/closed", RATIO).drop("run", "batch_id")
+    windows = closed.unionByName(open_windows(
+        spark, f"{run}/held", f"{run}/checkpoint", query.lastProgress["batchId"], scale=jobs.KBIT_PER_MBIT
+    ))
+    at = F.unix_millis("ts")
+    late = read_batches(spark, f"{run}/late", "market STRING, ts TIMESTAMP")
+    late = late.groupBy("market", (at - F.pmod(at, F.lit(3_600_000))).alias("start_time")).agg(F.count("*").alias("late"))
+    both = windows.join(late, ["market", "start_time"], "full")
+    return both.select("market", "start_time", "count", "numerator", "denominator", "utput", F.coalesce("late", F.lit(0)).alias("late"))
+
+
+def stream_state_counts(spark, folder):
+    """Each user's count, read from the state of the stream that counts."""
+    run = _run(spark, folder, "state-counts")
+    drain(jobs.start_feed_counts(
+        inputs.feed(spark, run, stream=True), Topic(f"{run}/stats"), f"{run}/checkpoint", every=None, state_partitions=_partitions(spark)
+    ))
+    return state_table(spark, f"{run}/checkpoint").select("user", "count")
+
+
 STREAM_QUERIES = {
     query.__name__: query
     for query in (
         stream_feed_count, stream_date_region_market, stream_latest_by_arrival, stream_ratio_1h, stream_ratio_1s, stream_late_rows,
         stream_ratio_updates_1h, stream_final_windows, stream_messages, stream_top_articles, stream_top_articles_updates,
         stream_top_articles_updates_1d, stream_console_lines, stream_lines_tagged, stream_fresh_run,
+        stream_count_retractions, stream_industry_totals, stream_last_20_points, stream_late_side, stream_state_counts,
     )
 }

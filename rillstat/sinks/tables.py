@@ -60,13 +60,13 @@ def run_folder(spark: SparkSession, path: str, checkpoint: str) -> str:
     return f"run={max(numbers, default=-1) + 1:06d}-{name}"
 
 
-def append_batches(path: str, checkpoint: str, files: int | None = None) -> Sink:
+def append_batches(path: str, checkpoint: str, by_size: bool = False) -> Sink:
     """Write batches to ``path/run=<number>-<name>/batch_id=<n>``.
 
     Batch numbers start over with a new checkpoint, and so does the run. A batch that was
     written whole is left alone when it comes again, so that a reading stream sees each file once; what
-    is left of a broken write is replaced. ``files`` is the number of files per batch, where small batches
-    come often; the rows are shuffled into them, which leaves the state its own partitions.
+    is left of a broken write is replaced. With ``by_size`` the rows are shuffled into files of about the size that adaptive
+    execution aims at, one for a small batch and as many as it takes for a large one, whatever the number of state partitions.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -74,75 +74,19 @@ def append_batches(path: str, checkpoint: str, files: int | None = None) -> Sink
         folder = f"{path}/{run_folder(spark, path, checkpoint)}/batch_id={batch_id}"
         if _complete(spark, folder):
             return
-        rows = batch if files is None else batch.repartition(files)
+        rows = batch.hint("rebalance") if by_size else batch
         rows.write.mode("overwrite").parquet(folder)
 
     return write
 
 
-def upsert_batches(
-    path: str, checkpoint: str, keys: Sequence[str], values: Sequence[str], files: int = 8, compact_every: int = 16
-) -> Sink:
-    """Keep the last values of each key in a table at ``path``, which :func:`latest_table` reads.
-
-    A batch holds one row per key. It is written beside the table; every ``compact_every`` batches
-    the table is written anew from its last form and the batches since, and what went into the form before that is
-    removed. So a read touches the table and at most twice as many batches, however old the stream is. A
-    batch that comes again finds its folders complete and changes nothing. A later run starts from its first batch and
-    puts its values over those of the earlier ones.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        run = run_folder(spark, path, checkpoint)[4:].split("-")[0]
-        number = f"{run}{batch_id:012d}"
-        run_mark = f"{path}/run={run}-{run_of(checkpoint)}"
-        files_, make = file_system(spark, path)
-        files_.mkdirs(make(run_mark))
-        tail, table = f"{path}/batch={number}", f"{path}/table={number}"
-        if not _complete(spark, tail) and not _complete(spark, table):
-            batch.select(*keys, *values).repartition(files).write.mode("overwrite").parquet(tail)
-        if (batch_id + 1) % compact_every or _complete(spark, table):
-            return
-        before = [name for name in folders(spark, path, "table=") if _complete(spark, f"{path}/{name}")]
-        whole = _newest(spark, path, batch.select(*keys, *values).schema.simpleString()[7:-1], keys, values, number)
-        whole.repartition(files).write.mode("overwrite").parquet(table)
-        # Readers of the last form may still be at work; the one before it can go.
-        if before:
-            for kind in ("batch=", "table="):
-                for name in folders(spark, path, kind):
-                    if name[6:] < before[-1][6:] or (kind == "batch=" and name[6:] == before[-1][6:]):
-                        files_.delete(make(f"{path}/{name}"), True)
-
-    return write
-
-
-def _newest(spark: SparkSession, path: str, schema: str, keys: Sequence[str], values: Sequence[str], upto: str = "~") -> DataFrame:
-    schema = schema.replace(":", " ")
-    tables = [name for name in folders(spark, path, "table=") if name[6:] <= upto and _complete(spark, f"{path}/{name}")]
-    base = tables[-1][6:] if tables else ""
-    tails = [name for name in folders(spark, path, "batch=") if base < name[6:] <= upto and _complete(spark, f"{path}/{name}")]
-    parts = [f"{path}/{name}" for name in [*tables[-1:], *tails]]
-    if not parts:
-        return spark.createDataFrame([], schema)
-    number = F.regexp_extract(F.input_file_name(), r"/(?:table|batch)=(\d+)/", 1).cast("decimal(38,0)")
-    rows = spark.read.schema(schema).parquet(*parts).withColumn("_number", number)
-    newest = F.max_by(F.struct(*values), "_number").alias("_values")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "_values.*")
-
-
-def latest_table(spark: SparkSession, path: str, schema: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """The table that :func:`upsert_batches` keeps: one row per key."""
-    return _newest(spark, path, schema, keys, values)
-
-
-def send_records(topic: Topic, checkpoint: str, files: int = 8) -> Sink:
-    """Write ``key, value`` to a topic; one of files also keeps ``ts``, in ``files`` files per batch.
+def send_records(topic: Topic, checkpoint: str) -> Sink:
+    """Write ``key, value`` to a topic; one of files also keeps ``ts``, in files by size.
 
     A broker may receive a batch twice after a failure.
     """
     if topic.servers is None:
-        return append_batches(topic.name, checkpoint, files)
+        return append_batches(topic.name, checkpoint, by_size=True)
 
     def send(batch: DataFrame, batch_id: int) -> None:
         batch.select("key", "value").write.format("kafka").options(**topic.sink_options()).save()
@@ -186,7 +130,7 @@ def latest_rows(
 ) -> DataFrame:
     """The table that a log of updates stands for: the last values of each key, in the order of arrival by default.
 
-    Reads the whole log; :func:`upsert_batches` keeps a table instead.
+    Reads the whole log; :func:`rillstat.sinks.latest.upsert_batches` keeps a table instead.
     """
     log = read_batches(spark, path, schema)
     if sequence is None:

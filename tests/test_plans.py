@@ -13,7 +13,7 @@ def plan(spark, name):
     return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"line_files", "watched_series", "final_windows_lag2"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"line_files", "watched_series", "final_windows_lag2", "ratio_changelog", "publication_log"}))
 def test_one_scan_and_no_broadcast(spark, name):
     text = plan(spark, name)
     assert text.count("FileScan") == 1

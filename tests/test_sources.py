@@ -132,7 +132,7 @@ def test_topic_of_files(spark, tmp_path):
 
 def test_complete_batches_stay_broken_ones_are_replaced_and_runs_are_apart(spark, tmp_path):
     path = str(tmp_path / "table")
-    first, second = tables.append_batches(path, "a"), tables.append_batches(path, "b", files=1)
+    first, second = tables.append_batches(path, "a"), tables.append_batches(path, "b", by_size=True)
     first(spark.range(5), 0)
     first(spark.range(3), 0)
     second(spark.range(4).repartition(4), 0)
@@ -161,22 +161,6 @@ def test_arrival_counts_not_the_clock(spark, tmp_path):
     assert [r.value for r in rows] == ["a0", "a1", "b0", "b1"]
 
 
-def test_a_table_kept_by_upserts(spark, tmp_path):
-    path, expected = str(tmp_path / "table"), {}
-    for run in ("a", "b"):
-        sink = tables.upsert_batches(path, run, ["k"], ["v"], files=2, compact_every=4)
-        for batch in range(11):
-            rows = [(k, batch * 100 + k) for k in range(batch % 3, 12, 3)]
-            for _ in range(2):  # each batch comes twice
-                sink(spark.createDataFrame(rows, "k BIGINT, v BIGINT"), batch)
-            expected.update(rows)
-            got = tables.latest_table(spark, path, "k BIGINT, v BIGINT", ["k"], ["v"])
-            assert {r.k: r.v for r in got.collect()} == expected
-            folders = [p.name for p in (tmp_path / "table").iterdir() if not p.name.startswith("run=")]
-            assert len(folders) <= 12
-    assert tables.latest_table(spark, str(tmp_path / "none"), "k BIGINT, v BIGINT", ["k"], ["v"]).count() == 0
-
-
 def test_console_lines(spark, capfd, tmp_path):
     rows = spark.range(250).select(F.concat(F.lit("user"), "id").alias("key"), F.lit(3).alias("value"))
     rows = rows.union(spark.sql("SELECT CAST(NULL AS STRING), CAST(NULL AS INT)"))
