@@ -73,3 +73,10 @@ def text_column(work: Callable[[pa.RecordBatch], pa.Array], type: str, columns:
         return whole(text, other)
 
     return F.arrow_udf(two, type)(*columns)
+
+
+def free_names(taken: list[str], count: int) -> list[str]:
+    """Names for ``count`` columns beside those ``taken``, which may have any names."""
+    lowered = {name.lower() for name in taken}
+    free = (f"own_{i}" for i in range(len(taken) + count))
+    return [name for name in free if name not in lowered][:count]

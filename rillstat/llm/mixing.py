@@ -9,6 +9,7 @@ weight says how often or they are repeated.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,7 +68,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], tolerance: float = 1e-
 
     The sum stays that of ``base``. Targets are scaled to the values that occur with a positive
     base, so a target for a value without cells goes to the others. Stops when no cell moved by
-    more than ``tolerance`` of its weight in a sweep, or after ``sweeps``.
+    more than ``tolerance`` of its weight in a sweep, or after ``sweeps``, with a warning that tells by how much cells still move:
+    targets that contradict each other or the empty cells are never met.
     """
     total = cells.agg(F.sum("base")).first()[0]
     if not total:
@@ -94,6 +96,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], tolerance: float = 1e-
         moved = fitted.agg(F.max(F.abs(F.col("fitted") - F.col("_before")) / F.greatest("_before", F.lit(1e-300)))).first()[0]
         if moved is None or moved <= tolerance:
             break
+    else:
+        warnings.warn(f"raking stopped after {sweeps} sweeps with cells still moving by {moved:.1e} of their weight", RuntimeWarning, stacklevel=2)
     return fitted.select(*cells.columns, "fitted")
 
 
@@ -145,16 +149,19 @@ def mixed(
     id are kept or dropped together, as are rows without one. Columns of ``docs`` with the names of the
     new ones are replaced. An empty table gives an empty result.
     """
-    dimensions = {name: f"_mix_{i}" for i, name in enumerate(targets)}
+    dimensions = {name: f"mix_{i}" for i, name in enumerate(targets)}
     made = ("mix_topic", "mix_tokens", "mix_probability", "mix_weight")
     kept = [name for name in docs.columns if name not in made]
-    rows = docs.select(
-        *kept,
-        (layout_topic(text) if topic is None else topic).alias("mix_topic"),
+    rows = docs.withColumn("mix_topic", layout_topic(text) if topic is None else topic)
+    labels = {name: _label("mix_topic" if name == "topic" and name not in kept else name) for name in targets}
+    rows = rows.select(
+        # The documents travel as one column, so that their names cannot clash with the others.
+        F.struct(*kept).alias("doc"),
+        F.col(id).alias("key"),
+        "mix_topic",
         token_count(text).alias("mix_tokens"),
+        *(label.alias(dimensions[name]) for name, label in labels.items()),
     )
-    labels = {name: _label("mix_topic" if name == "topic" and name not in kept else name) for name in targets}
-    rows = rows.withColumns({dimensions[name]: label for name, label in labels.items()})
     cells = stored(rows.groupBy(*dimensions.values()).agg(F.sum("mix_tokens").alias("base")), "cells")
     fitted = rake(cells, {dimensions[name]: target for name, target in targets.items()})
     tokens = budget * (cells.agg(F.sum("base")).first()[0] or 0)
@@ -163,18 +170,16 @@ def mixed(
     else:
         scale = sampling_scale(fitted, tokens)
     wanted = F.when(F.col("base") > 0, F.col("fitted") / F.col("base") * scale).otherwise(1.0)
-    rates = stored(fitted.select(*dimensions.values(), wanted.alias("_wanted")), "rates")
-    draw = F.xxhash64(F.col(id), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
-    probability = F.least(F.lit(1.0), F.col("_wanted"))
+    rates = stored(fitted.select(*dimensions.values(), wanted.alias("wanted")), "rates")
+    draw = F.xxhash64(F.col("key"), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
+    probability = F.least(F.lit(1.0), F.col("wanted"))
     drawn = rows.join(rates, list(dimensions.values()))
     if repeats:
-        times = F.floor("_wanted")
-        times = (times + (draw < F.col("_wanted") - times).cast("int")).cast("int")
-        drawn = drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_copy")
-        return drawn.select(
-            *kept, "mix_topic", "mix_tokens", probability.alias("mix_probability"), F.lit(1.0).alias("mix_weight")
-        )
-    drawn = drawn.filter((draw < probability) | (probability >= 1))
-    return drawn.select(
-        *kept, "mix_topic", "mix_tokens", probability.alias("mix_probability"), F.greatest(F.lit(1.0), F.col("_wanted")).alias("mix_weight")
-    )
+        times = F.floor("wanted")
+        times = (times + (draw < F.col("wanted") - times).cast("int")).cast("int")
+        drawn = drawn.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times)))
+        weight = F.lit(1.0)
+    else:
+        drawn = drawn.filter((draw < probability) | (probability >= 1))
+        weight = F.greatest(F.lit(1.0), F.col("wanted"))
+    return drawn.select("doc.*", "mix_topic", "mix_tokens", probability.alias("mix_probability"), weight.alias("mix_weight"))

@@ -259,22 +259,26 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **opti
     Rows with one id and different texts are documents of their own here, in the order of the text's hash, so
     no text is lost for another one's links. Rows without an id stay, as nothing names them.
     """
-    prints = docs.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id"))
-    prints = prints.agg(F.min(F.xxhash64(text)).alias("_low"), F.max(F.xxhash64(text)).alias("_high"))
-    if not prints.filter("_low < _high").isEmpty():
+    # The documents travel as one column, so that their names cannot clash with the others.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("key"), F.col(text).alias("text"))
+    named = rows.filter("key IS NOT NULL").withColumn("print", F.xxhash64("text"))
+    prints = named.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high"))
+    if not prints.filter("low < high").isEmpty():
         # Keys in the order of the ids, one for each text of an id; written once, as later passes must find them unchanged.
-        named = docs.filter(F.col(id).isNotNull()).withColumn("_print", F.xxhash64(text)).dropDuplicates([id, "_print"])
-        keyed = stored(named.orderBy(id, "_print").withColumn("_key", F.monotonically_increasing_id()), "keyed")
-        kept = _once(keyed, "_key", text, **options).select(*docs.columns)
-        return kept.unionByName(docs.filter(F.col(id).isNull()))
-    return _once(docs, id, text, **options)
+        keyed = named.dropDuplicates(["key", "print"]).orderBy("key", "print").select(
+            F.monotonically_increasing_id().alias("key"), "row", "text"
+        )
+        kept = _once(stored(keyed, "keyed"), **options)
+        return kept.select("row").unionByName(rows.filter("key IS NULL").select("row")).select("row.*")
+    return _once(rows, **options).select("row.*")
 
 
-def _once(docs: DataFrame, id: str, text: str, **options: int) -> DataFrame:
-    found = near_duplicates(docs, id, text, **options).groupBy(F.col(id).alias("_id"))
-    marks = found.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).filter("_id IS NOT NULL AND (NOT _kept OR _rows > 1)")
+def _once(rows: DataFrame, **options: int) -> DataFrame:
+    """The rows (``key, text`` and others) that stand for their components."""
+    found = near_duplicates(rows.select("key", "text"), "key", "text", **options).groupBy(F.col("key").alias("marked"))
+    marks = found.agg(F.max("kept").alias("kept"), F.count("*").alias("times")).filter("marked IS NOT NULL AND (NOT kept OR times > 1)")
     marks = stored(marks, "marks")
-    same = F.col(id).cast("bigint") == F.col("_id")
-    once = docs.join(marks, same, "left_anti")
-    repeated = docs.join(marks.filter("_kept"), same, "left_semi").dropDuplicates([id])
+    same = F.col("key").cast("bigint") == F.col("marked")
+    once = rows.join(marks, same, "left_anti")
+    repeated = rows.join(marks.filter("kept"), same, "left_semi").dropDuplicates(["key"])
     return once.unionByName(repeated)

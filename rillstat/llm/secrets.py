@@ -47,9 +47,9 @@ _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>+]+(?:\+[^\s\"'`,;(){}\[\]<>+]+)*")
 _QUOTED = {quote: re.compile(rf"{quote}((?:[^{quote}\\\n]|\\.)*){quote}") for quote in "\"'`"}
 _JOIN = re.compile(r"[ \t]*\+[ \t]*")
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_PLACEHOLDER = re.compile(
-    r"^(?:x+|\*+|\.+|-+|_+|null|none|nil|true|false|undefined|string|todo)$|example|changeme|placeholder|dummy|^your|^my_|^<|^\$|^%", re.IGNORECASE
-)
+#: What stands in place of a secret: anywhere in a literal, and as the whole of it or its beginning.
+_PLACEHOLDER_WORD = re.compile("example|changeme|placeholder|dummy", re.IGNORECASE)
+_PLACEHOLDER_WHOLE = re.compile(r"(?:x+|\*+|\.+|-+|_+|null|none|nil|true|false|undefined|string|todo)$|your|my_|<|\$|%", re.IGNORECASE)
 
 SPANS = "id BIGINT, spans ARRAY<STRUCT<kind: STRING, start: BIGINT, end: BIGINT, name: STRING, score: DOUBLE>>"
 
@@ -81,32 +81,74 @@ def _name_before(text: str, at: int) -> str:
     return name if name and not name[0].isdigit() else ""
 
 
-def _value_after(text: str, at: int) -> Iterator[tuple[str, int, int]]:
-    """The parts of a value: ``quoted`` or ``bare``, with start and end of what is inside."""
-    while at < len(text) and text[at] in " \t":
-        at += 1
-    while at < len(text):
-        quote = _QUOTED.get(text[at])
-        match = quote.match(text, at) if quote else _BARE.match(text, at)
-        if not match:
-            return
-        yield ("quoted", match.start(1), match.end(1)) if quote else ("bare", match.start(), match.end())
-        joined = _JOIN.match(text, match.end())
-        if not joined:
-            return
-        at = joined.end()
-
-
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """Names with the parts of the values assigned to them, in the order of the text."""
+class Values:
+    """The values in a text as chains of parts; a part is read once, whatever number of signs stand before it.
+
+    ``parts`` holds ``kind, start, end, next``: ``quoted`` or ``bare``, what is inside, and the number of the part joined to it
+    by ``+``, or None. A value that begins inside a bare run ends with the run, as one that begins before it.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.parts: list[tuple[str, int, int, int | None]] = []
+        self._at: dict[int, int] = {}
+        self._run = (0, 0)
+        self._joined: dict[int, int] = {}
+
+    def _part(self, at: int) -> tuple[str, int, int, int] | None:
+        """Kind, start and end of the part at a place, and where it ends with its quotes."""
+        quote = _QUOTED.get(self.text[at])
+        if quote:
+            match = quote.match(self.text, at)
+            return ("quoted", match.start(1), match.end(1), match.end()) if match else None
+        if not self._run[0] <= at < self._run[1]:
+            match = _BARE.match(self.text, at)
+            if not match:
+                return None
+            self._run = match.span()
+        elif self.text[at] == "+":
+            return None
+        return "bare", at, self._run[1], self._run[1]
+
+    def _after_join(self, end: int) -> int:
+        """The place after a ``+`` that follows ``end``, or 0."""
+        if end not in self._joined:
+            joined = _JOIN.match(self.text, end)
+            self._joined[end] = joined.end() if joined else 0
+        return self._joined[end]
+
+    def first(self, at: int) -> int | None:
+        """The number of the first part of the value at a place."""
+        while at < len(self.text) and self.text[at] in " \t":
+            at += 1
+        chain, rest = [], None
+        while at < len(self.text):
+            if at in self._at:
+                rest = self._at[at]
+                break
+            part = self._part(at)
+            if part is None:
+                break
+            chain.append((at, part))
+            at = self._after_join(part[3])
+            if not at:
+                break
+        for at, (kind, start, end, _) in reversed(chain):
+            self.parts.append((kind, start, end, rest))
+            rest = self._at[at] = len(self.parts) - 1
+        return rest
+
+
+def assignments(text: str, values: Values) -> Iterator[tuple[str, int]]:
+    """Names with the number of the first part of the value assigned to them, in the order of the text."""
     for sign in _SIGN.finditer(text):
         if sign[0] not in ("=", ":", ":=", "=>") or (sign.start() and text[sign.start() - 1] in "!<>"):
             continue
         name = _name_before(text, sign.start())
         if name:
-            parts = list(_value_after(text, sign.end()))
-            if parts:
-                yield name, parts
+            first = values.first(sign.end())
+            if first is not None:
+                yield name, first
 
 
 def name_score(name: str) -> int:
@@ -125,59 +167,108 @@ def literal_score(literal: str, phrase: bool = False) -> float:
 
     So are literals with blanks, unless they may be a ``phrase``: then the blanks do not count.
     """
-    placeholder = _PLACEHOLDER.search(literal)
+    placeholder = _PLACEHOLDER_WHOLE.match(literal) or _PLACEHOLDER_WORD.search(literal)
     if phrase:
         literal = "".join(literal.split())
     if placeholder or len(literal) < 6 or _blank(literal):
         return -10.0
-    counts = Counter(literal)
-    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
-    score = min(entropy, 4.0) / 2 + (len(literal) >= 8) + (len(literal) >= 16)
-    mixed = any(char.isdigit() for char in literal) + any(char.isalpha() for char in literal)
-    return score + (mixed == 2) - (literal.isalpha() and literal.islower())
+    spread = sum(n * math.log2(n) for n in Counter(literal).values())
+    digits, letters = any(char.isdigit() for char in literal), any(char.isalpha() for char in literal)
+    return _look(len(literal), spread, digits, letters, literal.isalpha() and literal.islower())
+
+
+def _look(size: int, spread: float, digits: bool, letters: bool, plain: bool) -> float:
+    """The score of a literal's size, the sum of ``n * log2(n)`` over its characters' counts, and what it is made of."""
+    entropy = math.log2(size) - spread / size
+    return min(entropy, 4.0) / 2 + (size >= 8) + (size >= 16) + (digits and letters) - plain
+
+
+def _ending_scores(text: str, starts: list[int], end: int) -> dict[int, float]:
+    """:func:`literal_score` of ``text[start:end]`` for all ``starts``, in one sweep; for literals without blanks."""
+    low = min(starts)
+    word = max((match.start() for match in _PLACEHOLDER_WORD.finditer(text, low, end)), default=-1)
+    counts: Counter[str] = Counter()
+    spread, digits, letters, other, cased, upper = 0.0, False, False, False, False, False
+    wanted, found = set(starts), {}
+    for at in range(end - 1, low - 1, -1):
+        char = text[at]
+        n = counts[char]
+        counts[char] = n + 1
+        spread += (n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)
+        digits, letters, other = digits or char.isdigit(), letters or char.isalpha(), other or not char.isalpha()
+        cased, upper = cased or char.islower(), upper or char.isupper() or char.istitle()
+        if at in wanted:
+            if word >= at or _PLACEHOLDER_WHOLE.match(text, at, end) or end - at < 6:
+                found[at] = -10.0
+            else:
+                found[at] = _look(end - at, spread, digits, letters, not other and cased and not upper)
+    return found
 
 
 def literal_spans(text: str, least: float) -> Iterator[tuple[str, int, int, str, float]]:
-    """Literals that reach a sensitive name with a score of at least ``least``; each once, for its best name."""
+    """Literals that reach a sensitive name with a score of at least ``least``; each once, for its best name.
+
+    Takes time in proportion to the text: parts, tails of joined parts and runs that several signs share are read once. A part that
+    names a constant stands for what it was when the part was first read.
+    """
     if ("=" not in text and ":" not in text) or not _NAMES.search(text):
         return
-    # Each assignment makes a version of its name, with its own literals and the versions it names.
+    values = Values(text)
+    # Each assignment makes a version of its name.
     latest: dict[str, int] = {}
-    versions: list[tuple[str, list[tuple[int, int]], list[int]]] = []
-    for name, parts in assignments(text):
-        own: list[tuple[int, int]] = []
-        named: list[int] = []
-        for kind, start, end in parts:
-            if kind == "bare" and text[start:end] in latest:
-                named.append(latest[text[start:end]])
-            else:
-                own.append((start, end))
+    versions: list[tuple[str, int]] = []
+    stands_for: dict[int, int | None] = {}
+    longest = 0
+    for name, first in assignments(text, values):
+        part: int | None = first
+        while part is not None and part not in stands_for:
+            kind, start, end, after = values.parts[part]
+            known = kind == "bare" and end - start <= longest
+            stands_for[part] = latest.get(text[start:end]) if known else None
+            part = after
+        longest = max(longest, len(name))
         latest[name] = len(versions)
-        versions.append((name, own, named))
-    sensitive = [(name_score(name), -i) for i, (name, _, _) in enumerate(versions)]
+        versions.append((name, first))
+    endings: dict[int, list[int]] = {}
+    for kind, start, end, _ in values.parts:
+        if kind == "bare":
+            endings.setdefault(end, []).append(start)
+    swept: dict[int, dict[int, float]] = {}
+
+    def look(kind: str, start: int, end: int, phrase: bool) -> float | None:
+        if kind == "bare" and len(endings[end]) > 1:
+            if phrase:  # no blanks in a bare run
+                return None
+            if end not in swept:
+                swept[end] = _ending_scores(text, endings[end], end)
+            return swept[end][start]
+        literal = text[start:end]
+        return literal_score(literal, phrase) if _blank(literal) == phrase else None
+
+    sensitive = [(name_score(name), -i) for i, (name, _) in enumerate(versions)]
     sensitive = sorted((pair for pair in sensitive if pair[0] > 0), reverse=True)
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for phrase in (False, True):
         seen: set[int] = set()
-        # From the most sensitive names on, so that each version is looked at once; phrases by names for them only.
+        # From the most sensitive names on, so that each part is looked at once; phrases by names for them only.
         for weight, at in sensitive:
             if phrase and not _PHRASES.search(versions[-at][0]):
                 continue
-            ahead = [-at]
+            ahead = [versions[-at][1]]
             while ahead:
-                version = ahead.pop()
-                if version in seen:
+                part = ahead.pop()
+                if part in seen:
+                    continue
+                seen.add(part)
+                kind, start, end, after = values.parts[part]
+                if after is not None:
+                    ahead.append(after)
+                if stands_for[part] is not None:
+                    ahead.append(versions[stands_for[part]][1])
                     continue
-                seen.add(version)
-                _, own, named = versions[version]
-                ahead += named
-                for span in own:
-                    literal = text[span[0]:span[1]]
-                    if _blank(literal) != phrase:
-                        continue
-                    score = weight + literal_score(literal, phrase)
-                    if score >= least:
-                        best.setdefault(span, (score, versions[-at][0]))
+                own = look(kind, start, end, phrase)
+                if own is not None and weight + own >= least:
+                    best.setdefault((start, end), (weight + own, versions[-at][0]))
     for (start, end), (score, name) in best.items():
         yield "literal", start, end, name, score
 

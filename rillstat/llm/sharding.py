@@ -74,6 +74,22 @@ def _offsets(spark: SparkSession, sizes: dict[int, tuple[int, int]]) -> DataFram
     return spark.createDataFrame(rows, "_range INT, _bytes BIGINT, _records BIGINT")
 
 
+def _with_groups(placed: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """``placed`` with ``_first`` and ``_all``: where a record's group of equal texts begins, and its size."""
+    group = Window.partitionBy("_range", "_hash")
+    placed = placed.withColumn("_first", F.min("_start").over(group)).withColumn("_all", F.sum("_size").over(group))
+    # A group lies in several ranges only if a cut falls inside its text: at most as many groups as there are ranges.
+    cut_up = sorted({cut[0] for cut in cuts if cut[1:] != (_LEAST, _LEAST)})
+    if not cut_up:
+        return placed
+    placed = stored(placed, "starts")
+    wide = placed.sparkSession.createDataFrame([(hash,) for hash in cut_up], "_hash BIGINT")
+    whole = placed.join(F.broadcast(wide), "_hash").groupBy("_hash")
+    whole = whole.agg(F.min("_start").alias("_from"), F.sum("_size").alias("_sum"))
+    both = placed.join(F.broadcast(whole), "_hash", "left")
+    return both.withColumns({"_first": F.coalesce("_from", "_first"), "_all": F.coalesce("_sum", "_all")}).drop("_from", "_sum")
+
+
 def sharded(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "text", carry: bool = True) -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard``; without ``carry`` only the id beside them.
 
@@ -90,7 +106,8 @@ def sharded(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "
     kept = [name for name in docs.columns if name not in made] if carry else [id]
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        *kept,
+        # The documents travel as one column, so that their names cannot clash with the others.
+        F.struct(*kept).alias("_doc"),
         (F.octet_length(whole) + 1).cast("bigint").alias("_size"),
         F.crc32(whole.cast("binary")).alias("_crc"),
         F.xxhash64(whole).alias("_hash"),
@@ -105,10 +122,9 @@ def sharded(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "
     # One row per range: MOST_RANGES times three at most.
     placed = placed.join(F.broadcast(_offsets(docs.sparkSession, sizes)), "_range")
     order = Window.partitionBy("_range").orderBy(*_KEYS)
-    group = Window.partitionBy("_range", "_hash")
     start = F.col("_bytes") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     placed = placed.withColumn("_start", start).withColumn("_place", F.col("_records") + F.row_number().over(order) - 1)
-    placed = placed.withColumn("_first", F.min("_start").over(group)).withColumn("_all", F.sum("_size").over(group))
+    placed = _with_groups(placed, cuts)
     together = F.col("_all") <= WHOLE_GROUP * (total or 0) / shards
     middle = F.when(together, 2 * F.col("_first") + F.col("_all")).otherwise(2 * F.col("_start") + F.col("_size"))
     shard = F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (2 * (total or 1))))
@@ -117,7 +133,7 @@ def sharded(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "
     # One row per shard.
     found = placed.join(F.broadcast(begins), "shard").select("_row", "shard", (F.col("_place") - F.col("_begin")).alias("slot"))
     return rows.join(found, "_row").select(
-        *kept,
+        "_doc.*",
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),

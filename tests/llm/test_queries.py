@@ -1,8 +1,11 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rillstat.llm.near_duplicates import near_duplicates
 from rillstat.llm.queries import ORACLES, QUERIES
+from rillstat.sinks.tables import stored
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,3 +57,26 @@ def test_the_pipeline_takes_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.count() == 0
+
+
+def test_the_pipeline_takes_columns_with_any_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = [
+        "_id", "_size", "_hash", "_row", "_doc", "_wanted", "_copy", "_mix_0", "_key", "_print", "_kept", "_rows", "id", "key", "row", "print", "low", "high",
+        "marked", "kept", "times", "a", "b", "own_0", "own_1", "mix_0", "wanted", "copy", "doc", "score", "node", "found",
+    ]
+    docs = docs.withColumns({name: F.lit(name) for name in names})
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stored(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        assert docs.columns[:37] == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        assert docs.count() > 0 and docs.filter(" OR ".join(f"`{name}` <> '{name}'" for name in names)).count() == 0
+
+
+def test_the_pipeline_takes_odd_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns = docs.columns
+    odd = docs.limit(3).select(F.lit(None).cast("bigint").alias("doc_id"), *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in columns[1:]))
+    docs = docs.unionByName(odd).unionByName(docs.limit(20))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+    assert docs.count() > 0

@@ -1,11 +1,13 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from rillstat.llm.queries import op3_secret_scan
-from rillstat.llm.secrets import KINDS, base_spans, literal_spans, secret_spans
+from rillstat.llm.secrets import KINDS, _ending_scores, base_spans, literal_score, literal_spans, secret_spans
 from tests.llm.frames import DOCS, documents
 
 # The base patterns as they are given.
@@ -97,3 +99,34 @@ def test_the_registered_query_on_all_documents(spark):
         assert ",".join(x for x in row["spans"].split(",") if not x.startswith("literal")) == spelled
         some += bool(spans)
     assert some > 5
+
+
+@pytest.mark.parametrize("unit", ["a=b:", "password=", "a=b + ", 'token: x"', "password:='", "secret=example="])
+def test_time_grows_with_the_text(unit):
+    """A run, a chain of joined parts and its ends are read once."""
+    text = "password " + unit * (1_000_000 // len(unit))
+    begin = time.process_time()
+    for _ in literal_spans(text, 6.0):
+        pass
+    assert time.process_time() - begin < 30  # the quadratic form takes an hour
+
+
+@pytest.mark.parametrize("text, literals", [
+    ("token=abcdef12:ghijkl34", ["abcdef12:ghijkl34"]),
+    ("a: password=Xy12345678", ["Xy12345678"]),
+    ("password=token=Zx81kLmQ99pp", ["token=Zx81kLmQ99pp", "Zx81kLmQ99pp"]),
+    ("secret = 'Ab1' + \"Cd23456\" + x1y2z3w4v5", ["Cd23456", "x1y2z3w4v5"]),
+    ("secret=example:Zx81kLmQ99pp", []),
+])
+def test_values_inside_values(text, literals):
+    found = sorted(literal_spans(text, 6.0), key=lambda span: span[1])
+    assert [text[start:end] for _, start, end, _, _ in found] == literals
+
+
+def test_ends_of_a_run_score_as_literals():
+    random_ = random.Random(4)
+    for _ in range(300):
+        text = "".join(random_.choice("abXY12:=.x-é") for _ in range(random_.randrange(1, 40)))
+        text = text.replace("bX", random_.choice(["bX", "example", "null", "xxx", "my_"]))
+        scores = _ending_scores(text, list(range(len(text))), len(text))
+        assert scores == pytest.approx({at: literal_score(text[at:]) for at in range(len(text))})

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillstat.llm import sharding
 from rillstat.llm.ranges import packed, quantiles
 from rillstat.llm.sharding import sharded
 from tests.llm.frames import DOCS, documents, sentence
@@ -83,3 +84,21 @@ def test_quantiles_cut_the_weight_evenly(ranges):
     cuts = quantiles([(i, 1.0) for i in range(700)], ranges)
     assert len(cuts) == ranges - 1 and cuts == sorted(cuts)
     assert quantiles([], ranges) == []
+
+
+def test_a_small_group_stays_together_whatever_the_ranges(spark, monkeypatch):
+    """Ranges narrower than the groups, which cuts fall into."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 10)
+    texts = [f"group {i % 200}" for i in range(2000)] + [f"text {i}" for i in range(2000)]  # groups of 4 % of a shard
+    rows = sharded(documents(spark, texts), carry=False).collect()
+    groups, _ = check(rows, texts, tolerance=0.12)
+    assert all(len(found) == 1 for found in groups.values())
+
+
+def test_columns_with_any_names(spark):
+    docs = documents(spark, ["a", "b", "a"])
+    for name in ("_id", "_size", "_hash", "_row", "_crc", "_doc", "_range", "_place", "slot"):
+        docs = docs.withColumn(name, F.lit("x"))
+    found = sharded(docs, shards=2)
+    assert found.columns[:len(docs.columns) - 1] == [name for name in docs.columns if name != "slot"]
+    assert found.filter("_id = 'x' AND _size = 'x'").count() == 3
