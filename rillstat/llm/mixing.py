@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstat.llm.batches import free_names
 from rillstat.sinks.tables import stored
 
 #: A dimension's target: shares by value, or the power that the shares of the corpus are raised to
@@ -149,19 +150,17 @@ def mixed(
     id are kept or dropped together, as are rows without one. Columns of ``docs`` with the names of the
     new ones are replaced. An empty table gives an empty result.
     """
-    dimensions = {name: f"mix_{i}" for i, name in enumerate(targets)}
     made = ("mix_topic", "mix_tokens", "mix_probability", "mix_weight")
     kept = [name for name in docs.columns if name not in made]
-    rows = docs.withColumn("mix_topic", layout_topic(text) if topic is None else topic)
-    labels = {name: _label("mix_topic" if name == "topic" and name not in kept else name) for name in targets}
-    rows = rows.select(
-        # The documents travel as one column, so that their names cannot clash with the others.
-        F.struct(*kept).alias("doc"),
-        F.col(id).alias("key"),
-        "mix_topic",
+    *own, wanted_name, copy = free_names([*docs.columns, *made], len(targets) + 2)
+    dimensions = dict(zip(targets, own, strict=True))
+    rows = docs.select(
+        *kept,
+        (layout_topic(text) if topic is None else topic).alias("mix_topic"),
         token_count(text).alias("mix_tokens"),
-        *(label.alias(dimensions[name]) for name, label in labels.items()),
     )
+    labels = {name: _label("mix_topic" if name == "topic" and name not in kept else name) for name in targets}
+    rows = rows.withColumns({dimensions[name]: label for name, label in labels.items()})
     cells = stored(rows.groupBy(*dimensions.values()).agg(F.sum("mix_tokens").alias("base")), "cells")
     fitted = rake(cells, {dimensions[name]: target for name, target in targets.items()})
     tokens = budget * (cells.agg(F.sum("base")).first()[0] or 0)
@@ -170,16 +169,16 @@ def mixed(
     else:
         scale = sampling_scale(fitted, tokens)
     wanted = F.when(F.col("base") > 0, F.col("fitted") / F.col("base") * scale).otherwise(1.0)
-    rates = stored(fitted.select(*dimensions.values(), wanted.alias("wanted")), "rates")
-    draw = F.xxhash64(F.col("key"), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
-    probability = F.least(F.lit(1.0), F.col("wanted"))
+    rates = stored(fitted.select(*dimensions.values(), wanted.alias(wanted_name)), "rates")
+    draw = F.xxhash64(F.col(id), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
+    probability = F.least(F.lit(1.0), F.col(wanted_name))
     drawn = rows.join(rates, list(dimensions.values()))
     if repeats:
-        times = F.floor("wanted")
-        times = (times + (draw < F.col("wanted") - times).cast("int")).cast("int")
-        drawn = drawn.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times)))
+        times = F.floor(wanted_name)
+        times = (times + (draw < F.col(wanted_name) - times).cast("int")).cast("int")
+        drawn = drawn.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times)))
         weight = F.lit(1.0)
     else:
         drawn = drawn.filter((draw < probability) | (probability >= 1))
-        weight = F.greatest(F.lit(1.0), F.col("wanted"))
-    return drawn.select("doc.*", "mix_topic", "mix_tokens", probability.alias("mix_probability"), weight.alias("mix_weight"))
+        weight = F.greatest(F.lit(1.0), F.col(wanted_name))
+    return drawn.select(*kept, "mix_topic", "mix_tokens", probability.alias("mix_probability"), weight.alias("mix_weight"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstat.llm.batches import map_slices
+from rillstat.llm.batches import free_names, map_slices
 from rillstat.llm.graphs import components
 from rillstat.llm.hashing import mixed, shingles, word_hashes
 from rillstat.sinks.tables import stored
@@ -259,26 +259,23 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **opti
     Rows with one id and different texts are documents of their own here, in the order of the text's hash, so
     no text is lost for another one's links. Rows without an id stay, as nothing names them.
     """
-    # The documents travel as one column, so that their names cannot clash with the others.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("key"), F.col(text).alias("text"))
-    named = rows.filter("key IS NOT NULL").withColumn("print", F.xxhash64("text"))
-    prints = named.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high"))
-    if not prints.filter("low < high").isEmpty():
+    key, print_, low, high = free_names(docs.columns, 4)
+    named = docs.filter(F.col(id).isNotNull()).withColumn(print_, F.xxhash64(text))
+    prints = named.groupBy(F.col(id).alias(key)).agg(F.min(print_).alias(low), F.max(print_).alias(high))
+    if not prints.filter(F.col(low) < F.col(high)).isEmpty():
         # Keys in the order of the ids, one for each text of an id; written once, as later passes must find them unchanged.
-        keyed = named.dropDuplicates(["key", "print"]).orderBy("key", "print").select(
-            F.monotonically_increasing_id().alias("key"), "row", "text"
-        )
-        kept = _once(stored(keyed, "keyed"), **options)
-        return kept.select("row").unionByName(rows.filter("key IS NULL").select("row")).select("row.*")
-    return _once(rows, **options).select("row.*")
-
-
-def _once(rows: DataFrame, **options: int) -> DataFrame:
-    """The rows (``key, text`` and others) that stand for their components."""
-    found = near_duplicates(rows.select("key", "text"), "key", "text", **options).groupBy(F.col("key").alias("marked"))
-    marks = found.agg(F.max("kept").alias("kept"), F.count("*").alias("times")).filter("marked IS NOT NULL AND (NOT kept OR times > 1)")
-    marks = stored(marks, "marks")
-    same = F.col("key").cast("bigint") == F.col("marked")
-    once = rows.join(marks, same, "left_anti")
-    repeated = rows.join(marks.filter("kept"), same, "left_semi").dropDuplicates(["key"])
+        keyed = named.dropDuplicates([id, print_]).orderBy(id, print_).withColumn(key, F.monotonically_increasing_id())
+        kept = _once(stored(keyed, "keyed"), key, text, **options).select(*docs.columns)
+        return kept.unionByName(docs.filter(F.col(id).isNull()))
+    return _once(docs, id, text, **options)
+
+
+def _once(docs: DataFrame, id: str, text: str, **options: int) -> DataFrame:
+    marked, kept, times = free_names(docs.columns, 3)
+    found = near_duplicates(docs, id, text, **options).groupBy(F.col(id).alias(marked))
+    marks = found.agg(F.max("kept").alias(kept), F.count("*").alias(times))
+    marks = stored(marks.filter(F.col(marked).isNotNull() & (~F.col(kept) | (F.col(times) > 1))), "marks")
+    same = F.col(id).cast("bigint") == F.col(marked)
+    once = docs.join(marks, same, "left_anti")
+    repeated = docs.join(marks.filter(F.col(kept)), same, "left_semi").dropDuplicates([id])
     return once.unionByName(repeated)

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillstat.llm.batches import free_names
 from rillstat.llm.ranges import PER_RANGE, quantiles, range_of, sample
 from rillstat.sinks.tables import stored
 
@@ -105,18 +106,18 @@ def sharded(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     kept = [name for name in docs.columns if name not in made] if carry else [id]
     whole = F.coalesce(F.col(text), F.lit(""))
+    size, crc, hash, key, row = free_names([*docs.columns, *made], 5)
     rows = docs.select(
-        # The documents travel as one column, so that their names cannot clash with the others.
-        F.struct(*kept).alias("_doc"),
-        (F.octet_length(whole) + 1).cast("bigint").alias("_size"),
-        F.crc32(whole.cast("binary")).alias("_crc"),
-        F.xxhash64(whole).alias("_hash"),
-        F.coalesce(F.col(id).cast("bigint"), F.lit(_LEAST)).alias("_id"),
+        *kept,
+        (F.octet_length(whole) + 1).cast("bigint").alias(size),
+        F.crc32(whole.cast("binary")).alias(crc),
+        F.xxhash64(whole).alias(hash),
+        F.coalesce(F.col(id).cast("bigint"), F.lit(_LEAST)).alias(key),
     )
     # Written once with its row numbers, which later passes must find unchanged.
-    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "records")
-    total, count = rows.agg(F.sum("_size"), F.count("*")).first()
-    slim = rows.select(*_KEYS, "_size")
+    rows = stored(rows.withColumn(row, F.monotonically_increasing_id()), "records")
+    total, count = rows.agg(F.sum(size), F.count("*")).first()
+    slim = rows.select(*(F.col(name).alias(own) for name, own in zip((hash, key, row), _KEYS, strict=True)), F.col(size).alias("_size"))
     cuts, sizes = _cut(slim, total or 0, count, shards)
     placed = slim.withColumn("_range", range_of(cuts, _KEYS))
     # One row per range: MOST_RANGES times three at most.
@@ -132,10 +133,10 @@ def sharded(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "
     begins = placed.groupBy("shard").agg(F.min("_place").alias("_begin"))
     # One row per shard.
     found = placed.join(F.broadcast(begins), "shard").select("_row", "shard", (F.col("_place") - F.col("_begin")).alias("slot"))
-    return rows.join(found, "_row").select(
-        "_doc.*",
-        F.col("_size").alias("size"),
-        F.col("_crc").alias("text_crc32"),
+    return rows.join(found.withColumnRenamed("_row", row), row).select(
+        *kept,
+        F.col(size).alias("size"),
+        F.col(crc).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         F.col("slot").cast("bigint").alias("slot"),
