@@ -18,8 +18,8 @@ def non_empty(df: DataFrame, line: str = "line") -> DataFrame:
     return df.where(F.col(line) != "")
 
 
-def _examined(df: DataFrame, line: str, on_bad: str = "NULL") -> DataFrame:
-    """The non-empty lines with the columns of :func:`parse_lines`, NULL where a line is bad.
+def _examined(df: DataFrame, line: str, on_bad: str = "NULL", empty: bool = False) -> DataFrame:
+    """The non-empty lines, or with ``empty`` all of them, with the columns of :func:`parse_lines`, NULL where a line is bad.
 
     Each step reads columns of the one before, so that a line is split once. The
     generator at the end keeps it so: a filter on what it puts out stays above it,
@@ -28,7 +28,7 @@ def _examined(df: DataFrame, line: str, on_bad: str = "NULL") -> DataFrame:
     """
     num, den, rest = (f"get(_parts, {i})" for i in (NUMERATOR, DENOMINATOR, DENOMINATOR + 1))
     # The limit leaves whatever follows the denominator in one piece.
-    split = non_empty(df, line).selectExpr("*", f"split(`{line}`, ',', {DENOMINATOR + 2}) AS _parts")
+    split = (df if empty else non_empty(df, line)).selectExpr("*", f"split(`{line}`, ',', {DENOMINATOR + 2}) AS _parts")
     values = split.selectExpr(
         "*",
         f"try_cast({num} AS DOUBLE) AS _num",
@@ -47,6 +47,16 @@ def _examined(df: DataFrame, line: str, on_bad: str = "NULL") -> DataFrame:
     return numbers.selectExpr("* EXCEPT (_parts, _num, _den, _blank)", f"inline_outer({records})")
 
 
+def examined(df: DataFrame, line: str = "line") -> DataFrame:
+    """All rows of ``df`` with the columns of :func:`parse_lines` and ``kind``: ``parsed``, ``rejected`` or ``empty``.
+
+    An empty line or NULL is ``empty``; what is not parsed has NULL in the parsed columns.
+    """
+    rows = _examined(df, line, empty=True)
+    kind = F.when(F.coalesce(F.col(line), F.lit("")) == "", "empty").when(F.col("counted").isNull(), "rejected").otherwise("parsed")
+    return rows.withColumn("kind", kind)
+
+
 def parse_lines(df: DataFrame, line: str = "line", on_error: str = "drop") -> DataFrame:
     """The other columns of ``df`` plus ``region, market, num, den, counted``.
 

@@ -69,9 +69,9 @@ def dated_telemetry(spark: SparkSession, folder: str, stream: bool = False) -> D
     return telemetry(spark, folder, stream).select("event_id", day.alias("key"), "ts", "line")
 
 
-def faulty_telemetry(spark: SparkSession, folder: str) -> DataFrame:
+def faulty_telemetry(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Telemetry lines of which some are short and some have no number."""
-    return telemetry(spark, folder).withColumn("line", F.expr(_BAD_LINE))
+    return telemetry(spark, folder, stream).withColumn("line", F.expr(_BAD_LINE))
 
 
 def page_views(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:

