@@ -1,16 +1,16 @@
 """Toxicity by compression distance: windows of text under a toxic and an ordinary zstandard dictionary.
 
-The ordinary dictionary is trained on windows of ordinary text, with the windows that the
-first try took for toxic added to it. The toxic dictionary holds the same text and behind it
-words of toxic text: those that begin as words of toxic documents do and words of ordinary
-ones do not. So a window's two compressed lengths differ by the toxic matches alone.
-A document is scored from its windows' differences by a logistic function.
+Words are chosen by compressed lengths. A word of one half of the toxic texts is kept if the
+other half's text shortens it more than ordinary text does, and as long as it does so once
+ordinary words that the kept ones shorten have been added to the ordinary dictionary. The toxic dictionary is the ordinary one with the kept words behind it, so a window's two
+compressed lengths differ by the toxic matches alone. A document is scored from its
+windows' differences by a logistic function.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +29,20 @@ WINDOW = 16
 #: Follows each window. zstandard starts no match in the last bytes of a block.
 _PAD = np.full(32, 10, dtype=np.uint8)
 
-#: Windows that the ordinary dictionary is trained on, about, and bytes of windows added to it that were taken for toxic.
+#: Windows that the ordinary dictionary is trained on, about, and bytes of ordinary text that toxic words are held against.
 TRAINED_WINDOWS = 60_000
-MENDED = 32_768
+REFERENCE = 8 << 20
 
-#: Shortest match.
-_MATCH = 5
+#: Rounds in which ordinary words are added and toxic ones judged again, and bytes that a kept word must save.
+ROUNDS = 3
+GAIN = 2
+
+#: A kept word that ordinary texts hold too is not added to their dictionary while it is so many times as frequent in toxic ones.
+ODDS = 6
 
-_WORD = re.compile(rb"[^\s.,!?;:|$%&*#\"()]+")
+#: Shortest match, and windows that are compressed in one call.
+_MATCH = 5
+_BLOCK = 1 << 15
 
 
 @dataclass
@@ -59,11 +65,11 @@ def spread(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets + np.arange(rows + 1)
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each window: the words that start in one cell of a row's grid, with a blank on both sides."""
+def windows(data: np.ndarray, offsets: np.ndarray, cell: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each window: the words that start in one cell of a row's grid, with a blank on both sides; a cell of 1 makes each word a window."""
     starts, ends, bounds = words(data, offsets)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    cells = (starts - offsets[rows]) // WINDOW
+    cells = (starts - offsets[rows]) // cell
     first = np.ones(len(starts), dtype=bool)
     first[1:] = (cells[1:] != cells[:-1]) | (rows[1:] != rows[:-1])
     begin = np.flatnonzero(first)
@@ -71,60 +77,44 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[begin] - 1, ends[last] + 1, rows[begin]
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A 20-bit hash of the ``_MATCH`` bytes at each place."""
-    value = np.zeros(max(len(data) - _MATCH + 1, 0), dtype=np.uint64)
-    for i in range(_MATCH):
-        value |= data[i:i + len(value)].astype(np.uint64) << np.uint64(8 * i)
-    return (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+def compressor(content: bytes, search: int = 5) -> zstandard.ZstdCompressor:
+    """A compressor whose window reaches all of its dictionary."""
+    log = max(17, (len(content) + 65536).bit_length())
+    settings = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=log, chain_log=log - 1, hash_log=min(log, 20),
+        search_log=search, min_match=_MATCH, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
 
 
 class Scorer:
     """Compressors for both dictionaries; made once per task."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.compressors = [self._compressor(ordinary), self._compressor(ordinary + toxic)]
-        self.grams = np.zeros(1 << 20, dtype=bool)
-        self.grams[_grams(np.frombuffer(toxic, dtype=np.uint8))] = True
-
-    @staticmethod
-    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        settings = zstandard.ZstdCompressionParameters(
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=17, chain_log=16, hash_log=17, search_log=5,
-            min_match=_MATCH, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
-            write_content_size=0, write_checksum=0, write_dict_id=0,
-        )
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(compression_params=settings)
-        return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
+    def __init__(self, ordinary: bytes, toxic: bytes, search: int = 5):
+        self.compressors = [compressor(ordinary, search), compressor(ordinary + toxic, search)]
 
     def savings(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window, 0 at least.
-
-        Only windows with a match in the toxic words can save anything; the others are not compressed.
-        """
+        """Bytes that the toxic dictionary saves on each window, 0 at least. Each window is compressed under both."""
         saved = np.zeros(len(begin))
-        hits = np.zeros(len(data) + 1, dtype=np.int64)
-        found = self.grams[_grams(data)]
-        np.cumsum(found, out=hits[1:len(found) + 1])
-        hits[len(found) + 1:] = hits[len(found)]
-        some = np.flatnonzero(hits[np.maximum(end - _MATCH + 1, begin)] > hits[begin])
-        if not len(some):
-            return saved
-        size = end[some] - begin[some]
+        for i in range(0, len(begin), _BLOCK):
+            ordinary, toxic = self._lengths(data, begin[i:i + _BLOCK], end[i:i + _BLOCK])
+            saved[i:i + _BLOCK] = np.maximum(ordinary - toxic, 0)
+        return saved
+
+    def _lengths(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Compressed lengths of the windows under the ordinary and the toxic dictionary."""
+        size = end - begin
         stops = np.cumsum(size + len(_PAD))
         at = stops - size - len(_PAD)
         text = np.tile(_PAD[:1], int(stops[-1]))
-        text[np.arange(size.sum()) + np.repeat(at - np.cumsum(size) + size, size)] = data[
-            np.arange(size.sum()) + np.repeat(begin[some] - np.cumsum(size) + size, size)
-        ]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        text[inside + np.repeat(at, size)] = data[inside + np.repeat(begin, size)]
         segments = np.column_stack([at, size + len(_PAD)]).astype(np.uint64)
         source = zstandard.BufferWithSegments(text.tobytes(), segments.tobytes())
-        ordinary, toxic = (
-            np.array([len(piece) for piece in compressor.multi_compress_to_buffer(source)]) for compressor in self.compressors
-        )
-        saved[some] = np.maximum(ordinary - toxic, 0)
-        return saved
+        return [np.array([len(piece) for piece in each.multi_compress_to_buffer(source)]) for each in self.compressors]
 
     def features(self, column: pa.Array) -> np.ndarray:
         """Per row: what the windows save, in all, at most and per window; all 0 for a row without words."""
@@ -142,62 +132,108 @@ class Scorer:
         return np.column_stack([*out, np.log1p(total), np.minimum(total / count, 0.5) * 4, np.minimum(most, 8) / 4])
 
 
-def _toxic_words(texts: list[tuple[int, str]], size: int) -> bytes:
-    """Words of the toxic texts, the most frequent last, that begin as toxic ones do."""
-    seen = [Counter(), Counter()]
-    documents = [0, 0]
-    vocabulary = []
-    for y, text in texts:
-        found = set(_WORD.findall(text.lower().encode()))
-        starts = {b" " + word[:i] for word in found for i in range(3, 9)} | {b" " + word + b" " for word in found}
-        seen[y].update(starts)
-        documents[y] += 1
-        vocabulary.append((y, found))
-    telling = set()
-    for start, count in seen[1].items():
-        p, q = count / documents[1], (seen[0][start] + 0.5) / (documents[0] + 1)
-        if count >= 3 and p > 6 * q and p - q > 3 * np.sqrt(q * (1 - q) / documents[1] + p * (1 - p) / documents[1]):
-            telling.add(start)
-    counts = Counter()
-    for y, found in vocabulary:
-        if y:
-            for word in found:
-                if b" " + word + b" " in telling or any(b" " + word[:i] in telling for i in range(3, 9)):
-                    counts[b" " + word + b" "] += 1
-    kept = sorted((word for word, count in counts.items() if count > 1), key=lambda word: (counts[word], word))
-    return b"".join(kept)[-size:]
-
-
-def train(texts: list[tuple[int, str]], share: float, ordinary_size: int = 65536, toxic_size: int = 8192) -> Dictionaries:
-    """Both dictionaries and the score from labelled texts; the score is constant where a label is missing."""
-    y = np.array([label for label, _ in texts], dtype=float)
-    if not 0 < y.sum() < len(y):
-        return Dictionaries(b"", b"", np.array([-30.0 if not share else 30.0]))
-    toxic = _toxic_words(texts, toxic_size)
-    plain = [text for label, text in texts if not label]
-    every = max(1, sum(map(len, plain)) // WINDOW // TRAINED_WINDOWS)
-    pieces: list[bytes] = []
-    for column in text_slices(plain):
+def _cut(texts: list[str], cell: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, starts, ends and rows of the windows of slices of the texts."""
+    for column in text_slices(texts):
         data, offsets = spread(column)
-        begin, end, _ = windows(data, offsets)
+        yield data, *windows(data, offsets, cell)
+
+
+def _words(texts: list[str]) -> Counter:
+    """Each word between blanks, and the texts that it is in."""
+    found = Counter()
+    for data, begin, end, rows in _cut(texts, 1):
+        whole = data.tobytes()
+        found.update(word for _, word in {
+            (row, whole[a:b]) for row, a, b in zip(rows.tolist(), begin.tolist(), end.tolist(), strict=True)
+        })
+    return found
+
+
+def _saving(ordinary: bytes, toxic: bytes, pieces: list[bytes], least: int) -> list[bytes]:
+    """The pieces that the toxic text shortens by ``least`` bytes or more."""
+    if not pieces or not toxic:
+        return []
+    stops = np.cumsum([len(piece) for piece in pieces])
+    begin = np.concatenate([[0], stops[:-1]])
+    saved = Scorer(ordinary, toxic, search=8).savings(np.frombuffer(b"".join(pieces), dtype=np.uint8), begin, stops)
+    return [pieces[i] for i in np.flatnonzero(saved >= least).tolist()]
+
+
+def _wrong(ordinary: bytes, toxic: bytes, texts: list[str], cell: int) -> Counter:
+    """All windows of ordinary texts that the toxic text shortens by 2 bytes or more, and the texts that each is in."""
+    scorer, wrong = Scorer(ordinary, toxic), Counter()
+    for data, begin, end, rows in _cut(texts, cell):
+        some = np.flatnonzero(scorer.savings(data, begin, end) >= 2).tolist()
+        wrong.update(piece for _, piece in {(int(rows[i]), data[begin[i]:end[i]].tobytes()) for i in some})
+    return wrong
+
+
+def _joined(pieces: Counter) -> bytes:
+    """Pieces as a dictionary's text: the most frequent last, where matches cost least."""
+    return b"".join(sorted(pieces, key=lambda piece: (pieces[piece], piece)))
+
+
+def _ordinary(texts: list[str], size: int) -> bytes:
+    """A dictionary that zstandard trains on windows of ordinary texts."""
+    every = max(1, sum(map(len, texts)) // WINDOW // TRAINED_WINDOWS)
+    pieces: list[bytes] = []
+    for data, begin, end, _ in _cut(texts, WINDOW):
         whole = data.tobytes()
         pieces += [whole[a:b] for a, b in zip(begin[::every].tolist(), end[::every].tolist(), strict=True)]
     try:
-        ordinary = zstandard.train_dictionary(ordinary_size, pieces).as_bytes()
+        return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
-        ordinary = b"".join(pieces)[-ordinary_size:]
-    del pieces
+        return b"".join(pieces)[-size:]
+
+
+def _reference(texts: list[str]) -> bytes:
+    """The first texts, ``REFERENCE`` bytes about."""
+    out, size = [], 0
+    for data, *_ in _cut(texts, WINDOW):
+        out.append(data.tobytes())
+        size += len(data)
+        if size >= REFERENCE:
+            break
+    return b"".join(out)[:REFERENCE]
+
+
+def train(
+    texts: list[tuple[int, str]], share: float, ordinary_size: int = 65536, support: float = 0.01, miss: float = 2.0
+) -> Dictionaries:
+    """Both dictionaries and the score from labelled texts; the score is constant where a label is missing.
+
+    Kept words are in ``support`` of the toxic texts at least, and in two. A quarter of the
+    ordinary texts is spared from the dictionaries, for the score to be fitted on. There a
+    toxic text that is missed weighs as much as ``miss`` false alarms.
+    """
+    y = np.array([label for label, _ in texts], dtype=float)
+    if not 0 < y.sum() < len(y):
+        return Dictionaries(b"", b"", np.array([-30.0 if not share else 30.0]))
+    hostile, plain = ([text for label, text in texts if label == one] for one in (1, 0))
+    spare, used = plain[::4] or plain, [text for i, text in enumerate(plain) if i % 4] or plain
+    reference, held = _reference(used[::2]), used[1::2] or used
+    halves = [_words(hostile[i::2]) for i in range(2)]
+    counts = halves[0] + halves[1]
+    least = max(2, support * len(hostile))
+    kept = [_saving(reference, b"".join(sorted(halves[1 - i])), sorted(halves[i]), GAIN) for i in range(2)]
+    ordinary = _ordinary(used, ordinary_size)
+    for _ in range(ROUNDS):
+        wrong = _wrong(ordinary, b"".join(kept[0] + kept[1]), held, 1)
+        telling = {word for some in kept for word in some if counts[word] * len(held) > ODDS * wrong[word] * len(hostile)}
+        ordinary = _joined(Counter({word: n for word, n in wrong.items() if word not in telling})) + ordinary
+        kept = [_saving(ordinary, b"".join(kept[1 - i]), kept[i], GAIN) for i in range(2)]
+    final = {word: counts[word] for some in kept for word in some if counts[word] >= least}
+    toxic = _joined(Counter(final))
     for _ in range(2):
-        scorer, wrong = Scorer(ordinary, toxic), set()
-        for column in text_slices(plain):
-            data, offsets = spread(column)
-            begin, end, _ = windows(data, offsets)
-            for i in np.flatnonzero(scorer.savings(data, begin, end) >= 2).tolist():
-                wrong.add(data[begin[i]:end[i]].tobytes())
-        ordinary = (b"".join(sorted(wrong))[:MENDED] + ordinary)[-(ordinary_size + MENDED):]
+        wrong = _wrong(ordinary, toxic, used, WINDOW)
+        chance = {piece: n for piece, n in wrong.items() if not any(b" " + word + b" " in final for word in piece.split())}
+        ordinary = _joined(Counter(chance)) + ordinary
     scorer = Scorer(ordinary, toxic)
-    x = np.concatenate([scorer.features(column) for column in text_slices([text for _, text in texts])])
-    return Dictionaries(ordinary, toxic, logistic(x, y, class_weights(y, share)))
+    drawn = spare + hostile
+    x = np.concatenate([scorer.features(column) for column in text_slices(drawn)])
+    z = np.concatenate([np.zeros(len(spare)), np.ones(len(hostile))])
+    return Dictionaries(ordinary, toxic, logistic(x, z, class_weights(z, share) * np.where(z == 1, miss, 1)))
 
 
 def toxicity(

@@ -1,25 +1,28 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rillstat.llm.quality import FactorisationMachine, accepted, features, quality
-from rillstat.llm.toxicity import toxicity
+from rillstat.llm.toxicity import Scorer, compressor, spread, toxicity, train, windows
 from tests.llm.frames import DOCS, documents, sentence
 
 LABELS = "doc_id BIGINT, quality INT, toxic INT"
 FOLDER = "/root/testdata/sf0.1"
 
 
-@pytest.mark.parametrize(("operator", "target", "least"), [(toxicity, "toxic", 0.85), (quality, "quality", 0.97)])
+@pytest.mark.parametrize(
+    ("operator", "target", "least"), [(toxicity, "toxic", (0.975, 0.8)), (quality, "quality", (0.97, 0.97))]
+)
 def test_held_out_accuracy(spark, operator, target, least):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("documents", "labels"))
     rows = operator(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     assert len(rows) > 500
     for y in (0, 1):
         own = [row for row in rows if row[target] == y]
-        assert sum(row["predicted"] == y for row in own) / len(own) > least
+        assert sum(row["predicted"] == y for row in own) / len(own) > least[y]
     assert all(0 <= row["score"] <= 1 for row in rows)
 
 
@@ -77,9 +80,52 @@ def test_labels_of_the_held_out_fold_do_not_count(spark):
     assert a == b
 
 
-def test_pairs_by_squares_are_pairs_by_pairs():
-    import pyarrow as pa
+def _few(random_, count, hostile):
+    texts = []
+    for i in range(count):
+        words = sentence(random_, 60, 300).split()
+        if i < hostile:
+            for _ in range(4):
+                words[random_.randrange(60)] = random_.choice(["grumbletoad", "nastyfroggle", "vilesnark"])
+        texts.append((int(i < hostile), " ".join(words)))
+    return texts
+
+
+def test_savings_are_those_of_two_compressions_a_window():
+    r = random.Random(3)
+    ordinary = " ".join(text for _, text in _few(r, 40, 0)).encode()
+    toxic = b" grumbletoad  vilesnark "
+    texts = [text for _, text in _few(r, 30, 15)] + ["", None, "x", "grumbletoad" * 300, "\u00e9\u00e8 vilesnark. \t\n zzz"]
+    data, offsets = spread(pa.array(texts, pa.large_string()))
+    for cell in (1, 16):
+        begin, end, rows = windows(data, offsets, cell)
+        plain, hostile = compressor(ordinary), compressor(ordinary + toxic)
+        pieces = [data[a:b].tobytes() + b"\n" * 32 for a, b in zip(begin, end, strict=True)]
+        expected = [max(len(plain.compress(piece)) - len(hostile.compress(piece)), 0) for piece in pieces]
+        assert Scorer(ordinary, toxic).savings(data, begin, end).tolist() == expected
+        assert max(expected) >= 4 and len(expected) == len(rows)
+        words = [word for text in texts for word in (text or "").lower().encode().split()]
+        assert [word for a, b in zip(begin, end, strict=True) for word in data[a:b].tobytes().split()] == words
+
+
+def test_words_of_toxic_texts_are_found_by_compression():
+    texts = _few(random.Random(4), 240, 80)
+    model = train(texts, 1 / 3)
+    assert {b"grumbletoad", b"nastyfroggle", b"vilesnark"} <= set(model.toxic.split())
+    # A word that toxic and ordinary texts share alike is none of them.
+    assert not {b"w1", b"w250"} & set(model.toxic.split())
+    stray = [(y, text + " grumbletoad" if not y and i % 40 == 0 else text) for i, (y, text) in enumerate(texts)]
+    assert b"grumbletoad" in train(stray, 1 / 3).toxic.split()
+    shared = [(y, text + " grumbletoad") for y, text in texts]
+    assert b"grumbletoad" not in train(shared, 1 / 3).toxic.split()
+
+
+def test_training_on_one_text_a_label():
+    model = train([(0, ""), (1, "")], 0.5)
+    assert len(Scorer(model.ordinary, model.toxic).features(pa.array(["a b", "", None], pa.large_string()))) == 3
+
 
+def test_pairs_by_squares_are_pairs_by_pairs():
     made = features(pa.array(["a b c", "", "a a a b\nc!"]), pa.array([5, None, 9]))
     machine = FactorisationMachine(np.quantile(made.statistics, np.linspace(0, 1, 17)[1:-1], axis=0).T)
     index, value, bounds = machine.rows(made)
