@@ -14,14 +14,15 @@ def fold(id: str | Column) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, target: str, id: str, text: str, per_label: int, longest: int
-) -> tuple[list[tuple[int, str]], float]:
-    """At most ``per_label`` texts of each label, and the share of label 1 among all rows to learn from.
+    docs: DataFrame, labels: DataFrame, target: str, id: str, text: str, per_label: int, longest: int, count: str | None = None
+) -> tuple[list[tuple], float]:
+    """At most ``per_label`` labels and texts of each label, and the share of label 1 among all rows to learn from.
 
     Learns from rows whose fold is not 2 only. An id that is labelled more than once has its
     greatest label; null ids and labels and labels other than 0 and 1 do not count. The
     sample is the rows with the least hash of the id, so it is the same each time. Texts of
-    more than ``longest`` characters are not learned from, which bounds what the driver gets.
+    more than ``longest`` characters are not learned from, which bounds what the driver gets. With ``count`` that column
+    (a whole number or null) follows each text. Of an id with several texts the greatest is taken, with the greatest of its counts.
     """
     known = labels.select(F.col(id).alias("_id"), F.col(target).cast("int").alias("_y"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (fold("_id") != 2))
@@ -34,10 +35,14 @@ def labelled_sample(
         some = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
         drawn = some if drawn is None else drawn.union(some)
     # Two labels times per_label rows at most, whatever the tables hold.
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+    also = [] if count is None else [F.col(count).cast("bigint").alias("_count")]
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), *also).join(F.broadcast(drawn), "_id")
     rows = rows.filter(F.length(F.coalesce("_text", F.lit(""))) <= longest)
-    rows = rows.groupBy("_id", "_y").agg(F.max("_text").alias("_text")).orderBy(F.xxhash64("_id"), "_id")
-    sample = [(row["_y"], row["_text"] or "") for row in rows.select("_y", "_text").toLocalIterator()]
+    greatest = [F.max("_text").alias("_text")] if count is None else [
+        F.max(F.struct("_text", "_count"))[name].alias(name) for name in ("_text", "_count")
+    ]
+    rows = rows.groupBy("_id", "_y").agg(*greatest).orderBy(F.xxhash64("_id"), "_id")
+    sample = [(y, value or "", *others) for y, value, *others in rows.drop("_id").toLocalIterator()]
     return sample, counts.get(1, 0) / sum(counts.values())
 
 

@@ -21,9 +21,10 @@ from rillstat.llm.batches import text_column, text_slices
 from rillstat.llm.hashing import LOWER, SPACE, distinct_by_row, span_hashes, utf8, words
 from rillstat.llm.labels import class_weights, fold, labelled_sample, logistic, sigmoid
 
-#: Buckets that words are hashed to, and bins per statistic.
+#: Buckets that words are hashed to, and bins per statistic; one more is for a value that is not known.
 BUCKET_BITS = 16
 BINS = 16
+WIDTH = BINS + 1
 
 _LINE_END = np.zeros(256, dtype=bool)
 _LINE_END[10] = True
@@ -72,18 +73,25 @@ class Features:
 
 
 def features(column: pa.Array, n_chars: pa.Array | None = None) -> Features:
-    """Features of texts, and of their declared character counts where there are any (-1: unknown)."""
+    """Features of texts, and of their declared character counts; a count that is null or not given is not known."""
     data, offsets = utf8(column)
     starts, ends, bounds = words(data, offsets, SPACE)
     hashes = span_hashes(LOWER[data], starts, ends) >> np.uint64(64 - BUCKET_BITS)
     hashed, kinds = distinct_by_row(hashes, bounds[:-1], bounds[1:])
     shape = statistics(data, offsets, starts, ends, bounds, np.diff(kinds))
-    declared = np.full(len(column), -1.0)
+    declared = np.full(len(column), np.nan)
     if n_chars is not None:
-        declared = pc.fill_null(pc.cast(n_chars, pa.float64()), -1.0).to_numpy(zero_copy_only=False)
+        declared = pc.fill_null(pc.cast(n_chars, pa.float64()), np.nan).to_numpy(zero_copy_only=False)
     return Features(hashed.astype(np.int64), kinds, np.column_stack([shape, np.log1p(np.maximum(declared, -0.5))]))
 
 
+def bin_edges(statistics: np.ndarray) -> np.ndarray:
+    """For each statistic the values that cut its known ones to ``BINS`` equal parts."""
+    marks = np.linspace(0, 1, BINS + 1)[1:-1]
+    known = [column[~np.isnan(column)] for column in statistics.T]
+    return np.array([np.quantile(column, marks) if len(column) else np.zeros(len(marks)) for column in known])
+
+
 @dataclass
 class FactorisationMachine:
     """Weights and vectors of hashed words and of the statistics' bins."""
@@ -97,7 +105,7 @@ class FactorisationMachine:
     scale: tuple[float, float] = (1.0, 0.0)
 
     def __post_init__(self):
-        size = (1 << BUCKET_BITS) + len(self.edges) * BINS
+        size = (1 << BUCKET_BITS) + len(self.edges) * WIDTH
         self.weights = np.zeros(size, dtype=np.float32)
         self.vectors = np.random.default_rng(self.seed).normal(0, 0.05, (size, self.rank)).astype(np.float32)
 
@@ -105,7 +113,8 @@ class FactorisationMachine:
         """Feature numbers and values of all rows, and the rows' offsets; words have unit length together."""
         n, kinds = made.statistics.shape
         bins = np.column_stack([np.searchsorted(self.edges[j], made.statistics[:, j], side="right") for j in range(kinds)])
-        bins += (1 << BUCKET_BITS) + np.arange(kinds) * BINS
+        bins[np.isnan(made.statistics)] = BINS
+        bins += (1 << BUCKET_BITS) + np.arange(kinds) * WIDTH
         count = np.diff(made.bounds)
         bounds = made.bounds + np.arange(n + 1) * kinds
         index = np.empty(bounds[-1], dtype=np.int64)
@@ -125,7 +134,7 @@ class FactorisationMachine:
         return self.constant + linear + 0.5 * (total * total - squares).sum(axis=1), total, scaled
 
     def fit(self, made: Features, y: np.ndarray, sample_weights: np.ndarray, epochs: int, step: float = 0.1, batch: int = 64) -> None:
-        """Logistic loss, adaptive steps; rows in a fixed random order."""
+        """Logistic loss, adaptive steps; rows in a fixed random order. Bins that no row has are left with nothing to say."""
         index, value, bounds = self.rows(made)
         random = np.random.default_rng(self.seed)
         grown = np.full((len(self.weights), self.rank + 1), 1e-6, dtype=np.float32)
@@ -156,6 +165,8 @@ class FactorisationMachine:
                 self.vectors[touched] -= move[:, 1:]
                 bias += float(error.sum()) ** 2
                 self.constant -= step * float(error.sum()) / bias ** 0.5
+        unseen = np.setdiff1d(np.arange(1 << BUCKET_BITS, len(self.weights)), index)
+        self.vectors[unseen] = 0
 
     def score(self, made: Features) -> np.ndarray:
         z, _, _ = self.raw(*self.rows(made))
@@ -183,9 +194,7 @@ def train(made: Features, y: np.ndarray, share: float, epochs: int = 12) -> Fact
     """A machine fitted on four fifths of the rows and calibrated on the rest; a constant where a label is missing."""
     if not 0 < y.sum() < len(y):
         return float(share)
-    marks = np.linspace(0, 1, BINS + 1)[1:-1]
-    edges = np.quantile(made.statistics, marks, axis=0).T
-    machine = FactorisationMachine(edges)
+    machine = FactorisationMachine(bin_edges(made.statistics))
     balance = class_weights(y, 0.5)
     spare = np.arange(len(y)) % 5 == 0
     if len(np.unique(y[spare])) < 2 or len(np.unique(y[~spare])) < 2:
@@ -213,8 +222,9 @@ def quality(
     """``id, held_out, score, predicted`` for every row of ``docs``.
 
     Learns from at most ``per_label`` rows of each label with at most ``longest`` characters,
-    none of fold 2. The text and ``n_chars`` go into the score (None: the text alone); a null
-    count is a bin of its own. A null or empty text has no words and is scored by its statistics.
+    none of fold 2. The text and ``n_chars`` as the row declares it go into the fit and the score (None: the text
+    alone). A null count has a bin of its own; where no row to learn from has one, it adds nothing. Counts below
+    zero are in the lowest bin. A null or empty text has no words and is scored by its statistics.
     A null id is not held out. Rows that repeat come back as often as they are, with equal scores.
     Without rows of both labels the score is the share of label 1 (0 without any). An empty table gives an
     empty result; other columns are ignored.
@@ -232,13 +242,13 @@ def score_column(
     docs: DataFrame, labels: DataFrame, id: str, text: str, n_chars: str | None, target: str, per_label: int, longest: int
 ) -> Column:
     """The score of a row of ``docs``, by a model that is fitted now."""
-    sample, share = labelled_sample(docs, labels, target, id, text, per_label, longest)
-    # The sample comes without its declared counts; they are those of the texts.
-    made = _joined([
-        features(texts, pc.cast(pc.utf8_length(texts), pa.int64()) if n_chars else None)
-        for texts in text_slices([value for _, value in sample])
-    ])
-    model = train(made, np.array([y for y, _ in sample], dtype=float), share)
+    sample, share = labelled_sample(docs, labels, target, id, text, per_label, longest, n_chars)
+    parts, start = [], 0
+    for texts in text_slices([row[1] for row in sample]):
+        declared = pa.array([row[2] for row in sample[start:start + len(texts)]], pa.int64()) if n_chars else None
+        parts.append(features(texts, declared))
+        start += len(texts)
+    model = train(_joined(parts), np.array([row[0] for row in sample], dtype=float), share)
 
     def work(batch: pa.RecordBatch) -> pa.Array:
         if isinstance(model, float) or not batch.num_rows:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rillstat.llm.quality import FactorisationMachine, accepted, features, quality
+from rillstat.llm.quality import BINS, BUCKET_BITS, WIDTH, FactorisationMachine, accepted, bin_edges, features, quality
 from rillstat.llm.toxicity import Scorer, compressor, spread, toxicity, train, windows
 from tests.llm.frames import DOCS, documents, sentence
 
@@ -127,7 +127,7 @@ def test_training_on_one_text_a_label():
 
 def test_pairs_by_squares_are_pairs_by_pairs():
     made = features(pa.array(["a b c", "", "a a a b\nc!"]), pa.array([5, None, 9]))
-    machine = FactorisationMachine(np.quantile(made.statistics, np.linspace(0, 1, 17)[1:-1], axis=0).T)
+    machine = FactorisationMachine(bin_edges(made.statistics))
     index, value, bounds = machine.rows(made)
     z, _, _ = machine.raw(index, value, bounds)
     for i in range(3):
@@ -144,3 +144,33 @@ def test_accepted_keeps_the_columns_and_the_good_rows(spark):
     assert kept.columns == docs.columns
     good = {row["doc_id"] for row in quality(docs, labels).filter("predicted = 1").collect()}
     assert {row["doc_id"] for row in kept.select("doc_id").collect()} == good
+
+
+def test_counts_that_are_null_have_a_bin_of_their_own():
+    made = features(pa.array(["a b", "c d", "e f", "g"]), pa.array([3, None, 7, -2]))
+    machine = FactorisationMachine(bin_edges(made.statistics))
+    index, _, bounds = machine.rows(made)
+    kinds = made.statistics.shape[1]
+    base = (1 << BUCKET_BITS) + (kinds - 1) * WIDTH
+    assert [index[end - 1] - base == BINS for end in bounds[1:]] == [False, True, False, False]
+    assert index[bounds[4] - 1] == base and index.max() < len(machine.weights)
+    # Learned from rows with counts only, a null adds nothing: neither a weight nor pairs.
+    known = features(pa.array(["a b", "c d", "e f", "g"] * 8), pa.array([3, 5, 7, 1] * 8))
+    machine = FactorisationMachine(bin_edges(known.statistics))
+    machine.fit(known, np.array([1, 0, 1, 0] * 8, dtype=float), np.ones(32), 3)
+    assert machine.weights[base + BINS] == 0 and not machine.vectors[base + BINS].any()
+
+
+def test_declared_counts_are_learned_from(spark):
+    r = random.Random(8)
+    texts = [sentence(r, 40, 300)] * 400
+    good = [r.random() < 0.5 for _ in texts]
+    labels = spark.createDataFrame([(i, int(y), 0) for i, y in enumerate(good)], LABELS)
+    # Good rows declare far more than they have, or nothing at all: the texts themselves are all the same.
+    for told in (9_000, None):
+        docs = documents(spark, texts).withColumn("n_chars", F.when(F.col("doc_id").isin([i for i, y in enumerate(good) if y]), told).otherwise(200))
+        rows = quality(docs, labels).collect()
+        right = sum(row["predicted"] == good[row["doc_id"]] for row in rows if row["held_out"])
+        assert right > 0.95 * sum(row["held_out"] for row in rows)
+        alone = quality(docs, labels, n_chars=None).collect()
+        assert sum(row["predicted"] == good[row["doc_id"]] for row in alone if row["held_out"]) < 0.7 * sum(row["held_out"] for row in alone)
