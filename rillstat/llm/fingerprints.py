@@ -31,8 +31,9 @@ PARTS = 1 + ORDERS * LEVELS
 #: Terms that are counted in one pass over the documents.
 BLOCK_TERMS = 1 << 20
 
-#: Documents whose frequent terms are looked for together.
+#: Documents whose frequent terms are looked for together, and different terms that end such a chunk sooner.
 CHUNK_DOCS = 20_000
+CHUNK_TERMS = 4 << 20
 
 #: Bytes of text per range of ids, about.
 RANGE_BYTES = 4 << 20
@@ -111,21 +112,35 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _frequent(share: float):
-    """The terms that are in at least ``share`` of some chunk of a partition's documents."""
+    """The terms that are in at least ``share`` of some chunk of a partition's documents.
+
+    A chunk is so many documents that a term has to be in two of them at least, and ends with ``CHUNK_TERMS`` different terms.
+    What is held is merged when as much has come in, so a document costs its own terms and not all that are held.
+    """
+    least = -(-2 // share) if share > 0 else CHUNK_DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)), 0
+        nothing = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held, fresh, waiting, docs = nothing, [], 0, 0
 
         def emit() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held[0][held[1] >= share * docs].view(np.int64))], names=["term"])
 
         for batch in batches:
             for piece in slices(batch, ["text"]):
-                held, docs = _merged(held, terms(piece.column(0))[0]), docs + piece.num_rows
-                if docs >= CHUNK_DOCS:
+                fresh.append(terms(piece.column(0))[0])
+                waiting, docs = waiting + len(fresh[-1]), docs + piece.num_rows
+                full = docs >= CHUNK_DOCS
+                if full or waiting >= max(len(held[0]), CHUNK_TERMS // 4):
+                    held, fresh, waiting = _merged(held, np.concatenate(fresh)), [], 0
+                if full or (docs >= least and len(held[0]) >= CHUNK_TERMS):
+                    if fresh:
+                        held, fresh, waiting = _merged(held, np.concatenate(fresh)), [], 0
                     yield emit()
-                    held, docs = (held[0][:0], held[1][:0]), 0
+                    held, docs = nothing, 0
         if docs:
+            if fresh:
+                held = _merged(held, np.concatenate(fresh))
             yield emit()
 
     return run

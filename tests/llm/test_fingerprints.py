@@ -17,8 +17,9 @@ def test_the_lexicon_has_the_terms_of_the_band(spark, monkeypatch):
     counts = Counter(term for text in texts for term in set(re.findall(r"\w+", text or "")))
     band = {term for term, n in counts.items() if 0.02 * 302 <= n <= 0.3 * 302}
     hashed = {int(fp.terms(pa.array([term]))[0][0]) for term in band}
-    for chunk, block in ((20_000, 1 << 20), (10, 16)):
+    for chunk, many, block in ((20_000, 4 << 20, 1 << 20), (10, 4 << 20, 16), (20_000, 8, 64)):
         monkeypatch.setattr(fp, "CHUNK_DOCS", chunk)
+        monkeypatch.setattr(fp, "CHUNK_TERMS", many)
         monkeypatch.setattr(fp, "BLOCK_TERMS", block)
         assert set(fp.lexicon_of(documents(spark, texts).select("text"), 0.02, 0.3).tolist()) == hashed
 
@@ -79,3 +80,44 @@ def test_likeness_grows_with_what_is_shared():
         a, b = (fp.fingerprints(pa.array([" ".join(x)]), lexicon) for x in (base, other))
         likeness.append(float(fp.likeness(a, b)[0]))
     assert likeness[0] == 1.0 and likeness == sorted(likeness, reverse=True) and likeness[-1] < 0.05
+
+
+def _finish(x):
+    """The mixing of 64 bits that the hashes end in."""
+    return int(fp.mixed(np.array([x % (1 << 64)], dtype=np.uint64))[0])
+
+
+def _plain_fingerprint(text, lexicon):
+    """The fingerprint by plain loops over the terms: a set for each part, its sum hashed to 16 bits."""
+    every = {int(fp.terms(pa.array([term]))[0][0]) for term in re.findall(r"[^\s!-/:-@\[-`{-~]+", text)}
+    kept = {term for term in every if term in lexicon} or every
+    parts = [kept]
+    for order in range(fp.ORDERS):
+        drawn = {term: _finish(term + 0x9E3779B97F4A7C15 * (order + 1)) for term in kept}
+        for level in range(fp.LEVELS):
+            parts.append({term for term in kept if drawn[term] < 1 << (63 - level)})
+    hashes = [max(_finish(sum(_finish(term ^ 0x94D049BB133111EB) for term in part)) >> 48, 1) if part else 0 for part in parts]
+    return hashes
+
+
+def _plain_likeness(a, b):
+    either = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+    return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+
+def test_fingerprints_and_likeness_are_those_of_plain_loops(spark):
+    r = random.Random(9)
+    texts = [sentence(r, r.choice([0, 1, 5, 40, 200]), 150) for _ in range(60)] + ["", None, "only-here; twice, only-here"]
+    counts = Counter(term for text in texts for term in set(re.findall(r"\w+", (text or "").replace("-", " "))))
+    lexicon = {int(fp.terms(pa.array([term]))[0][0]) for term, n in counts.items() if 0.05 * 63 <= n <= 0.3 * 63}
+    assert lexicon == set(fp.lexicon_of(documents(spark, texts).select("text"), 0.05, 0.3).tolist()) and len(lexicon) > 20
+    marks = [_plain_fingerprint(text or "", lexicon) for text in texts]
+    written = lambda mark: "".join(f"{x:04x}" for x in mark)
+    for row in fp.compared(documents(spark, texts), low=0.05, high=0.3).collect():
+        i = row["doc_id"]
+        text, after = texts[i] or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        edited = _plain_fingerprint(text[:len(text) - half] + after[:half], lexicon)
+        assert (row["fingerprint"], row["edited_fingerprint"]) == (written(marks[i]), written(edited))
+        assert row["near_edited"] == _plain_likeness(marks[i], edited)
+        assert row["near_next"] == _plain_likeness(marks[i], marks[(i + 1) % len(texts)])
