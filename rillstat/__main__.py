@@ -26,6 +26,7 @@ from rillstat.sinks.tables import print_lines, send_records
 from rillstat.sources import avro, synthetic
 from rillstat.sources.files import read_lines, read_table
 from rillstat.sources.topics import Topic, read_topic
+from rillstat.streaming.replay import LINES_PER_TICK, TICK, number_lines, replay
 from rillstat.streaming.runs import checkpoint_at, drain, start
 
 def parser() -> argparse.ArgumentParser:
@@ -80,6 +81,11 @@ def parser() -> argparse.ArgumentParser:
         avro_(own, fixed)
         own.add_argument("--runs", type=int, default=1, help="number of synthetic runs")
         own.add_argument("--seed", type=int, default=0)
+    own = job("replay", "send the lines of files to a topic at a pace, those of all files or tags side by side")
+    lines_per_tick = f"lines of each file or tag every trigger interval (default: {LINES_PER_TICK}, every {TICK})"
+    own.add_argument("--lines-per-tick", type=int, default=LINES_PER_TICK, help=lines_per_tick)
+    own.add_argument("--header", action="store_true", help="files begin with a header")
+    own.add_argument("--tag", action="store_true", help="the start of a file's name is its key, and files with one key follow each other")
     job("show", "print the records of a topic", writes=False, streams=False).add_argument(
         "--longs", action="store_true", help="values are the bytes of a long"
     )
@@ -150,6 +156,11 @@ def main(arguments: list[str] | None = None) -> None:
     options = {name: value for name in ("window", "lateness", "every", "lag", "early") if (value := getattr(args, name, None)) is not None}
     if args.once:
         options["every"] = None
+    if args.job == "replay":
+        numbered = f"{base}/lines-of-{Path(checkpoint).name}"
+        number_lines(spark, args.input, numbered, header=args.header, tag=args.tag)
+        replay(spark, numbered, output, checkpoint, lines_per_tick=args.lines_per_tick, every=options.get("every", TICK))
+        return
     if args.job == "ratios":
         query = jobs.start_market_ratios(_lines(spark, args), output, checkpoint, **options)
     elif args.job == "date-ratios":

@@ -187,6 +187,11 @@ SELECT market, start_time, utput FROM points QUALIFY row_number() OVER (PARTITIO
     "stream_top_articles_updates_1d": _top(_VIEWS, 100, "1 day") + _TOP_ROWS,
     "stream_console_lines": f"""WITH {_VIEWS} SELECT concat("user", '=', page) AS line FROM views""",
     "stream_lines_tagged": f"""WITH {_TEL} SELECT concat('T', event_id % 3) AS key, count(*) AS count FROM tel WHERE line <> '' GROUP BY 1""",
+    "stream_paced_lines": f"""WITH {_TEL},
+lanes AS (SELECT concat('T', event_id % 3) AS key, count(*) AS n FROM tel WHERE line <> '' GROUP BY 1),
+pace AS (SELECT (max(n) + 3) // 4 AS k FROM lanes),
+ticks AS (SELECT key, tick, tick * k AS first, least(n, (tick + 1) * k) - 1 AS last FROM lanes, pace, range(4) AS t(tick) WHERE tick * k < n)
+SELECT key, tick, last - first + 1 AS count, last - first + 1 AS numbers, first, last FROM ticks""",
     "stream_fresh_run": _FEED_COUNT,
     "stream_count_retractions": f"WITH {_VIEWS}, {_COUNTS} SELECT page, industry, start_time, count FROM counts",
     "stream_industry_totals": f"""WITH {_VIEWS}, {_COUNTS}

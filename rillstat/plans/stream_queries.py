@@ -27,6 +27,7 @@ from rillstat.sources.results import parse_message, parse_result_json
 from rillstat.sources.topics import Topic, read_topic
 from rillstat.streaming.lateness import open_windows
 from rillstat.streaming.parsing import line_counts, lines_of, parse_batches
+from rillstat.streaming.replay import last_number, number_lines, replay
 from rillstat.streaming.rankings import TOP, latest_rankings, rank_closed, rank_updates
 from rillstat.streaming.retractions import CHANGE, folded, industry_totals
 from rillstat.streaming.runs import checkpoint_at, closable, drain, run_to_close, start
@@ -208,9 +209,8 @@ def stream_console_lines(spark, folder):
     return spark.read.schema("value STRING, run STRING, batch_id BIGINT").text(f"{run}/lines").select(F.col("value").alias("line"))
 
 
-def stream_lines_tagged(spark, folder):
-    """Lines per tag of their file's name, where files have a header and tags several files."""
-    run = new_folder(spark, "lines-tagged")
+def _tagged_files(spark: SparkSession, folder: str, run: str) -> str:
+    """Telemetry lines in files with a header, several for each of three tags; their folder."""
     lines = inputs.telemetry(spark, folder).where("line <> ''")
     files, make = file_system(spark, run)
     files.mkdirs(make(f"{run}/lines"))
@@ -220,12 +220,31 @@ def stream_lines_tagged(spark, folder):
             name = entry.getPath().getName()
             if name.endswith(".csv"):
                 files.rename(entry.getPath(), make(f"{run}/lines/T{tag}_{name}"))
-    read = read_lines(spark, f"{run}/lines", header=True, tag=True, stream=True, files_per_trigger=1)
+    return f"{run}/lines"
+
+
+def stream_lines_tagged(spark, folder):
+    """Lines per tag of their file's name, where files have a header and tags several files."""
+    run = new_folder(spark, "lines-tagged")
+    read = read_lines(spark, _tagged_files(spark, folder, run), header=True, tag=True, stream=True, files_per_trigger=1)
     drain(start(read, append_batches(f"{run}/results", f"{run}/checkpoint"), checkpoint=f"{run}/checkpoint"))
     table = read_batches(spark, f"{run}/results", "key STRING, ts TIMESTAMP, line STRING")
     return table.groupBy("key").agg(F.count("*").alias("count"))
 
 
+def stream_paced_lines(spark, folder):
+    """Lines of three tags sent side by side, a quarter of the longest at a tick, and how many came with each."""
+    run = new_folder(spark, "paced-lines")
+    numbered, topic = f"{run}/numbered", Topic(f"{run}/sent")
+    number_lines(spark, _tagged_files(spark, folder, run), numbered, header=True, tag=True)
+    quarter = max(1, -(-(last_number(spark, numbered) + 1) // 4))
+    replay(spark, numbered, topic, f"{run}/checkpoint", lines_per_tick=quarter, every=None)
+    sent = read_batches(spark, topic.name, "key STRING, value STRING, number BIGINT")
+    return sent.groupBy("key", F.col("batch_id").alias("tick")).agg(
+        F.count("*").alias("count"), F.count_distinct("number").alias("numbers"), F.min("number").alias("first"), F.max("number").alias("last")
+    )
+
+
 def stream_fresh_run(spark, folder):
     """A second run without the state of the first, which ends with the same counts."""
     run = _run(spark, folder, "fresh-run")
@@ -345,7 +364,7 @@ STREAM_QUERIES = {
     for query in (
         stream_feed_count, stream_date_region_market, stream_latest_by_arrival, stream_ratio_1h, stream_ratio_1s, stream_late_rows,
         stream_ratio_updates_1h, stream_final_windows, stream_messages, stream_top_articles, stream_top_articles_updates,
-        stream_top_articles_updates_1d, stream_console_lines, stream_lines_tagged, stream_fresh_run,
+        stream_top_articles_updates_1d, stream_console_lines, stream_lines_tagged, stream_paced_lines, stream_fresh_run,
         stream_count_retractions, stream_industry_totals, stream_last_20_points, stream_late_side, stream_state_counts,
         stream_counted_rejects, stream_rejects, stream_doubled_records,
     )

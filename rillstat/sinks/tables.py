@@ -43,7 +43,7 @@ def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(name for name in names if name.startswith(prefix))
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
+def complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to the folder has ended."""
     files, make = file_system(spark, path)
     return files.exists(make(f"{path}/_SUCCESS"))
@@ -72,7 +72,7 @@ def append_batches(path: str, checkpoint: str, by_size: bool = False) -> Sink:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = f"{path}/{run_folder(spark, path, checkpoint)}/batch_id={batch_id}"
-        if _complete(spark, folder):
+        if complete(spark, folder):
             return
         rows = batch.hint("rebalance") if by_size else batch
         rows.write.mode("overwrite").parquet(folder)
@@ -110,7 +110,7 @@ def line_batches(path: str, checkpoint: str) -> Sink:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = f"{path}/{run_folder(spark, path, checkpoint)}/batch_id={batch_id}"
-        if not _complete(spark, folder):
+        if not complete(spark, folder):
             batch.select(console_line(F.col("key"), F.col("value"))).write.mode("overwrite").text(folder)
 
     return write

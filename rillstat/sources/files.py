@@ -33,13 +33,15 @@ def read_lines(
     since: datetime | None = None,
     files_per_trigger: int | None = None,
     bytes_per_trigger: int | None = None,
+    place: bool = False,
 ) -> DataFrame:
     """The raw lines of the files at ``path`` as ``key, ts, line``.
 
     ``header=True`` skips the first line of each file, and empty lines with it.
     ``ts`` is the arrival time. ``key`` is NULL, or with ``tag=True`` the part of
     the file name before the first ``_``. ``since`` leaves out files last changed
-    before it. The pace of a streaming read is set per trigger, in files or bytes.
+    before it. The pace of a streaming read is set per trigger, in files or bytes; :mod:`rillstat.streaming.replay`
+    goes by lines. ``place=True`` adds the ``file`` and the start of its ``block`` that the line is in.
     """
     reader = _reader(spark, stream, files_per_trigger, bytes_per_trigger)
     if header:
@@ -49,7 +51,8 @@ def read_lines(
     if since is not None:
         lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(since))
     key = F.split_part("_metadata.file_name", F.lit("_"), F.lit(1)) if tag else F.lit(None).cast("string")
-    return lines.select(key.alias("key"), F.current_timestamp().alias("ts"), "line")
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")] if place else []
+    return lines.select(key.alias("key"), F.current_timestamp().alias("ts"), "line", *at)
 
 
 def read_table(

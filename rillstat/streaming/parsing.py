@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rillstat.operators.telemetry import examined
-from rillstat.sinks.tables import Sink, _complete, run_folder
+from rillstat.sinks.tables import Sink, complete, run_folder
 
 #: What becomes of a line.
 KINDS = ("parsed", "rejected", "empty")
@@ -25,7 +25,7 @@ def parse_batches(path: str, checkpoint: str, line: str = "line") -> Sink:
         spark = batch.sparkSession
         place = f"{run_folder(spark, path + '/lines', checkpoint)}/batch_id={batch_id}"
         counts = f"{path}/counts/{place}"
-        if _complete(spark, counts):
+        if complete(spark, counts):
             return
         seen = Observation(f"lines-{batch_id}")
         rows = examined(batch, line)
