@@ -21,25 +21,28 @@ def packed(*keys: np.ndarray) -> np.ndarray:
     return out.view(f"S{8 * len(keys)}").ravel()
 
 
-def sample(rows: DataFrame, keys: list[str], weight: str, number: int, total: int) -> list[tuple]:
-    """About ``number`` rows' keys, drawn by their weight, each with the weight it stands for.
+def sample(rows: DataFrame, keys: list[str], weight: str, number: int, total: int) -> list[np.ndarray]:
+    """The keys of about ``number`` rows, drawn by their weight, and last the weights they stand for, as columns.
 
     The draw is by hash, so it is the same each time. What comes to the driver is about ``number``
-    rows, whatever the table holds.
+    rows, whatever the table holds, as numbers of 8 bytes: 134 MB for the most ranges of three keys. Keys are not null.
     """
     chance = F.least(F.lit(1.0), F.col(weight) * (number / max(total, 1)))
     drawn = F.xxhash64(*keys, F.lit(29)).cast("double") / F.lit(2.0**64) + 0.5 < chance
-    return [tuple(row) for row in rows.filter(drawn).select(*keys, F.greatest(F.col(weight), F.lit(total / number))).collect()]
+    table = rows.filter(drawn).select(*keys, F.greatest(F.col(weight), F.lit(total / number)).alias("_stands_for")).toArrow()
+    return [column.to_numpy() for column in table.columns]
 
 
-def quantiles(drawn: list[tuple], ranges: int) -> list[tuple]:
+def quantiles(drawn: list[np.ndarray], ranges: int) -> list[tuple]:
     """At most ``ranges - 1`` keys that cut the drawn weight into equal parts, ascending."""
-    if not drawn:
+    *keys, weights = drawn
+    if not len(weights):
         return []
-    drawn = sorted(drawn)
-    ends = np.cumsum([row[-1] for row in drawn])
+    order = np.lexsort((weights, *reversed(keys)))
+    ends = np.cumsum(weights[order])
     at = np.searchsorted(ends, np.arange(1, ranges) * (ends[-1] / ranges))
-    return sorted({drawn[i][:-1] for i in np.minimum(at, len(drawn) - 1).tolist()})
+    at = order[np.minimum(at, len(order) - 1)]
+    return sorted(set(zip(*(key[at].tolist() for key in keys), strict=True)))
 
 
 def range_of(cuts: list[tuple], keys: list[str]) -> Column:

@@ -56,9 +56,11 @@ def _cut(rows: DataFrame, total: int, count: int, shards: int) -> tuple[list[tup
         inside = rows.withColumn("_range", range_of(cuts, _KEYS)).filter(F.col("_range").isin(list(full)))
         held = sum(full.values())
         parts = sample(inside, ["_range", *_KEYS], "_size", max(1, held * ranges // total) * PER_RANGE, held)
+        parts = [column[np.argsort(parts[0], kind="stable")] for column in parts]
         more = []
         for r, size in full.items():
-            more += quantiles([part[1:] for part in parts if part[0] == r], int(-(-size * ranges // total)))
+            own = slice(*np.searchsorted(parts[0], [r, r + 1]))
+            more += quantiles([column[own] for column in parts[1:]], int(-(-size * ranges // total)))
         cuts, before = sorted({*cuts, *more}), len(cuts)
         if len(cuts) == before:
             break

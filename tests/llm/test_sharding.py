@@ -81,9 +81,9 @@ def test_packed_keys_compare_as_the_keys_do():
 
 @pytest.mark.parametrize("ranges", [1, 2, 7])
 def test_quantiles_cut_the_weight_evenly(ranges):
-    cuts = quantiles([(i, 1.0) for i in range(700)], ranges)
+    cuts = quantiles([np.arange(700), np.ones(700)], ranges)
     assert len(cuts) == ranges - 1 and cuts == sorted(cuts)
-    assert quantiles([], ranges) == []
+    assert quantiles([np.arange(0), np.ones(0)], ranges) == []
 
 
 def test_a_small_group_stays_together_whatever_the_ranges(spark, monkeypatch):
@@ -102,3 +102,16 @@ def test_columns_with_any_names(spark):
     found = sharded(docs, shards=2)
     assert found.columns[:len(docs.columns) - 1] == [name for name in docs.columns if name != "slot"]
     assert found.filter("_id = 'x' AND _size = 'x'").count() == 3
+
+
+def test_quantiles_are_those_of_sorted_rows():
+    r = random.Random(4)
+    rows = [(r.randrange(-5, 5), r.choice([-(1 << 63), 0, (1 << 63) - 1]), float(r.randrange(1, 9))) for _ in range(300)]
+    total, ends = sum(row[2] for row in rows), 0.0
+    expected, wanted = set(), [total * i / 12 for i in range(1, 12)]
+    for row in sorted(rows):
+        ends += row[2]
+        while wanted and ends >= wanted[0]:
+            expected.add(row[:2])
+            wanted.pop(0)
+    assert quantiles([np.array(column) for column in zip(*rows, strict=True)], 12) == sorted(expected)
