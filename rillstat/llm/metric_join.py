@@ -13,8 +13,13 @@ nearly all others, where no pivot tells them apart, so the space is thinned out
 3. *Recursion.* A region that holds several components and is too large for a task gets more pivots. A document belongs to the
    Voronoi region of its nearest pivot and, by the triangle inequality, a linked one can be in the region of pivot p only if it is
    at most ``2 * e`` farther from p than from its own; inside that window it is replicated. Each smaller region is joined the
-   same way. Where pivots do not divide (all distances alike), pairs of blocks of the region are the smaller regions.
-4. A region small enough is joined in one task by counting common shingles of documents of different components.
+   same way.
+4. *Centres.* Where pivots do not divide (all distances alike), the most central pivot is taken off instead: as the symmetric
+   difference of two sets is that of their differences from any third set, a member is its difference from the centre from there
+   on, one row each, a fraction of its set if the region is dense. Of a region whose differences are still too many for a task,
+   members leave whose differences have too little in common with those of all other components together, which is exact.
+5. A region small enough is joined in one task by counting common shingles, or common differences, of documents of different
+   components. Only what is too large after step 4 goes on as pairs of blocks, whose rows grow with the square of its size.
 
 A pivot has been compared with all of its region and leaves it. No region, partner or candidate is capped.
 """
@@ -22,6 +27,7 @@ A pivot has been compared with all of its region and leaves it. No region, partn
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,10 +44,13 @@ from rillstat.sinks.tables import stored
 #: A region of at most so many documents with so many shingles together is joined in one task.
 REGION_ROWS, REGION_SHINGLES = 512, 1 << 20
 
+#: The same for the differences of a region's documents from its centre; ``REGION_SHINGLES`` bounds their number.
+CENTRE_ROWS = 1 << 13
+
 #: Pivots that divide a larger region.
 PIVOTS = 8
 
-#: Regions that pivots leave with more copies of their documents than this go on as pairs of blocks.
+#: Regions that pivots leave with more copies of their documents than this go on as differences from a centre.
 COPIES = 2.0
 
 #: Up to so many classes of texts, 16 bytes each, their numbers are sent to all tasks instead of moving the texts to them.
@@ -200,7 +209,8 @@ def _links(sized: DataFrame, numerator: int, denominator: int) -> DataFrame:
 
 
 def _divided(regions: DataFrame, sizes: DataFrame, sets: DataFrame, comps: _Components, level: int, numerator: int, denominator: int):
-    """The smaller regions of regions too large for a task, and the components with the links of their pivots."""
+    """The smaller regions of regions too large for a task, those that do not divide with a centre each, and the components
+    with the links of their pivots."""
     order = [F.xxhash64("node", F.lit(level)), F.col("node")]
     pivots = ranked(regions, ["region"], order, PIVOTS).select("region", F.col("node").alias("pivot"))
     rest = regions.join(pivots.withColumnRenamed("pivot", "node"), ["region", "node"], "left_anti")
@@ -221,35 +231,104 @@ def _divided(regions: DataFrame, sizes: DataFrame, sets: DataFrame, comps: _Comp
     apart = parts.join(sizes, "region").filter((F.col("copies") <= COPIES * F.col("rows")) & (F.col("most") <= 0.8 * F.col("rows")))
     apart = stored(apart.select("region"), "apart")
     smaller = voronoi.join(apart, "region", "left_semi").select(F.xxhash64("region", "pivot").alias("region"), "node", "n")
-    blocks = F.greatest(F.ceil(F.col("rows") * 3 / REGION_ROWS), F.ceil(F.col("shingles") * 3 / REGION_SHINGLES))
-    whole = rest.join(apart, "region", "left_anti").join(sizes.withColumn("blocks", blocks), "region")
-    whole = whole.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = whole.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "node", "n")
-    return smaller, paired, comps.joined(_links(sized, numerator, denominator))
+    total = placed.groupBy("region", "pivot").agg(F.sum("distance").alias("total"))
+    centres = total.groupBy("region").agg(F.min(F.struct("total", "pivot")).alias("best")).select("region", F.col("best.pivot").alias("centre"))
+    whole = rest.select("region", "node", "n").join(apart, "region", "left_anti").join(centres, "region")
+    return smaller, stored(whole, "whole"), comps.joined(_links(sized, numerator, denominator))
+
+
+def _differences(whole: DataFrame, sets: DataFrame, comps: _Components) -> DataFrame:
+    """``region, node, n, comp, x``: the symmetric difference of each unsettled set from its region's centre."""
+    centres = whole.select("region", "centre").distinct()
+    centres = centres.join(sets.select(F.col("node").alias("centre"), F.col("s").alias("c")), "centre").select("region", "c")
+    rows = stored(_unsettled(whole.select("region", "node", "n"), comps), "unsettled")
+    rows = rows.join(sets.select("node", "s"), "node").join(centres, "region").select("region", "node", "n", "comp", "s", "c")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = []
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (4, 5))
+                apart.append(np.setxor1d(a, b, assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart, pa.binary())], names=["region", "node", "n", "comp", "x"])
+
+    return stored(rows.mapInArrow(work, "region BIGINT, node BIGINT, n BIGINT, comp BIGINT, x BINARY"), "differences")
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """``region, rows, shingles, fits``: the sizes of regions of differences, and whether a task joins them."""
+    sizes = rows.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.expr("length(x) div 8")).alias("shingles"))
+    return sizes.withColumn("fits", F.expr(f"rows <= 2 OR rows <= {CENTRE_ROWS} AND shingles <= {REGION_SHINGLES}"))
+
+
+def _linkable(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The rows of regions of differences that may link with another component.
+
+    Sets link if ``2 * total * common >= weight + weight``, ``common`` being the number of common differences. Those of a row
+    with all other components together, and the least weight among these, bound that.
+    """
+    total = numerator + denominator
+    rows = rows.withColumn("weight", F.expr(f"{total} * (length(x) div 8) - {denominator - numerator} * n"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                x = some.column("x").to_pylist()
+                own = some.select(["region", "node", "comp"]).take(pa.array(np.repeat(np.arange(len(x)), [len(v) // 8 for v in x])))
+                values = np.frombuffer(b"".join(x), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(values)], names=["region", "node", "comp", "shingle"])
+
+    tokens = rows.select("region", "node", "comp", "x").mapInArrow(work, "region BIGINT, node BIGINT, comp BIGINT, shingle BIGINT")
+    several = tokens.groupBy("region", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    shared = tokens.join(several, ["region", "shingle"]).groupBy("region", "node").agg(F.count("*").alias("shared"))
+    light = rows.groupBy("region", "comp").agg(F.min("weight").alias("least"))
+    first = light.groupBy("region").agg(F.min(F.struct("least", "comp")).alias("first"))
+    second = light.join(first, "region").filter("comp <> first.comp").groupBy("region").agg(F.min("least").alias("second"))
+    bounded = rows.join(shared, ["region", "node"], "left").join(first, "region").join(second, "region")
+    partner = F.when(F.col("comp") == F.col("first.comp"), F.col("second")).otherwise(F.col("first.least"))
+    able = bounded.filter(2 * total * F.coalesce("shared", F.lit(0)) >= F.col("weight") + partner)
+    return stored(able.select("region", "node", "n", "comp", "x"), "linkable")
+
+
+def _by_task(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """``region, node, n, comp, x`` of regions of differences that a task can join."""
+    sizes = stored(_sizes(rows), "sizes")
+    ready = rows.join(sizes.filter("fits").select("region"), "region", "left_semi")
+    over = sizes.filter("NOT fits").select("region")
+    if over.isEmpty():
+        return ready
+    able = _linkable(rows.join(over, "region", "left_semi"), numerator, denominator)
+    blocks = F.greatest(F.ceil(F.col("rows") * 3 / CENTRE_ROWS), F.ceil(F.col("shingles") * 3 / REGION_SHINGLES))
+    able = able.join(_sizes(able).withColumn("blocks", F.when(F.col("fits"), F.lit(1)).otherwise(blocks)), "region")
+    able = able.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    paired = able.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    region = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+    return ready.union(paired.select(region.alias("region"), "node", "n", "comp", "x"))
 
 
 def _joined_in_task(numerator: int, denominator: int):
-    """A spanning forest of the links between components inside one region."""
+    """A spanning forest of the links between components inside one region; ``x`` holds sets or differences from one set."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in rows["s"]]
-        n = np.array([len(s) for s in sets])
-        ends = np.cumsum(n)
-        owner = np.repeat(np.arange(len(sets)), n)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["x"]]
+        n, held = rows["n"].to_numpy(), np.array([len(x) for x in sets])
+        ends = np.cumsum(held)
+        owner = np.repeat(np.arange(len(sets)), held)
         _, token = np.unique(np.concatenate(sets), return_inverse=True)
         order = np.argsort(token, kind="stable")
-        holders, starts = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
+        holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
         comp = rows["comp"].to_numpy().copy()
         main = pd.Series(comp).mode().iloc[0]
         pairs = []
         for i in np.flatnonzero(comp != main).tolist():
-            own = token[ends[i] - n[i]:ends[i]]
+            own = token[ends[i] - held[i]:ends[i]]
             counts = starts[own + 1] - starts[own]
             at = np.arange(counts.sum()) + np.repeat(starts[own] - np.cumsum(counts) + counts, counts)
             common = np.bincount(holders[at], minlength=len(sets))
-            for j in np.flatnonzero((denominator * common >= numerator * (n + n[i] - common)) & (comp != comp[i])).tolist():
+            near = (numerator + denominator) * (held + held[i] - 2 * common) <= (denominator - numerator) * (n + n[i])
+            for j in np.flatnonzero(near & (comp != comp[i])).tolist():
                 if comp[i] != comp[j]:
                     pairs.append((i, j))
                     comp[comp == comp[i]] = comp[j]
@@ -292,6 +371,7 @@ def jaccard_components(
     comps = _Components(components(links))
 
     regions, level, ready = members.select("region", "node", "n"), 0, []
+    whole = []  # regions that pivots do not divide
     while True:
         level += 1
         open_ = stored(_unsettled(regions, comps), "unsettled")
@@ -301,14 +381,16 @@ def jaccard_components(
         if large.isEmpty():
             break
         wide = open_.join(large.select("region"), "region", "left_semi")
-        regions, blocks, comps = _divided(wide, large, sets, comps, level, numerator, denominator)
-        ready.append(blocks)
-    small = ready[0].select("region", "node")
-    for more in ready[1:]:
-        small = small.union(more.select("region", "node"))
-    small = stored(_unsettled(small.join(sets.select("node", "n"), "node"), comps), "small")
+        regions, undivided, comps = _divided(wide, large, sets, comps, level, numerator, denominator)
+        whole.append(undivided)
+    small = reduce(DataFrame.union, (some.select("region", "node", "n") for some in ready))
+    small = stored(_unsettled(small, comps), "small")
+    small = small.join(sets.select("node", F.col("s").alias("x")), "node").select("region", "node", "n", "comp", "x")
+    if whole:
+        differences = _differences(reduce(DataFrame.union, whole), sets, comps)
+        small = small.union(_by_task(differences, numerator, denominator))
     # Regions have a bounded number of documents, and so has the group that a task gets at a time.
-    found = small.join(sets.select("node", "s"), "node").groupBy("region").applyInPandas(_joined_in_task(numerator, denominator), "a BIGINT, b BIGINT")
+    found = small.groupBy("region").applyInPandas(_joined_in_task(numerator, denominator), "a BIGINT, b BIGINT")
     comps = comps.joined(stored(found, "found"))
 
     rows = comps.on(slim.filter("n > 0"))

@@ -131,3 +131,52 @@ def test_copies_and_other_columns(spark):
 def test_empty_tables(spark):
     assert result(spark, []) == []
     assert result(spark, [None, ""]) == [("0", 0, "0"), ("1", 0, "1")]
+
+
+def dense(seed, count, words=120, outliers=4):
+    """Near copies of one text, all distances alike; about one in ``outliers`` has so many changes that few links are left."""
+    random_ = random.Random(seed)
+    base = sentence(random_, words, 10**6).split(" ")
+    texts = []
+    for i in range(count):
+        parts = list(base)
+        for _ in range(random_.randrange(3, 6) if i % outliers == 0 else random_.randrange(0, 3)):
+            parts[random_.randrange(words)] = f"v{random_.randrange(4)}"
+        texts.append(" ".join(parts))
+    return texts
+
+
+def test_a_dense_group_has_one_row_per_member_and_region(spark, monkeypatch):
+    """Pairs of blocks of a region that pivots do not divide would make rows with the square of its size."""
+    for name, value in {"REGION_ROWS": 8, "PIVOTS": 3, "COPIES": 0.0}.items():
+        monkeypatch.setattr(metric_join, name, value)
+    members, joined = [], []
+    plain_regions, plain_join = metric_join._first_regions, metric_join._joined_in_task
+
+    def regions(*a):
+        members.append(plain_regions(*a))
+        return members[0]
+
+    def counted(*bounds):
+        work, rows = plain_join(*bounds), spark.sparkContext.accumulator(0)
+        joined.append(rows)
+        return lambda region: rows.add(len(region)) or work(region)
+
+    monkeypatch.setattr(metric_join, "_first_regions", regions)
+    monkeypatch.setattr(metric_join, "_joined_in_task", counted)
+    texts = dense(3, 200)
+    assert result(spark, texts) == plain(range(len(texts)), texts)
+    assert 0 < joined[0].value <= members[0].count()
+
+
+@pytest.mark.parametrize(("rows", "numerator"), [(4, 80), (16, 85)])
+def test_differences_too_many_for_a_task(spark, monkeypatch, rows, numerator):
+    """Members without a possible partner leave, the rest goes on in blocks."""
+    for name, value in {"REGION_ROWS": 4, "CENTRE_ROWS": rows, "PIVOTS": 2, "COPIES": 0.0}.items():
+        monkeypatch.setattr(metric_join, name, value)
+    texts = dense(3, 160)
+    asked = []
+    plain_linkable = metric_join._linkable
+    monkeypatch.setattr(metric_join, "_linkable", lambda *a: asked.append(1) or plain_linkable(*a))
+    assert result(spark, texts, numerator=numerator) == plain(range(len(texts)), texts, numerator)
+    assert asked
